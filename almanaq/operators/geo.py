@@ -56,15 +56,27 @@ def _planar(by: Sequence[str], directed: DataFrame) -> DataFrame:
         *by, (F.col("_sx") / scale).alias("lon"), (F.col("_sy") / scale).alias("lat"), (F.abs("_twice") / 2).alias("area"))
 
 
-def _direction(lon: str, lat: str) -> tuple[Column, Column, Column]:
+def _direction(lon: str, lat: str) -> list[Column]:
     a, b = F.radians(lon), F.radians(lat)
-    return F.cos(b) * F.cos(a), F.cos(b) * F.sin(a), F.sin(b)
+    return [F.cos(b) * F.cos(a), F.cos(b) * F.sin(a), F.sin(b)]
+
+
+def _step() -> list[Column]:
+    """Start minus end direction of an edge, from half-angle products: short edges keep their digits."""
+    a, b = F.radians(F.col("x0") - F.col("x1")) / 2, F.radians(F.col("y0") - F.col("y1")) / 2
+    mid_a, mid_b = F.radians(F.col("x0") + F.col("x1")) / 2, F.radians(F.col("y0") + F.col("y1")) / 2
+    plus, minus = F.sin(a + b), F.sin(a - b)
+    return [
+        -F.sin(mid_a - mid_b) * minus - F.sin(mid_a + mid_b) * plus,
+        F.cos(mid_a + mid_b) * plus + F.cos(mid_a - mid_b) * minus,
+        2 * F.cos(mid_b) * F.sin(b),
+    ]
 
 
 def _spherical(by: Sequence[str], directed: DataFrame) -> DataFrame:
     p, q = _direction("x0", "y0"), _direction("x1", "y1")
-    # (p - q) x (p + q) = 2 p x q, exact for short edges.
-    less, more = [a - b for a, b in zip(p, q)], [a + b for a, b in zip(p, q)]
+    # (p - q) x (p + q) = 2 p x q
+    less, more = _step(), [a + b for a, b in zip(p, q)]
     normal = [(less[i - 2] * more[i - 1] - less[i - 1] * more[i - 2]) / 2 for i in range(3)]
     sine = F.sqrt(sum(n * n for n in normal))
     angle = F.atan2(sine, sum(a * b for a, b in zip(p, q)))
@@ -98,26 +110,27 @@ def _undirected() -> list[Column]:
     return [F.least(start, end).alias("_from"), F.greatest(start, end).alias("_to")]
 
 
+def _parent_edges(vertices: DataFrame, unit: str, parent: str) -> DataFrame:
+    """Edges of all units with their parent and the number of the parent's units that have them; no empty edges."""
+    owned = vertices.withColumn("_owner", F.struct(F.col(parent).alias("parent"), F.col(unit).alias("unit")))
+    lines = edges(owned, "_owner").withColumn(parent, F.col("_owner.parent"))
+    lines = lines.where((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1")))
+    return lines.groupBy(parent, *_undirected()).agg(
+        F.count(F.lit(1)).alias("times"), *[F.max(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
 def dissolve_edges(vertices: DataFrame, unit: str, parent: str) -> DataFrame:
     """Outline of each parent: the edges that only one of its units has, with their direction.
 
     ``vertices`` carries the parent of each unit. Neighbours must share exact vertices. The direction allows areas and
     centroids of the parents from the same rows.
     """
-    lines = edges(vertices, f"_{unit}") if unit.startswith("_") else edges(
-        vertices.withColumn("_owner", F.struct(parent, unit)), "_owner").withColumn(parent, F.col(f"_owner.{parent}"))
-    lines = lines.where((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1")))
-    seen = lines.groupBy(parent, *_undirected()).agg(
-        F.count(F.lit(1)).alias("times"), *[F.max(c).alias(c) for c in ("x0", "y0", "x1", "y1")])
-    return seen.where(F.col("times") == 1).select(parent, "x0", "y0", "x1", "y1")
+    return _parent_edges(vertices, unit, parent).where(F.col("times") == 1).select(parent, "x0", "y0", "x1", "y1")
 
 
 def edge_multiplicity(vertices: DataFrame, unit: str, parent: str) -> DataFrame:
     """Quality of a coverage: per parent how many edges occur once, twice, or more often (overlaps)."""
-    lines = edges(vertices.withColumn("_owner", F.struct(parent, unit)), "_owner").withColumn(parent, F.col(f"_owner.{parent}"))
-    lines = lines.where((F.col("x0") != F.col("x1")) | (F.col("y0") != F.col("y1")))
-    seen = lines.groupBy(parent, *_undirected()).agg(F.count(F.lit(1)).alias("times"))
-    return seen.groupBy(parent).agg(
+    return _parent_edges(vertices, unit, parent).groupBy(parent).agg(
         F.count_if(F.col("times") == 1).alias("outline"), F.count_if(F.col("times") == 2).alias("shared"),
         F.count_if(F.col("times") > 2).alias("overlapping"))
 

@@ -47,14 +47,14 @@ def national_panel(rainfall: DataFrame, incidents: DataFrame, temperature: DataF
     """Three deviations per (year, month), and the same rescaled.
 
     ``scale_by=("month",)`` rescales inside each calendar month, as both countries do; ``()`` over the whole table, as
-    the city does. The three inputs are monthly cells; they are written out first, so the facts behind them are read
-    once however often the small series is used.
+    the city does. Each input is used several times; pass monthly cells that were materialised, so the facts behind
+    them are read once.
     """
-    r, i, t = (materialise(s) for s in (rainfall, incidents, temperature))
     keys = ["year", "month"]
     panel = merge(
-        rainfall_anomaly(r).select(*keys, "rainfall_deviation"), incident_anomaly(i).select(*keys, "incident_deviation"), keys)
-    panel = merge(panel, temperature_anomaly(t).select(*keys, "temperature_deviation"), keys)
+        rainfall_anomaly(rainfall).select(*keys, "rainfall_deviation"),
+        incident_anomaly(incidents).select(*keys, "incident_deviation"), keys)
+    panel = merge(panel, temperature_anomaly(temperature).select(*keys, "temperature_deviation"), keys)
     return zscore(panel, DEVIATIONS, scale_by)
 
 

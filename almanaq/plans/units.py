@@ -28,10 +28,9 @@ PROFILE_MEANS = {
 def anomaly_panel(rainfall: DataFrame, incidents: DataFrame, unit: str, skeleton_from: int = SKELETON_FROM) -> DataFrame:
     """Panel without covariate: one row per (unit, year, month) of the rainfall from ``skeleton_from`` on.
 
-    Incidents are 0 where no row exists for a month that the rainfall has. Both inputs are monthly cells and are
-    written out first, so the facts behind them are read once.
+    Incidents are 0 where no row exists for a month that the rainfall has. Both inputs are used several times; pass
+    monthly cells that were materialised, so the facts behind them are read once.
     """
-    rainfall, incidents = materialise(rainfall), materialise(incidents)
     keys = ["year", "month", unit]
     rain = deviation(rainfall, "rfh", ["month", unit], out="rainfall_deviation")
     filled = skeleton_fill(rainfall.where(F.col("year") >= skeleton_from), incidents, keys, "incidents")
@@ -48,7 +47,7 @@ def unit_panel(
 ) -> DataFrame:
     """The full panel: anomalies, optional temperature, date and time index, and the rescaled deviations."""
     keys = ["year", "month", unit]
-    warm = deviation(materialise(temperature), "temperature", ["month", unit], out="temperature_deviation")
+    warm = deviation(temperature, "temperature", ["month", unit], out="temperature_deviation")
     panel = merge(
         anomaly_panel(rainfall, incidents, unit, skeleton_from),
         warm.select(*keys, "temperature", "temperature_deviation"), keys, "left",
