@@ -8,10 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanaq.operators.blocks import factor_levels, pairs_of, sum_array, sum_outer, unit_blocks
+from almanaq.operators.blocks import factor_levels, gram_sums, pairs_of, unit_blocks
 from almanaq.operators.coefficients import coefficient_table, solve_normal
 from almanaq.operators.within import model_rows
-from almanaq.sources.tables import materialise
 
 
 def _drop_first(levels: Sequence[Sequence]) -> list[int]:
@@ -35,16 +34,14 @@ def absorb_ols(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str]) -> D
     data = model_rows(df, list(by), variables)
     levels, counts = factor_levels(data, factors)
     size, k = len(counts), len(xs)
-    blocks = materialise(unit_blocks(data, unit, factors, levels, variables))
-    pairs = pairs_of(variables)
-    total = blocks.agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("units"), *[F.sum(f"s_{i}_{j}").alias(f"s_{i}_{j}") for i, j in pairs],
-    ).first()
-    if not total["n"]:
+    if not size:
         raise ValueError("no complete rows")
-    cross = sum_array(blocks, [f"dev_{i}" for i in range(len(variables))], size)
-    normed = blocks.select(F.transform("count", lambda c: c / F.sqrt(F.col("n"))).alias("v"))
-    small = counts - sum_outer(normed, "v", size)
+    pairs = pairs_of(variables)
+    blocks = unit_blocks(data, unit, factors, levels, variables).withColumn("units", F.lit(1))
+    normed = F.transform("count", lambda c: c / F.sqrt(F.col("n")))
+    outer, cross, total = gram_sums(
+        blocks, [normed], size, [f"dev_{i}" for i in range(len(variables))], ["n", "units", *[f"s_{i}_{j}" for i, j in pairs]])
+    small = counts - outer
 
     w = np.zeros((k + 1, k + 1))
     for i, j in pairs:

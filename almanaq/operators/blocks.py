@@ -11,13 +11,13 @@ from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanaq.operators.within import co_moment
 
-# Level counts are squared on the driver.
-MAX_LEVELS = 2_000
+# Guard, not a cut: more combinations of the small factors than this are refused.
+MAX_CELLS = 100_000
 
 
 def pairs_of(variables: Sequence[str]) -> list[tuple[int, int]]:
@@ -26,12 +26,9 @@ def pairs_of(variables: Sequence[str]) -> list[tuple[int, int]]:
 
 def factor_levels(data: DataFrame, factors: Sequence[str]) -> tuple[list[list], np.ndarray]:
     """Sorted levels of the small factors and the matrix of row counts (levels x levels, all factors side by side)."""
-    # The guard's own job keeps an unsuitable factor off the driver.
-    widths = data.agg(*[F.approx_count_distinct(f).alias(f) for f in factors]).first()
-    for f in factors:
-        if widths[f] > MAX_LEVELS:
-            raise ValueError(f"{f} has too many levels for a small factor; absorb it instead")
-    cells = data.groupBy(*factors).agg(F.count(F.lit(1)).alias("n")).collect()
+    cells = data.groupBy(*factors).agg(F.count(F.lit(1)).alias("n")).take(MAX_CELLS + 1)
+    if len(cells) > MAX_CELLS:
+        raise ValueError(f"{factors} have too many levels for small factors; absorb the largest instead")
     levels = [sorted({row[f] for row in cells}) for f in factors]
     starts = np.cumsum([0] + [len(v) for v in levels])
     at = [{lv: starts[i] + j for j, lv in enumerate(v)} for i, v in enumerate(levels)]
@@ -102,25 +99,33 @@ def unit_blocks(
     )
 
 
-def sum_outer(rows: DataFrame, vector: str, size: int) -> np.ndarray:
-    """Sum over all rows of ``v v'`` for an array column of ``size`` numbers, as a small matrix.
+def gram_sums(
+    blocks: DataFrame, vectors: Sequence[Column], size: int, arrays: Sequence[str], scalars: Sequence[str],
+) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
+    """One job over the blocks: sum of ``v v'`` over all ``vectors``, element-wise sums of ``arrays``, sums of ``scalars``.
 
-    Each row spreads to its non-zero entries, each of which adds one row of the matrix; sums are map-side, so a
-    partition ships at most ``size`` rows.
+    A vector has ``size`` numbers or is NULL; an array at most ``size``. Each block spreads to one row per non-zero
+    entry of a vector (plus one for its scalars), and each such row adds one line of the matrix. Sums are map-side, so
+    a partition ships at most ``size + 1`` rows.
     """
-    spread = rows.select(vector, F.posexplode(vector).alias("_a", "_va")).where(F.col("_va") != 0)
-    sums = spread.groupBy("_a").agg(*[F.sum(F.col("_va") * F.get(vector, F.lit(b))).alias(f"_{b}") for b in range(size)])
-    out = np.zeros((size, size))
-    for row in sums.collect():
-        out[row["_a"]] = [row[f"_{b}"] for b in range(size)]
-    return out
-
-
-def sum_array(rows: DataFrame, arrays: Sequence[str], size: int) -> np.ndarray:
-    """Element-wise sums over all rows of several array columns: (len(arrays), size)."""
-    zipped = rows.select(F.posexplode(F.arrays_zip(*arrays)).alias("_a", "_v"))
-    sums = zipped.groupBy("_a").agg(*[F.sum(F.col("_v")[name]).alias(name) for name in arrays])
-    out = np.zeros((len(arrays), size))
-    for row in sums.collect():
-        out[:, row["_a"]] = [row[name] for name in arrays]
-    return out
+    first = vectors[0]
+    # The extra entry carries the scalars; only the first vector's rows carry the arrays.
+    tagged = [F.struct(F.lit(i).alias("which"), v.alias("v")) for i, v in enumerate([F.concat(first, F.array(F.lit(1.0))), *vectors[1:]])]
+    rows = blocks.select(*arrays, *scalars, F.explode(F.array(*tagged)).alias("_t")).select(
+        *arrays, *scalars, F.col("_t.which").alias("_which"), F.col("_t.v").alias("_v"), F.posexplode("_t.v").alias("_a", "_va"))
+    head = F.col("_which") == 0
+    entry, whole = F.col("_a") < size, head & (F.col("_a") == size)
+    rows = rows.where(head | (F.col("_va") != 0))
+    sums = rows.groupBy("_a").agg(
+        *[F.sum(F.when(entry, F.col("_va") * F.get("_v", F.lit(b)))).alias(f"_{b}") for b in range(size)],
+        *[F.sum(F.when(head & entry, F.get(c, F.col("_a")))).alias(f"_sum_{c}") for c in arrays],
+        *[F.sum(F.when(whole, F.col(c))).alias(f"_all_{c}") for c in scalars],
+    ).collect()
+    outer, lines, totals = np.zeros((size, size)), np.zeros((len(arrays), size)), dict.fromkeys(scalars, 0)
+    for row in sums:
+        if row["_a"] == size:
+            totals = {c: row[f"_all_{c}"] or 0 for c in scalars}
+        else:
+            outer[row["_a"]] = [row[f"_{b}"] for b in range(size)]
+            lines[:, row["_a"]] = [row[f"_sum_{c}"] or 0.0 for c in arrays]
+    return outer, lines, totals

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from almanaq.functions.scalar import ratio
 from almanaq.functions.student import two_sided_p_column
-from almanaq.operators.blocks import factor_levels, pairs_of, sum_array, sum_outer, unit_blocks
+from almanaq.operators.blocks import factor_levels, gram_sums, pairs_of, unit_blocks
 from almanaq.operators.coefficients import solve_normal
 from almanaq.operators.within import model_rows
 from almanaq.sources.tables import materialise
@@ -36,6 +36,8 @@ def unit_slopes(df: DataFrame, y: str, x: str, zs: Sequence[str], unit: str, by:
     data = model_rows(df, [unit, by], variables)
     levels, counts = factor_levels(data, [by])
     years, k = len(counts), len(zs)
+    if not years:
+        raise ValueError("no complete rows")
     shared = years + k
     size = shared + 1  # years, covariates, y
     blocks = unit_blocks(data, unit, [by], levels, variables)
@@ -50,30 +52,26 @@ def unit_slopes(df: DataFrame, y: str, x: str, zs: Sequence[str], unit: str, by:
         }))
 
     pairs = pairs_of(variables)
-    total = blocks.agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("units"), F.count("sxx").alias("varying"),
-        F.min_by(F.struct(unit, "sxx", "q", "s_0_1"), unit).alias("ref"),
-        *[F.sum(f"s_{i}_{j}").alias(f"s_{i}_{j}") for i, j in pairs],
-    ).first()
-    if not total["n"]:
-        raise ValueError("no complete rows")
-    cross = sum_array(blocks, [f"dev_{i}" for i in range(k + 2)], years)
+    root_n, root_x = F.sqrt(F.col("n")), F.sqrt(F.col("sxx"))
+    intercept = F.concat(F.transform("count", lambda c: c / root_n), F.array(*[F.lit(0.0)] * (k + 1)))
+    slope = F.transform(F.concat("q", F.array(F.col("s_0_1"))), lambda c: c / root_x)
+    # A unit whose x does not vary has no slope vector.
+    slope = F.when(F.col("sxx").isNotNull(), slope)
+    outer, cross, total = gram_sums(
+        blocks.withColumns({"units": F.lit(1), "varying": F.when(F.col("sxx").isNotNull(), 1).otherwise(0)}),
+        [intercept, slope], size, [f"dev_{i}" for i in range(k + 2)],
+        ["n", "units", "varying", *[f"s_{i}_{j}" for i, j in pairs]])
+    ref = blocks.agg(F.min_by(F.struct(unit, "sxx", "q", "s_0_1"), unit).alias("ref")).first()["ref"]
 
     # Product matrix of (years, zs, y) within units, then without what x explains inside each unit.
     g = np.zeros((size, size))
     g[:years, :years] = counts
     order = [*range(2, k + 2), 0]
     for a, i in enumerate(order):
-        g[:years, years + a] = g[years + a, :years] = cross[i]
+        g[:years, years + a] = g[years + a, :years] = cross[i, :years]
         for b, j in enumerate(order):
             g[years + a, years + b] = total[f"s_{min(i, j)}_{max(i, j)}"]
-    root_n, root_x = F.sqrt(F.col("n")), F.sqrt(F.col("sxx"))
-    intercept = F.concat(F.transform("count", lambda c: c / root_n), F.array(*[F.lit(0.0)] * (k + 1)))
-    slope = F.transform(F.concat("q", F.array(F.col("s_0_1"))), lambda c: c / root_x)
-    # A unit whose x does not vary has no slope vector.
-    vectors = blocks.select(F.explode(F.array_compact(F.array(
-        intercept, F.when(F.col("sxx").isNotNull(), slope)))).alias("v"))
-    s = g - sum_outer(vectors, "v", size)
+    s = g - outer
 
     keep = list(range(1, shared))
     gamma_k, inverse_k, rank = solve_normal(s[np.ix_(keep, keep)], s[keep, shared], np.diag(g)[keep])
@@ -92,7 +90,6 @@ def unit_slopes(df: DataFrame, y: str, x: str, zs: Sequence[str], unit: str, by:
     quadratic = F.aggregate(
         rows, F.lit(0.0),
         lambda acc, row: acc + F.pow(F.aggregate(F.zip_with("q", row, lambda a, b: a * b), F.lit(0.0), lambda u, v: u + v), F.lit(2.0)))
-    ref = total["ref"]
     sigma2_c = F.lit(float(sigma2))
     solved = blocks.select(
         unit,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_all(*dfs: DataFrame) -> list[DataFrame]:
+    """``materialise`` for several independent tables, as concurrent Spark jobs."""
+    with ThreadPoolExecutor(len(dfs)) as pool:
+        return list(pool.map(materialise, dfs))
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Saves coefficients, dissolved polygons or the rows behind a figure."""
     df.write.mode("overwrite").parquet(path)

@@ -333,7 +333,7 @@ points AS (
 b AS (SELECT *, intercept + slope * x AS fit, s * sqrt(1.0 / n + (x - x_mean) * (x - x_mean) / sxx) AS se FROM points),
 band AS (SELECT *, fit - q * se AS lower, fit + q * se AS upper FROM b)"""
 ORACLES["trend_band"] = f"""WITH {SHIP}, v AS (
-  SELECT month, year, rfh - avg(rfh) OVER (PARTITION BY month) AS d FROM ship), {BAND}
+  SELECT month, year, temperature - avg(temperature) OVER (PARTITION BY month) AS d FROM ship), {BAND}
 SELECT month, {r('x', 'fit', 'se', 'lower', 'upper')} FROM band"""
 ORACLES["incident_trends"] = f"""WITH {ORD}, a AS (SELECT *, {z('incidents', 'year')} AS s FROM ord),
 w AS (SELECT month, year, s - avg(s) OVER (PARTITION BY month) AS d FROM a), v AS (SELECT * FROM w WHERE year >= 1996), {BAND}

@@ -32,7 +32,7 @@ from almanaq.operators.within import fe_within
 from almanaq.plans import national, units
 from almanaq.sources.files import make_names
 from almanaq.sources.lookups import lookup
-from almanaq.sources.tables import materialise
+from almanaq.sources.tables import materialise, materialise_all
 
 PARTIAL_YEAR = 2001
 SKELETON_FROM = 1996
@@ -190,7 +190,7 @@ def standardised_unit_deviation(spark, sf_dir):
 
 @query
 def period_index_by_month(spark, sf_dir):
-    return period_index(nation_orders(spark, sf_dir)).select("nation", "year", "month", "date", "time", month_name("month").alias("month_name"))
+    return period_index(materialise(nation_orders(spark, sf_dir))).select("nation", "year", "month", "date", "time", month_name("month").alias("month_name"))
 
 
 # --- reshaping ------------------------------------------------------------------------------------------------------
@@ -322,12 +322,12 @@ def administrative_codes(spark, sf_dir):
 
 # --- models ---------------------------------------------------------------------------------------------------------
 
-def national_cells(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return materialise(national_shipments(spark, sf_dir)), materialise(national_orders(spark, sf_dir))
+def national_cells(spark, sf_dir) -> list[DataFrame]:
+    return materialise_all(national_shipments(spark, sf_dir), national_orders(spark, sf_dir))
 
 
-def nation_cells(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return materialise(nation_shipments(spark, sf_dir)), materialise(nation_orders(spark, sf_dir, "1-URGENT"))
+def nation_cells(spark, sf_dir) -> list[DataFrame]:
+    return materialise_all(nation_shipments(spark, sf_dir), nation_orders(spark, sf_dir, "1-URGENT"))
 
 
 def scaled_national_panel(spark, sf_dir, scale_by=("month",)) -> DataFrame:
@@ -343,8 +343,8 @@ def scaled_unit_panel(spark, sf_dir) -> DataFrame:
         ship.select(*keys, "rfh"), order, ship.select(*keys, "temperature"), "nation", SKELETON_FROM)
 
 
-def model_rows(panel: DataFrame) -> DataFrame:
-    return materialise(panel.where(F.col("year") != PARTIAL_YEAR))
+def complete_years(panel: DataFrame) -> DataFrame:
+    return panel.where(F.col("year") != PARTIAL_YEAR)
 
 
 def readable(coefs: DataFrame) -> DataFrame:
@@ -353,36 +353,36 @@ def readable(coefs: DataFrame) -> DataFrame:
 
 @query
 def fe_within_national(spark, sf_dir):
-    rows = model_rows(scaled_national_panel(spark, sf_dir))
+    rows = complete_years(scaled_national_panel(spark, sf_dir))
     return readable(fe_within(rows, national.OUTCOME, national.COVARIATES, "year"))
 
 
 @query
 def fe_within_units(spark, sf_dir):
-    rows = model_rows(scaled_unit_panel(spark, sf_dir))
+    rows = complete_years(scaled_unit_panel(spark, sf_dir))
     return readable(fe_within(rows, national.OUTCOME, national.COVARIATES, "year"))
 
 
 @query
 def absorb_year_month(spark, sf_dir):
-    rows = model_rows(scaled_national_panel(spark, sf_dir, scale_by=()))
+    rows = materialise(complete_years(scaled_national_panel(spark, sf_dir, scale_by=())))
     return readable(absorb_ols(rows, national.OUTCOME, national.COVARIATES, ["year", "month"]))
 
 
 @query
 def absorb_unit_year(spark, sf_dir):
-    rows = model_rows(scaled_unit_panel(spark, sf_dir))
+    rows = materialise(complete_years(scaled_unit_panel(spark, sf_dir)))
     return readable(absorb_ols(rows, national.OUTCOME, national.COVARIATES, ["nation", "year"]))
 
 
 @query
 def absorb_unit_year_month(spark, sf_dir):
-    rows = model_rows(scaled_unit_panel(spark, sf_dir))
+    rows = materialise(complete_years(scaled_unit_panel(spark, sf_dir)))
     return readable(absorb_ols(rows, national.OUTCOME, national.COVARIATES, ["nation", "year", "month"]))
 
 
 def nation_slopes(spark, sf_dir) -> DataFrame:
-    rows = model_rows(scaled_unit_panel(spark, sf_dir))
+    rows = materialise(complete_years(scaled_unit_panel(spark, sf_dir)))
     return unit_slopes(rows, national.OUTCOME, national.COVARIATES[0], national.COVARIATES[1:], "nation", "year")
 
 
@@ -393,12 +393,12 @@ def unit_slope_table(spark, sf_dir):
 
 @query
 def gls_ar1_grid(spark, sf_dir):
-    rows = model_rows(scaled_national_panel(spark, sf_dir))
+    rows = complete_years(scaled_national_panel(spark, sf_dir))
     return gls_ar1_profile(rows, national.OUTCOME, national.COVARIATES, "year", "month", PHI_GRID)
 
 
 def _gls(spark, sf_dir, p: int) -> DataFrame:
-    rows = model_rows(scaled_national_panel(spark, sf_dir))
+    rows = complete_years(scaled_national_panel(spark, sf_dir))
     return coef_interval(gls_ar(rows, national.OUTCOME, national.COVARIATES, "year", "month", p))
 
 
@@ -425,8 +425,8 @@ def trend_line_fit(spark, sf_dir):
 
 @query
 def trend_band(spark, sf_dir):
-    series = national.rainfall_anomaly(national_shipments(spark, sf_dir))
-    return trend_lm(series, "rainfall_deviation", "year", ["month"])
+    series = national.temperature_anomaly(materialise(national_shipments(spark, sf_dir).select("year", "month", "temperature")))
+    return trend_lm(series, "temperature_deviation", "year", ["month"])
 
 
 @query
@@ -539,5 +539,5 @@ def period_densities(spark, sf_dir):
 
 @query
 def incident_trends(spark, sf_dir):
-    anomaly = national.incident_anomaly(national_orders(spark, sf_dir))
+    anomaly = national.incident_anomaly(materialise(national_orders(spark, sf_dir)))
     return national.deviation_trends(anomaly, "incident_deviation", 1996)
