@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanaq.operators.blocks import factor_levels, gram_sums, pairs_of, unit_blocks
-from almanaq.operators.coefficients import coefficient_table, solve_normal
+from almanaq.operators.coefficients import coefficient_table, solve_normal, variation_scale
 from almanaq.operators.within import model_rows
 
 
@@ -40,7 +40,8 @@ def absorb_ols(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str]) -> D
     blocks = unit_blocks(data, unit, factors, levels, variables).withColumn("units", F.lit(1))
     normed = F.transform("count", lambda c: c / F.sqrt(F.col("n")))
     outer, cross, total = gram_sums(
-        blocks, [normed], size, [f"dev_{i}" for i in range(len(variables))], ["n", "units", *[f"s_{i}_{j}" for i, j in pairs]])
+        blocks, [normed], size, [f"dev_{i}" for i in range(len(variables))],
+        ["n", "units", *[f"s_{i}_{j}" for i, j in pairs], *[f"raw_{i}" for i in range(1, k + 1)]])
     small = counts - outer
 
     w = np.zeros((k + 1, k + 1))
@@ -52,7 +53,8 @@ def absorb_ols(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str]) -> D
     _, inverse_d, rank_d = solve_normal(d, np.zeros(len(keep)), np.diag(counts)[keep])
     inverse_d = np.nan_to_num(inverse_d)
     left = w - c @ inverse_d @ c.T
-    beta, inverse, rank = solve_normal(left[1:, 1:], left[1:, 0], np.diag(w)[1:])
+    scale = variation_scale(np.diag(w)[1:], np.array([total[f"raw_{i}"] for i in range(1, k + 1)]))
+    beta, inverse, rank = solve_normal(left[1:, 1:], left[1:, 0], scale)
     rss = max(left[0, 0] - np.nansum(beta * left[1:, 0]), 0.0)
     df_resid = int(total["n"] - total["units"] - rank_d - rank)
     sigma2 = rss / df_resid if df_resid > 0 else np.nan

@@ -56,6 +56,8 @@ def unit_blocks(
 ) -> DataFrame:
     """One row per unit: ``n``, ``mean_i``, ``s_i_j`` (centred cross products), arrays ``count``, ``dev_i`` over levels.
 
+    ``raw_i`` is the uncentred sum of squares.
+
     ``dev_i[l]`` is the sum over the unit's rows at level l of variable i minus its unit mean. Two shuffles: partial
     sums per (unit, level), then per unit. Both carry sums, never raw rows.
     """
@@ -90,11 +92,13 @@ def unit_blocks(
         *[F.sum(F.col("_n") * F.col(f"_dev_{i}")).alias(f"d{i}") for i in range(len(variables))],
     )
 
+    raw = [(F.col(f"s_{i}_{i}") + F.col("n") * F.col(f"mean_{i}") * F.col(f"mean_{i}")).alias(f"raw_{i}") for i in range(len(variables))]
+
     def dense(name: str):
         return F.array(*[F.coalesce(F.col(f"{k}_{name}"), F.lit(0.0)) for k in range(size)])
 
     return spread.select(
-        unit, "n", *means, *whole, dense("c").alias("count"),
+        unit, "n", *means, *whole, *raw, dense("c").alias("count"),
         *[dense(f"d{i}").alias(f"dev_{i}") for i in range(len(variables))],
     )
 

@@ -45,8 +45,8 @@ def coef_interval(coefs: DataFrame, term: str | None = None, mult: float = 2.0)
 def solve_normal(a: np.ndarray, b: np.ndarray, scale: np.ndarray, rtol: float = 1e-10) -> tuple[np.ndarray, np.ndarray, int]:
     """Solves ``a x = b`` for a small positive semi-definite ``a``: ``(x, inverse, rank)``.
 
-    Columns are taken in order; one whose remaining variation is below ``rtol`` of ``scale`` (its variation before
-    anything was removed) is not identified and gets NaN.
+    Columns are taken in order; one whose remaining variation is below ``rtol`` of ``scale`` (see ``variation_scale``)
+    is not identified and gets NaN.
     """
     k = len(b)
     kept: list[int] = []
@@ -63,3 +63,8 @@ def solve_normal(a: np.ndarray, b: np.ndarray, scale: np.ndarray, rtol: float =
         inverse[np.ix_(kept, kept)] = (inner + inner.T) / 2
         x[kept] = np.linalg.solve(a[np.ix_(kept, kept)], b[kept])
     return x, inverse, len(kept)
+
+
+def variation_scale(centred: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Yardstick for remaining variation: the centred sum of squares, but not below what rounding makes of the raw one."""
+    return np.maximum(centred, 1e-10 * raw)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from almanaq.functions.scalar import ratio
 from almanaq.functions.student import two_sided_p_column
 from almanaq.operators.blocks import factor_levels, gram_sums, pairs_of, unit_blocks
-from almanaq.operators.coefficients import solve_normal
+from almanaq.operators.coefficients import solve_normal, variation_scale
 from almanaq.operators.within import model_rows
 from almanaq.sources.tables import materialise
 
@@ -43,7 +43,7 @@ def unit_slopes(df: DataFrame, y: str, x: str, zs: Sequence[str], unit: str, by:
     blocks = unit_blocks(data, unit, [by], levels, variables)
     # Residual variation of x at rounding level counts as none.
     sxx = F.col("s_1_1")
-    varies = sxx > 1e-14 * (sxx + F.col("n") * F.col("mean_1") * F.col("mean_1"))
+    varies = sxx > 1e-14 * F.col("raw_1")
     with_x = [F.col(f"s_1_{i}") for i in range(2, k + 2)]
     blocks = materialise(
         blocks.withColumns({
@@ -60,7 +60,7 @@ def unit_slopes(df: DataFrame, y: str, x: str, zs: Sequence[str], unit: str, by:
     outer, cross, total = gram_sums(
         blocks.withColumns({"units": F.lit(1), "varying": F.when(F.col("sxx").isNotNull(), 1).otherwise(0)}),
         [intercept, slope], size, [f"dev_{i}" for i in range(k + 2)],
-        ["n", "units", "varying", *[f"s_{i}_{j}" for i, j in pairs]])
+        ["n", "units", "varying", *[f"s_{i}_{j}" for i, j in pairs], *[f"raw_{i}" for i in range(2, k + 2)]])
     ref = blocks.agg(F.min_by(F.struct(unit, "sxx", "q", "s_0_1"), unit).alias("ref")).first()["ref"]
 
     # Product matrix of (years, zs, y) within units, then without what x explains inside each unit.
@@ -74,7 +74,9 @@ def unit_slopes(df: DataFrame, y: str, x: str, zs: Sequence[str], unit: str, by:
     s = g - outer
 
     keep = list(range(1, shared))
-    gamma_k, inverse_k, rank = solve_normal(s[np.ix_(keep, keep)], s[keep, shared], np.diag(g)[keep])
+    scale = np.diag(g)[:shared].copy()
+    scale[years:] = variation_scale(scale[years:], np.array([total[f"raw_{i}"] for i in range(2, k + 2)]))
+    gamma_k, inverse_k, rank = solve_normal(s[np.ix_(keep, keep)], s[keep, shared], scale[keep])
     gamma, inverse = np.zeros(shared), np.zeros((shared, shared))
     gamma[keep] = np.nan_to_num(gamma_k)
     inverse[np.ix_(keep, keep)] = np.nan_to_num(inverse_k)

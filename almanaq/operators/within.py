@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanaq.operators.coefficients import coefficient_table, solve_normal
+from almanaq.operators.coefficients import coefficient_table, solve_normal, variation_scale
 
 
 def model_rows(df: DataFrame, factors: Sequence[str], variables: Sequence[str]) -> DataFrame:
@@ -35,19 +35,21 @@ def fe_within(df: DataFrame, y: str, xs: Sequence[str], by: str) -> DataFrame:
     moments = data.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"),
         *[co_moment(variables[i], variables[j]).alias(f"m_{i}_{j}") for i, j in pairs],
-        *[(F.avg(F.col(v) * F.col(v)) * F.count(F.lit(1))).alias(f"raw_{i}") for i, v in enumerate(variables)],
+        *[F.sum(F.col(v) * F.col(v)).alias(f"raw_{i}") for i, v in enumerate(variables)],
+        *[F.sum(v).alias(f"sum_{i}") for i, v in enumerate(variables)],
     )
     total = moments.agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"),
         *[F.sum(f"m_{i}_{j}").alias(f"m_{i}_{j}") for i, j in pairs],
-        *[F.sum(f"raw_{i}").alias(f"raw_{i}") for i in range(len(variables))],
+        *[F.sum(c).alias(c) for i in range(len(variables)) for c in (f"raw_{i}", f"sum_{i}")],
     ).first()
     if not total["n"]:
         raise ValueError("no complete rows")
     w = np.zeros((len(variables), len(variables)))
     for i, j in pairs:
         w[i, j] = w[j, i] = total[f"m_{i}_{j}"]
-    scale = np.array([total[f"raw_{i}"] for i in range(1, len(variables))])
+    raw, sums = (np.array([total[f"{c}_{i}"] for i in range(1, len(variables))]) for c in ("raw", "sum"))
+    scale = variation_scale(raw - sums ** 2 / total["n"], raw)
     beta, inverse, rank = solve_normal(w[1:, 1:], w[1:, 0], scale)
     rss = max(w[0, 0] - np.nansum(beta * w[1:, 0]), 0.0)
     df_resid = int(total["n"] - total["groups"] - rank)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def _nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_parts(
-    spark: SparkSession, paths: Sequence[str], schema: T.StructType, encoding: str = "UTF-8", comment_rows: str | None = None,
+    spark: SparkSession, paths: Sequence[str], schema: T.StructType, encoding: str = "UTF-8"
 ) -> DataFrame:
     """Several CSV files with one header and schema, stacked in one scan. ``NA``, empty and NaN fields become NULL.
 
@@ -34,8 +35,6 @@ def read_parts(
         .option("encoding", encoding)
         .option("enforceSchema", True)
     )
-    if comment_rows:
-        reader = reader.option("comment", comment_rows)
     return _nan_to_null(reader.csv(list(paths)))
 
 
@@ -51,15 +50,20 @@ def legal_name(name: str) -> str:
     return clean if starts_ok else "X" + clean
 
 
-def make_names(df: DataFrame) -> DataFrame:
-    """Renames every column to a legal, unique name (``1950-01`` to ``X1950.01``, ``#date`` to ``X.date``)."""
+def unique_names(header: Sequence[str]) -> list[str]:
+    """Legal names for a header; repeats get ``.1``, ``.2``, ..."""
     taken: dict[str, int] = {}
     names = []
-    for name in (legal_name(c) for c in df.columns):
+    for name in map(legal_name, header):
         seen = taken.get(name, 0)
         taken[name] = seen + 1
         names.append(f"{name}.{seen}" if seen else name)
-    return df.toDF(*names)
+    return names
+
+
+def make_names(df: DataFrame) -> DataFrame:
+    """Renames every column to a legal, unique name (``1950-01`` to ``X1950.01``, ``#date`` to ``X.date``)."""
+    return df.toDF(*unique_names(df.columns))
 
 
 def read_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
@@ -67,6 +71,23 @@ def read_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list
     return spark.read.option("header", True).option("encoding", encoding).csv(path).columns
 
 
+def read_named(
+    spark: SparkSession, paths: Sequence[str], types: Mapping[str, T.DataType], encoding: str = "UTF-8",
+) -> DataFrame:
+    """The named columns of one or more CSV files, with given types and legal names; other columns are not parsed.
+
+    Parts with the same header are one scan; parts whose columns are in another order are stacked by name.
+    """
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        by_header.setdefault(tuple(read_header(spark, path, encoding)), []).append(path)
+    parts = []
+    for header, files in by_header.items():
+        schema = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in unique_names(header)])
+        parts.append(read_parts(spark, files, schema, encoding).select(*[F.col(f"`{c}`") for c in types]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_wide_series(
     spark: SparkSession, path: str, ids: Sequence[str], value: str = "value", encoding: str = "UTF-8",
 ) -> DataFrame:
