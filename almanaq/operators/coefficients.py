@@ -42,6 +42,11 @@ def coef_interval(coefs: DataFrame, term: str | None = None, mult: float = 2.0)
     return coefs.withColumns({"lower": F.col("estimate") - half, "upper": F.col("estimate") + half})
 
 
+def terms_matching(coefs: DataFrame, pattern: str) -> DataFrame:
+    """The rows whose term matches a regular expression."""
+    return coefs.where(F.col("term").rlike(pattern))
+
+
 def solve_normal(a: np.ndarray, b: np.ndarray, scale: np.ndarray, rtol: float = 1e-10) -> tuple[np.ndarray, np.ndarray, int]:
     """Solves ``a x = b`` for a small positive semi-definite ``a``: ``(x, inverse, rank)``.
 

@@ -167,14 +167,21 @@ def gls_ar(df: DataFrame, y: str, xs: Sequence[str], time: str, group: str, p: i
          **{f"phi_{i}": float(v) for i, v in enumerate(fit.phi, 1)}})
 
 
-def gls_ar1_profile(df: DataFrame, y: str, xs: Sequence[str], time: str, group: str, grid: Sequence[float]) -> DataFrame:
-    """Restricted log likelihood and coefficients of the AR(1) model at each value of a coefficient grid."""
-    sums = lag_sums(df, y, xs, time, group, 1)
-    rows = []
-    for phi in grid:
-        fit = fit_at(sums, [phi])
-        rows.append((float(phi), float(fit.loglik), float(np.sqrt(fit.sigma2)),
-                     *[float(b) for b in fit.beta], *[float(e) for e in np.sqrt(np.diag(fit.covariance))]))
+def gls_ar_profile(
+    df: DataFrame, y: str, xs: Sequence[str], time: str, group: str, partials: Sequence[Sequence[float]],
+) -> DataFrame:
+    """The fit at each of several given partial autocorrelations, all of one order, from one pass over the data.
+
+    One row per entry: ``partial_i``, ``phi_i``, ``log_lik``, ``sigma``, coefficients and their standard errors.
+    """
+    p = len(partials[0])
+    sums = lag_sums(df, y, xs, time, group, p)
     names = ["intercept", *xs]
-    schema = ", ".join(f"{c} double" for c in ["phi", "log_lik", "sigma", *names, *[f"se_{n}" for n in names]])
-    return df.sparkSession.createDataFrame(rows, schema)
+    rows = []
+    for partial in partials:
+        fit = fit_at(sums, partial)
+        rows.append([float(v) for v in (
+            *partial, *fit.phi, fit.loglik, np.sqrt(fit.sigma2), *fit.beta, *np.sqrt(np.diag(fit.covariance)))])
+    columns = [f"{kind}_{i}" for kind in ("partial", "phi") for i in range(1, p + 1)]
+    columns += ["log_lik", "sigma", *names, *[f"se_{n}" for n in names]]
+    return df.sparkSession.createDataFrame(rows, ", ".join(f"{c} double" for c in columns))

@@ -148,7 +148,9 @@ def national_tables(cells: Cells, settings: Settings) -> dict[str, DataFrame]:
     rain, incidents = national.rainfall_anomaly(cells.rainfall), national.incident_anomaly(cells.incidents)
     panel = national.national_panel(cells.rainfall, cells.incidents, cells.temperature, settings.scale_by)
     return {
-        "panel": panel,
+        "panel": panel.orderBy(*MONTH_KEYS),
+        "rainfall_anomaly": rain.where(F.col("year") >= settings.trend_from).orderBy(*MONTH_KEYS),
+        "incident_anomaly": incidents.orderBy(*MONTH_KEYS),
         "rainfall_trends": national.deviation_trends(rain, "rainfall_deviation", settings.trend_from),
         "incident_trends": national.deviation_trends(incidents, "incident_deviation"),
         "rainfall_densities": national.period_densities(cells.rainfall, settings.rainfall_periods, "rfh"),

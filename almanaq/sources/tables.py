@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,12 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_results(tables: Mapping[str, DataFrame], folder: str) -> None:
+    """Saves every table of an analysis, coefficients and rows behind figures alike, as ``folder/name``."""
+    for name, df in tables.items():
+        write_table(df, f"{folder.rstrip('/')}/{name}")
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Reloads a saved table."""
     return spark.read.parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from almanaq.operators import gls
 from almanaq.operators.absorb import absorb_ols
-from almanaq.operators.coefficients import coef_interval
+from almanaq.operators.coefficients import coef_interval, terms_matching
 from almanaq.operators.slopes import interaction_table, unit_slopes
 from almanaq.operators.within import fe_within
 
@@ -93,6 +93,7 @@ def test_interval(spark, panel):
     _, df = panel
     row = coef_interval(fe_within(df, "y", ["x", "z"], "year"), "x").collect()
     assert len(row) == 1
+    assert terms_matching(fe_within(df, "y", ["x", "z"], "year"), "^z$").count() == 1
     assert row[0]["upper"] - row[0]["lower"] == pytest.approx(4 * row[0]["std_error"])
 
 

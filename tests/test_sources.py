@@ -55,6 +55,8 @@ def test_tables_round_trip(spark, tmp_path):
     tables.write_table(df, str(tmp_path / "t"))
     tables.write_table(df, str(tmp_path / "t"))
     assert tables.read_table(spark, str(tmp_path / "t")).count() == 5
+    tables.write_results({"a": df, "b": df.limit(1)}, str(tmp_path / "out"))
+    assert tables.read_table(spark, str(tmp_path / "out" / "b")).count() == 1
     copy = tables.materialise(df)
     assert copy.dtypes == df.dtypes and sorted(copy.collect()) == sorted(df.collect())
     assert copy.inputFiles()[0].removeprefix("file://").startswith(spark.conf.get("spark.checkpoint.dir"))

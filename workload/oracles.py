@@ -6,7 +6,7 @@ the SQL shares no shortcut with the operators.
 
 from __future__ import annotations
 
-from workload.queries import PERIODS, PHI_GRID, PRIORITIES
+from workload.queries import PARTIALS, PERIODS, PRIORITIES
 
 ORACLES: dict[str, str] = {}
 
@@ -284,23 +284,31 @@ ORACLES["slope_map"] = f"""WITH RECURSIVE {SLOPES}, t AS (
   FROM nation LEFT JOIN slope_t ON slope_t.nation = n_nationkey)
 SELECT nation, n_name, {r('estimate', 'std_error', 'estimate_sqrt')} FROM t"""
 
-_phis = ", ".join(f"({p}::DOUBLE)" for p in PHI_GRID)
-ORACLES["gls_ar1_grid"] = f"""WITH {national('month')}, {MODEL},
-phis(phi) AS (VALUES {_phis}),
-lagged AS (
-  SELECT month, year, 1.0::DOUBLE AS one, x1, x2, y, lag(x1) OVER w AS l1, lag(x2) OVER w AS l2, lag(y) OVER w AS ly,
-         row_number() OVER w AS pos FROM m WINDOW w AS (PARTITION BY month ORDER BY year)),
-white AS (
-  SELECT phi, pos,
-         CASE WHEN pos = 1 THEN 1.0 ELSE (1 - phi) / sqrt(1 - phi * phi) END AS a,
-         CASE WHEN pos = 1 THEN x1 ELSE (x1 - phi * l1) / sqrt(1 - phi * phi) END AS b,
-         CASE WHEN pos = 1 THEN x2 ELSE (x2 - phi * l2) / sqrt(1 - phi * phi) END AS c,
-         CASE WHEN pos = 1 THEN y ELSE (y - phi * ly) / sqrt(1 - phi * phi) END AS y
-  FROM lagged CROSS JOIN phis),
+# Autoregressive errors: every row is replaced by its prediction error from the rows before it (at most p), which the
+# partial autocorrelations k1, k2, k3 give step by step, and the whitened rows go through plain least squares.
+PREDICTION = {  # rows before -> coefficients of lags 1, 2, 3, and the scale
+    0: ("0", "0", "0", "1"),
+    1: ("k1", "0", "0", "sqrt(1 - k1*k1)"),
+    2: ("(k1 - k2*k1)", "k2", "0", "sqrt((1 - k1*k1) * (1 - k2*k2))"),
+    3: ("(k1 - k2*k1 - k3*k2)", "(k2 - k3*(k1 - k2*k1))", "k3", "sqrt((1 - k1*k1) * (1 - k2*k2) * (1 - k3*k3))"),
+}
+
+
+def whitened(column: str, p: int) -> str:
+    cases = []
+    for before in range(p + 1):
+        c1, c2, c3, scale = PREDICTION[before]
+        lags = "".join(f" - {c} * {column}_{i}" for i, c in ((1, c1), (2, c2), (3, c3)) if i <= before)
+        cases.append(f"{'WHEN pos = ' + str(before + 1) + ' THEN' if before < p else 'ELSE'} ({column}{lags}) / ({scale})")
+    return f"CASE {' '.join(cases)} END"
+
+
+# Solves the 3 x 3 system of (intercept, x1, x2) per parameter row from the whitened columns a, b, c, y.
+SOLVE3 = """
 s AS (
-  SELECT phi, count(*) AS n, count(*) FILTER (WHERE pos > 1) AS later,
+  SELECT id, count(*) AS n, any_value(k1) AS k1, any_value(k2) AS k2, any_value(k3) AS k3, sum(2 * ln(scale)) AS logv,
          sum(a*a) aa, sum(a*b) ab, sum(a*c) ac, sum(b*b) bb, sum(b*c) bc, sum(c*c) cc, sum(a*y) ay, sum(b*y) by_, sum(c*y) cy, sum(y*y) yy
-  FROM white GROUP BY phi),
+  FROM white GROUP BY id),
 det AS (SELECT *, aa*(bb*cc-bc*bc) - ab*(ab*cc-bc*ac) + ac*(ab*bc-bb*ac) AS dt FROM s),
 inv AS (
   SELECT *, (bb*cc-bc*bc)/dt AS iaa, (ac*bc-ab*cc)/dt AS iab, (ab*bc-ac*bb)/dt AS iac,
@@ -308,12 +316,35 @@ inv AS (
 est AS (
   SELECT *, iaa*ay + iab*by_ + iac*cy AS intercept, iab*ay + ibb*by_ + ibc*cy AS e1, iac*ay + ibc*by_ + icc*cy AS e2 FROM inv),
 res AS (SELECT *, (yy - intercept*ay - e1*by_ - e2*cy) / (n - 3) AS s2 FROM est),
-t AS (
-  SELECT phi, -0.5 * ((n - 3) * (ln(2 * pi() * s2) + 1) + later * ln(1 - phi * phi) + ln(dt)) AS log_lik, sqrt(s2) AS sigma,
-         intercept, e1 AS scaled_rainfall_deviation, e2 AS scaled_temperature_deviation, sqrt(s2 * iaa) AS se_intercept,
-         sqrt(s2 * ibb) AS se_scaled_rainfall_deviation, sqrt(s2 * icc) AS se_scaled_temperature_deviation FROM res)
-SELECT {r('phi', 'log_lik', 'sigma', 'intercept', 'scaled_rainfall_deviation', 'scaled_temperature_deviation', 'se_intercept',
-          'se_scaled_rainfall_deviation', 'se_scaled_temperature_deviation')} FROM t"""
+solved AS (
+  SELECT *, -0.5 * ((n - 3) * (ln(2 * pi() * s2) + 1) + logv + ln(dt)) AS log_lik, sqrt(s2) AS sigma,
+         e1 AS scaled_rainfall_deviation, e2 AS scaled_temperature_deviation, sqrt(s2 * iaa) AS se_intercept,
+         sqrt(s2 * ibb) AS se_scaled_rainfall_deviation, sqrt(s2 * icc) AS se_scaled_temperature_deviation FROM res)"""
+
+
+def lagged(p: int) -> str:
+    lags = ", ".join(f"lag({c}, {i}) OVER w AS {c}_{i}" for c in ("one", "x1", "x2", "y") for i in range(1, p + 1))
+    return f"""
+ones AS (SELECT month, year, 1.0::DOUBLE AS one, x1, x2, y FROM m),
+lagged AS (SELECT *, {lags}, row_number() OVER w AS pos FROM ones WINDOW w AS (PARTITION BY month ORDER BY year))"""
+
+
+def white(p: int) -> str:
+    scale = "CASE " + " ".join(f"WHEN pos = {i + 1} THEN {PREDICTION[i][3]}" for i in range(p)) + f" ELSE {PREDICTION[p][3]} END"
+    return f"""
+white AS (
+  SELECT id, k1, k2, k3, {scale} AS scale, {whitened('one', p)} AS a, {whitened('x1', p)} AS b, {whitened('x2', p)} AS c,
+         {whitened('y', p)} AS y FROM lagged CROSS JOIN params)"""
+
+
+for _p, _partials in PARTIALS.items():
+    _rows = ", ".join("(" + ", ".join([str(i), *[f"{k}::DOUBLE" for k in (*partial, 0.0, 0.0)[:3]]]) + ")" for i, partial in enumerate(_partials))
+    _phi = ", ".join(f"{c} AS phi_{i}" for i, c in enumerate(PREDICTION[_p][:_p], 1))
+    _partial = ", ".join(f"k{i} AS partial_{i}" for i in range(1, _p + 1))
+    ORACLES[f"gls_ar{_p}_profile"] = f"""WITH {national('month')}, {MODEL}, params(id, k1, k2, k3) AS (VALUES {_rows}), {lagged(_p)},{white(_p)}, {SOLVE3},
+t AS (SELECT *, {_phi}, {_partial} FROM solved)
+SELECT {r(*[f'{kind}_{i}' for kind in ('partial', 'phi') for i in range(1, _p + 1)], 'log_lik', 'sigma', 'intercept', 'scaled_rainfall_deviation',
+          'scaled_temperature_deviation', 'se_intercept', 'se_scaled_rainfall_deviation', 'se_scaled_temperature_deviation')} FROM t"""
 
 LINE = """
   count(*) AS n, regr_slope(d, year) AS slope, regr_intercept(d, year) AS intercept, avg(year) AS x_mean, regr_sxx(d, year) AS sxx,

@@ -21,7 +21,7 @@ from almanaq.operators.aggregate import levels, monthly, monthly_through_lookup
 from almanaq.operators.anomaly import deviation, period_index, standardised_deviation, zscore
 from almanaq.operators.coefficients import coef_interval
 from almanaq.operators.density import weighted_kde
-from almanaq.operators.gls import gls_ar, gls_ar1_profile
+from almanaq.operators.gls import gls_ar, gls_ar_profile
 from almanaq.operators.panel import (
     lookup_join, merge, period_profile, recent_profile, skeleton_fill, splice, unmatched_keys,
 )
@@ -39,7 +39,12 @@ SKELETON_FROM = 1996
 PERIODS = (("1995–1996", 1995, 1996), ("1996–1998", 1996, 1998), ("1999-2001", 1999, 2001))
 KEEP_TERMS, DROP_TERMS = ("widget", "bolt", "anvil"), ("red", "small")
 PRIORITIES = (("1-URGENT", "U"), ("2-HIGH", "H"), ("4-NOT SPECIFIED", "N"), ("5-LOW", "L"))
-PHI_GRID = tuple(i / 10 for i in range(-9, 10))
+# Partial autocorrelations at which the likelihood of each order is compared.
+PARTIALS = {
+    1: tuple((i / 10,) for i in range(-9, 10)),
+    2: tuple((i / 4, j / 4) for i in range(-3, 4) for j in range(-3, 4)),
+    3: tuple((i / 2, j / 2, k / 2) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)),
+}
 MONTHS_1995_2001 = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -391,15 +396,29 @@ def unit_slope_table(spark, sf_dir):
     return nation_slopes(spark, sf_dir).drop("p_value", "diff_p_value")
 
 
-@query
-def gls_ar1_grid(spark, sf_dir):
+def _gls_profile(spark, sf_dir, partials) -> DataFrame:
     rows = complete_years(scaled_national_panel(spark, sf_dir))
-    return gls_ar1_profile(rows, national.OUTCOME, national.COVARIATES, "year", "month", PHI_GRID)
+    return gls_ar_profile(rows, national.OUTCOME, national.COVARIATES, "year", "month", partials)
+
+
+@query
+def gls_ar1_profile(spark, sf_dir):
+    return _gls_profile(spark, sf_dir, PARTIALS[1])
+
+
+@query
+def gls_ar2_profile(spark, sf_dir):
+    return _gls_profile(spark, sf_dir, PARTIALS[2])
+
+
+@query
+def gls_ar3_profile(spark, sf_dir):
+    return _gls_profile(spark, sf_dir, PARTIALS[3])
 
 
 def _gls(spark, sf_dir, p: int) -> DataFrame:
     rows = complete_years(scaled_national_panel(spark, sf_dir))
-    return coef_interval(gls_ar(rows, national.OUTCOME, national.COVARIATES, "year", "month", p))
+    return readable(gls_ar(rows, national.OUTCOME, national.COVARIATES, "year", "month", p))
 
 
 @query
