@@ -20,25 +20,21 @@ def with_year_month(df: DataFrame, date: Column | str) -> DataFrame:
     return df.withColumns({"year": F.year(d).cast("int"), "month": F.month(d).cast("int")})
 
 
-def _parse(text: Column, day_first: bool) -> Column:
-    parts = F.split(F.regexp_replace(F.trim(text), r"[\s/.\-]+", "/"), "/")
-    lead, second, year = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
-    day, month = (lead, second) if day_first else (second, lead)
-    two_digit = F.length(year) == 2
-    # Two-digit years: 00-68 are 20xx, 69-99 are 19xx.
-    century = F.when(year.try_cast("int") <= 68, F.lit("20")).otherwise(F.lit("19"))
-    full_year = F.when(two_digit, F.concat(century, year)).otherwise(year)
-    return F.when(F.size(parts) == 3, F.try_to_date(F.concat_ws("/", day, month, full_year), "d/M/yyyy"))
+def _parse(text: Column, order: str) -> Column:
+    """Any run of spaces, slashes, dots or dashes separates; two-digit years 00-68 are 20xx, 69-99 are 19xx."""
+    parts = F.regexp_replace(F.trim(text), r"[\s/.\-]+", "/")
+    recent = F.regexp_replace(parts, r"/([0-5]\d|6[0-8])$", "/20$1")
+    return F.try_to_date(F.regexp_replace(recent, r"/(\d\d)$", "/19$1"), order)
 
 
 def parse_dmy(text: Column | str) -> Column:
     """Day-month-year text to a date; NULL when it is not a real date."""
-    return _parse(_col(text), day_first=True)
+    return _parse(_col(text), "d/M/yyyy")
 
 
 def parse_mdy(text: Column | str) -> Column:
     """Month-day-year text to a date; NULL when it is not a real date."""
-    return _parse(_col(text), day_first=False)
+    return _parse(_col(text), "M/d/yyyy")
 
 
 def strip_clock(text: Column | str) -> Column:

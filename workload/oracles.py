@@ -346,6 +346,34 @@ t AS (SELECT *, {_phi}, {_partial} FROM solved)
 SELECT {r(*[f'{kind}_{i}' for kind in ('partial', 'phi') for i in range(1, _p + 1)], 'log_lik', 'sigma', 'intercept', 'scaled_rainfall_deviation',
           'scaled_temperature_deviation', 'se_intercept', 'se_scaled_rainfall_deviation', 'se_scaled_temperature_deviation')} FROM t"""
 
+# The maximum itself: a grid around the best point so far, halved 28 times.
+for _p in (1, 2, 3):
+    _axis = lambda i: f"CROSS JOIN range(-3, 4) o{i}(d{i})" if i <= _p else ""
+    _at = lambda i: f"greatest(-0.999, least(0.999, k{i} + d{i} * w))" if i <= _p else "0.0::DOUBLE"
+    _phi = ", ".join(f"{c} AS phi_{i}" for i, c in enumerate(PREDICTION[_p][:_p], 1))
+    _term = lambda name, value, error: f"SELECT '{name}' AS term, {value} AS estimate, {error} AS std_error, * FROM final"
+    _values = ["estimate", "std_error", "t_value", "lower", "upper", "sigma", "log_lik", *[f"phi_{i}" for i in range(1, _p + 1)]]
+    ORACLES[f"gls_ar{_p}"] = f"""WITH RECURSIVE {national('month')}, {MODEL}, {lagged(_p)},
+search AS (
+  SELECT 0 AS step, 0.3::DOUBLE AS w, 0.0::DOUBLE AS k1, 0.0::DOUBLE AS k2, 0.0::DOUBLE AS k3
+  UNION ALL
+  SELECT step + 1, w / 2, best.k1, best.k2, best.k3 FROM (
+    WITH params AS (
+      SELECT step, w, row_number() OVER () AS id, {_at(1)} AS k1, {_at(2)} AS k2, {_at(3)} AS k3
+      FROM search {_axis(1)} {_axis(2)} {_axis(3)} WHERE step < 28),
+    {white(_p)}, {SOLVE3}
+    SELECT any_value(params.step) AS step, any_value(params.w) AS w,
+           arg_max({{'k1': params.k1, 'k2': params.k2, 'k3': params.k3}}, solved.log_lik) AS best
+    FROM solved JOIN params USING (id)) q WHERE step IS NOT NULL),
+params AS (SELECT 1 AS id, k1, k2, k3 FROM search WHERE step = 28), {white(_p)}, {SOLVE3},
+final AS (SELECT *, {_phi} FROM solved),
+terms AS (
+  {_term('(Intercept)', 'intercept', 'se_intercept')} UNION ALL
+  {_term('scaled_rainfall_deviation', 'scaled_rainfall_deviation', 'se_scaled_rainfall_deviation')} UNION ALL
+  {_term('scaled_temperature_deviation', 'scaled_temperature_deviation', 'se_scaled_temperature_deviation')}),
+t AS (SELECT *, estimate / std_error AS t_value, estimate - 2 * std_error AS lower, estimate + 2 * std_error AS upper FROM terms)
+SELECT term, n - 3 AS df_resid, n AS n_obs, {", ".join(f"round({c} * 1e4) / 1e4 + 0.0 AS {c}" for c in _values)} FROM t"""
+
 LINE = """
   count(*) AS n, regr_slope(d, year) AS slope, regr_intercept(d, year) AS intercept, avg(year) AS x_mean, regr_sxx(d, year) AS sxx,
   CAST(min(year) AS DOUBLE) AS x_min, CAST(max(year) AS DOUBLE) AS x_max,

@@ -61,10 +61,12 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def round_doubles(df: DataFrame) -> DataFrame:
+def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    unit = 10.0 ** digits
+
     def shape(f: T.StructField) -> Column:
         c = F.col(f.name)
-        return (F.round(c * 1e6) / 1e6 + 0.0).alias(f.name) if isinstance(f.dataType, T.DoubleType) else c
+        return (F.round(c * unit) / unit + 0.0).alias(f.name) if isinstance(f.dataType, T.DoubleType) else c
 
     return df.select(*[shape(f) for f in df.schema.fields])
 
@@ -417,8 +419,9 @@ def gls_ar3_profile(spark, sf_dir):
 
 
 def _gls(spark, sf_dir, p: int) -> DataFrame:
+    """Rounded to four digits: a maximum is flat, its place is known to half the digits of its height."""
     rows = complete_years(scaled_national_panel(spark, sf_dir))
-    return readable(gls_ar(rows, national.OUTCOME, national.COVARIATES, "year", "month", p))
+    return round_doubles(readable(gls_ar(rows, national.OUTCOME, national.COVARIATES, "year", "month", p)), 4)
 
 
 @query
