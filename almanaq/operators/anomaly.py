@@ -11,16 +11,23 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from almanaq.functions.calendar import month_start
 from almanaq.functions.scalar import above_below, ratio
 
-CALENDAR_KEYS = frozenset({"year", "month"})
+# Keys with few values: calendar numbers, and the labels of an inline period list.
+SMALL_KEYS = {"year": T.IntegralType, "month": T.IntegralType, "period_ord": T.IntegralType, "period": T.StringType}
+
+
+def few_groups(df: DataFrame, by: Sequence[str]) -> bool:
+    """Whether all keys have few values by their meaning, so that one row per group is small however large ``df`` is."""
+    return all(k in SMALL_KEYS and isinstance(df.schema[k].dataType, SMALL_KEYS[k]) for k in by)
 
 
 def _attach(df: DataFrame, by: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
     """Adds group statistics to every row; NULL keys form a group of their own."""
-    if set(by) <= CALENDAR_KEYS:
+    if few_groups(df, by):
         renamed = [F.col(k).alias(f"_by_{k}") for k in by]
         table = df.groupBy(*renamed).agg(*[c.alias(n) for n, c in stats.items()])
         # Size bound: one row, or one row per calendar year and/or month.

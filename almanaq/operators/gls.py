@@ -1,14 +1,16 @@
 """Generalised least squares with autoregressive errors (M7, M8).
 
-Each series (a calendar month, say) is followed along time (years). One Spark pass adds up products of the model row
-with its own lags; for any autoregressive coefficients the whitened product matrix is a combination of those sums, so
-the restricted likelihood is searched on the driver without touching the data again.
+Each series (a calendar month, say) is followed along time (years). Every row is put next to the earlier rows of its
+series that still matter for predicting it: back to the last p rows at consecutive times, or to the start. One Spark
+pass adds up the products of these rows, grouped by their distances in time. For any autoregressive coefficients the
+prediction weights depend on the distances alone, so the restricted likelihood is a function of those sums and is
+searched on the driver without touching the data again. Without gaps there are p + 1 groups; gaps add a few more and are
+exact as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations_with_replacement
 from typing import NamedTuple
 
 import numpy as np
@@ -19,76 +21,86 @@ from almanaq.operators.coefficients import coefficient_table
 from almanaq.operators.within import model_rows
 
 
+# A row with more relevant predecessors than this (long stretches without p consecutive times) is refused.
+MAX_CONTEXT = 100
+
+
 class LagSums(NamedTuple):
-    """Products of rows ``(1, xs, y)`` at lags 0..p.
+    """Sums of products of rows ``(1, xs, y)`` with their predecessors.
 
-    ``late[i, j]``: rows after the first p of their series. ``early[i, j]``: the first p rows of every series, position
-    p - i against p - j.
+    ``groups`` maps the distances in time (newest predecessor first) to the number of rows and an array ``[i, j, a, b]``:
+    entry a of predecessor i (0 is the row itself) times entry b of predecessor j.
     """
 
-    late: np.ndarray
-    early: np.ndarray
+    groups: dict[tuple[int, ...], tuple[int, np.ndarray]]
     rows: int
-    series: int
 
 
-def lag_sums(df: DataFrame, y: str, xs: Sequence[str], time: str, group: str, p: int) -> LagSums:
-    """The sums for order p. Raises unless every series has more than p rows at consecutive times.
+def lag_sums(
+    df: DataFrame, y: str, xs: Sequence[str], time: str, group: str, p: int, context: int | None = None,
+) -> LagSums:
+    """The sums for order p. Raises when a time repeats inside a series.
 
-    The window orders one series, which has one row per time; a repeated time is refused as well.
+    The window orders one series, which has one row per time. A first try looks back p rows, which is all there is
+    without gaps; with gaps it is repeated once with the longest stretch that matters.
     """
+    context = context or p
     variables = [*xs, y]
-    data = model_rows(df, [group, time], variables)
+    data = model_rows(df, [group, time], variables).withColumn(time, F.col(time).cast("long"))
     along = Window.partitionBy(group).orderBy(time)
-    names = [[f"_{v}_{lag}" for v in range(len(variables))] for lag in range(p + 1)]
-    lagged = data.select(
-        F.row_number().over(along).alias("_at"),
-        (F.col(time) - F.lag(time).over(along)).alias("_step"),
-        F.lead(F.lit(1)).over(along).isNull().alias("_last"),
-        *[(F.lag(v, lag).over(along) if lag else F.col(v)).alias(names[lag][i])
-          for lag in range(p + 1) for i, v in enumerate(variables)],
+    so_far, before = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, -1)
+    ordered = data.select(
+        F.row_number().over(along).alias("_at"), (F.col(time) - F.lag(time).over(along)).alias("_step"),
+        F.col(time), group,
+        F.reverse(F.collect_list(F.struct(
+            F.col(time).alias("t"), F.array(F.lit(1.0), *[F.col(v) for v in variables]).alias("q"))).over(
+                along.rowsBetween(-context, 0))).alias("_rows"),
     )
-    columns = [F.lit(1.0) if i == 0 else F.col(names[lag][i - 1]) for lag in range(p + 1) for i in range(len(variables) + 1)]
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    phase = F.when(F.col("_at") > p, F.lit("late")).when(F.col("_at") == p, F.lit("early")).otherwise(F.lit("start"))
-    table = lagged.groupBy(phase.alias("phase")).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("_at") == 1).alias("series"),
-        F.count_if((F.col("_at") > 1) & (F.col("_step") != 1)).alias("gaps"),
-        F.count_if(F.col("_last") & (F.col("_at") <= p)).alias("short"),
-        *[F.sum(columns[a] * columns[b]).alias(f"_{a}_{b}") for a, b in pairs],
+    starts = F.when(F.col("_step").isNull() | (F.col("_step") != 1), F.col("_at"))
+    ordered = ordered.withColumn("_run", F.col("_at") - F.max(starts).over(so_far) + 1)
+    known = F.max(F.when(F.col("_run") >= p, F.col("_at"))).over(before)
+    # Predecessors that matter: from the last p consecutive times on, or all of them.
+    ordered = ordered.withColumn("_needs", F.col("_at") - 1 - F.coalesce(known - p, F.lit(0)))
+    kept = F.slice("_rows", F.lit(1), F.least(F.col("_needs"), F.lit(context)) + 1)
+    ordered = ordered.select("_step", "_needs", F.posexplode(kept).alias("_i", "_a"), kept.alias("_rows"))
+    distances = F.transform(F.slice("_rows", F.lit(2), F.size("_rows")), lambda row: F.get("_rows", F.lit(0))["t"] - row["t"])
+    # Each row against itself and the older ones of its context: at most (p + 1)(p + 2) / 2 without gaps.
+    pairs = ordered.select(
+        distances.alias("distances"), "_step", "_needs", "_i", F.col("_a.q").alias("_a"), F.posexplode("_rows").alias("_j", "_b")).where("_j >= _i")
+    m = len(variables) + 1
+    table = pairs.groupBy("distances", "_i", "_j").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("_needs").alias("needs"), F.count_if(F.col("_step") < 1).alias("repeats"),
+        *[F.sum(F.get("_a", F.lit(a)) * F.get("_b.q", F.lit(b))).alias(f"_{a}_{b}") for a in range(m) for b in range(m)],
     ).collect()
-    by_phase = {row["phase"]: row for row in table}
-    if not by_phase:
+    if not table:
         raise ValueError("no complete rows")
-    if sum(row["gaps"] for row in table):
-        raise ValueError(f"{time} must run without gaps or repeats inside each {group}")
-    if sum(row["short"] for row in table):
-        raise ValueError(f"a series has {p} rows or fewer; order {p} needs more")
-    m = len(variables) + 1
-
-    def blocks(row, lags: int) -> np.ndarray:
-        out = np.zeros((lags, lags, m, m))
-        for a, b in pairs:
-            i, j = a // m, b // m
-            if max(i, j) < lags:
-                out[i, j, a % m, b % m] = row[f"_{a}_{b}"]
-                out[j, i, b % m, a % m] = row[f"_{a}_{b}"]
-        return out
-
-    return LagSums(
-        blocks(by_phase["late"], p + 1), blocks(by_phase["early"], p),
-        sum(row["rows"] for row in table), sum(row["series"] for row in table))
-
-
-def ar_from_partial(partial: Sequence[float]) -> tuple[np.ndarray, np.ndarray, float]:
-    """AR coefficients, autocorrelations r_0..r_p and innovation variance (marginal variance 1) from partial ones."""
+    if sum(row["repeats"] for row in table):
+        raise ValueError(f"{time} repeats inside a {group}")
+    needs = max(row["needs"] for row in table)
+    if needs > MAX_CONTEXT:
+        raise ValueError(f"a {group} has too many gaps along {time} for order {p}")
+    if needs > context:
+        return lag_sums(df, y, xs, time, group, p, needs)
+    groups: dict[tuple[int, ...], tuple[int, np.ndarray]] = {}
+    for row in table:
+        key, i, j = tuple(row["distances"]), row["_i"], row["_j"]
+        size = len(key) + 1
+        _, products = groups.setdefault(key, (row["rows"], np.zeros((size, size, m, m))))
+        products[i, j] = np.array([[row[f"_{a}_{b}"] for b in range(m)] for a in range(m)])
+        products[j, i] = products[i, j].T
+    return LagSums(groups, sum(rows for rows, _ in groups.values()))
+
+
+def ar_from_partial(partial: Sequence[float], up_to: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """AR coefficients, and autocorrelations at distances 0, 1, ... from partial autocorrelations."""
     phi, r, v = np.zeros(0), [1.0], 1.0
     for kappa in partial:
         r.append(float(kappa * v + sum(phi[i] * r[len(phi) - i] for i in range(len(phi)))))
         phi = np.append(phi - kappa * phi[::-1], kappa)
         v *= 1.0 - kappa ** 2
-    return phi, np.array(r), v
+    while len(r) <= up_to:
+        r.append(float(phi @ r[:-len(phi) - 1:-1]))
+    return phi, np.array(r)
 
 
 class Fit(NamedTuple):
@@ -101,18 +113,23 @@ class Fit(NamedTuple):
 
 def fit_at(sums: LagSums, partial: Sequence[float]) -> Fit:
     """Restricted log likelihood and estimates at given partial autocorrelations."""
-    p = len(partial)
-    phi, r, v = ar_from_partial(partial)
-    a = np.concatenate([[1.0], -phi])
-    corr = r[np.abs(np.subtract.outer(np.arange(p), np.arange(p)))]
-    w = np.einsum("i,j,ijab->ab", a, a, sums.late) / v + np.einsum("ij,ijab->ab", np.linalg.inv(corr), sums.early)
+    longest = max((d[-1] for d in sums.groups if d), default=0)
+    phi, r = ar_from_partial(partial, longest)
+    w, log_v = 0.0, 0.0
+    for distances, (rows, products) in sums.groups.items():
+        at = np.array((0, *distances))
+        corr = r[np.abs(np.subtract.outer(at, at))]
+        weights = np.linalg.solve(corr[1:, 1:], corr[1:, 0])
+        v = 1.0 - weights @ corr[1:, 0]
+        a = np.concatenate([[1.0], -weights])
+        w = w + np.einsum("i,j,ijab->ab", a, a, products) / v
+        log_v += rows * np.log(v)
     k = w.shape[0] - 1
     xx, xy = w[:k, :k], w[:k, k]
     beta = np.linalg.solve(xx, xy)
     dof = sums.rows - k
     rss = w[k, k] - xy @ beta
     sigma2 = rss / dof
-    log_v = sums.series * np.linalg.slogdet(corr)[1] + (sums.rows - p * sums.series) * np.log(v)
     loglik = -0.5 * (dof * (np.log(2 * np.pi * sigma2) + 1.0) + log_v + np.linalg.slogdet(xx)[1])
     return Fit(loglik, beta, sigma2 * np.linalg.inv(xx), sigma2, phi)
 

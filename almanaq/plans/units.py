@@ -52,7 +52,8 @@ def unit_panel(
         anomaly_panel(rainfall, incidents, unit, skeleton_from),
         warm.select(*keys, "temperature", "temperature_deviation"), keys, "left",
     )
-    return zscore(period_index(panel), DEVIATIONS, by=[])
+    # Three passes follow (ranks, scale, rows); the joins above run once.
+    return zscore(period_index(materialise(panel)), DEVIATIONS, by=[])
 
 
 def unit_models(panel: DataFrame, unit: str, partial_year: int = PARTIAL_YEAR) -> dict[str, DataFrame]:

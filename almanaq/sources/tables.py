@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
@@ -41,7 +42,7 @@ def materialise(df: DataFrame) -> DataFrame:
 def materialise_all(*dfs: DataFrame) -> list[DataFrame]:
     """``materialise`` for several independent tables, as concurrent Spark jobs."""
     with ThreadPoolExecutor(len(dfs)) as pool:
-        return list(pool.map(materialise, dfs))
+        return [f.result() for f in [pool.submit(inheritable_thread_target(df.sparkSession)(materialise), df) for df in dfs]]
 
 
 def write_table(df: DataFrame, path: str) -> None:

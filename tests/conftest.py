@@ -1,3 +1,5 @@
+import almanaq  # noqa: F401  (before numpy: sets the BLAS threads)
+
 import pytest
 from pyspark.sql import SparkSession
 
