@@ -51,9 +51,12 @@ def r(*columns: str) -> str:
     return ", ".join(f"round({c} * 1e6) / 1e6 + 0.0 AS {c}" for c in columns)
 
 
-def national(scale_by: str, incidents: str = "ord") -> str:
-    """CTEs ending in ``panel``: three deviations by month, rescaled by ``scale_by`` ('' for the whole table)."""
-    return f"""{SHIP}, {ORD},
+def national(scale_by: str, incidents: str = "ord", extra: str = "") -> str:
+    """CTEs ending in ``panel``: three deviations by month, rescaled by ``scale_by`` ('' for the whole table).
+
+    ``incidents`` names the table of counts, which ``extra`` CTEs may define.
+    """
+    return f"""{SHIP}, {ORD},{extra}
 rain_dev AS (SELECT year, month, rfh - avg(rfh) OVER (PARTITION BY month) AS rainfall_deviation FROM ship),
 temp_dev AS (SELECT year, month, temperature - avg(temperature) OVER (PARTITION BY month) AS temperature_deviation FROM ship),
 inc_z AS (SELECT year, month, {z('incidents', 'year')} AS s FROM {incidents}),
@@ -67,27 +70,30 @@ panel AS (
   FROM merged)"""
 
 
-UNIT_MERGED = f"""{SHIP}, {ORD},
+def unit_anomalies(unit: str, ship: str, urgent: str) -> str:
+    """CTEs ``rain_dev`` and ``inc_dev`` of one geographic level."""
+    return f"""
 rain_dev AS (
-  SELECT nation, year, month, rfh, avg(rfh) OVER w AS mean_rfh, rfh - avg(rfh) OVER w AS rainfall_deviation
-  FROM ship_nation WINDOW w AS (PARTITION BY nation, month)),
+  SELECT {unit}, year, month, rfh, avg(rfh) OVER w AS mean_rfh, rfh - avg(rfh) OVER w AS rainfall_deviation
+  FROM {ship} WINDOW w AS (PARTITION BY {unit}, month)),
 filled AS (
-  SELECT s.nation, s.year, s.month, coalesce(u.incidents, 0) AS incidents
-  FROM ship_nation s LEFT JOIN urgent_nation u USING (nation, year, month) WHERE s.year >= 1996),
+  SELECT s.{unit}, s.year, s.month, coalesce(u.incidents, 0) AS incidents
+  FROM {ship} s LEFT JOIN {urgent} u USING ({unit}, year, month) WHERE s.year >= 1996),
 inc_z AS (SELECT *, {z('incidents', 'year')} AS standardized_incidents FROM filled),
 inc_dev AS (
-  SELECT nation, year, month, standardized_incidents,
+  SELECT {unit}, year, month, standardized_incidents,
          avg(standardized_incidents) OVER w AS mean_standardized_incidents,
          standardized_incidents - avg(standardized_incidents) OVER w AS incident_deviation
-  FROM inc_z WINDOW w AS (PARTITION BY nation, month)),
+  FROM inc_z WINDOW w AS (PARTITION BY {unit}, month))"""
+
+
+UNIT = f"""{SHIP}, {ORD}, {unit_anomalies('nation', 'ship_nation', 'urgent_nation')},
 temp_dev AS (
   SELECT nation, year, month, temperature,
          temperature - avg(temperature) OVER (PARTITION BY nation, month) AS temperature_deviation
   FROM ship_nation),
 merged AS (
-  SELECT * FROM rain_dev JOIN inc_dev USING (nation, year, month) LEFT JOIN temp_dev USING (nation, year, month))"""
-
-UNIT = f"""{UNIT_MERGED},
+  SELECT * FROM rain_dev JOIN inc_dev USING (nation, year, month) LEFT JOIN temp_dev USING (nation, year, month)),
 panel AS (
   SELECT *, make_date(year, month, 1) AS date,
          CAST(dense_rank() OVER (ORDER BY year, month) AS INT) AS time,
@@ -188,17 +194,16 @@ ORACLES["zscore_global"] = f"""WITH {SHIP}, t AS (
 SELECT year, month, rfh, {r('temperature', 'scaled_rfh', 'scaled_temperature')} FROM t"""
 
 
-def standardised(source: str, by: str, keys: str) -> str:
+def standardised(source: str, by: str, keys: str, out: str) -> str:
     return f"""WITH {ORD}, a AS (SELECT *, {z('incidents', 'year')} AS standardized_incidents FROM {source}),
 t AS (
   SELECT *, avg(standardized_incidents) OVER w AS mean_standardized_incidents,
-         standardized_incidents - avg(standardized_incidents) OVER w AS deviation FROM a WINDOW w AS (PARTITION BY {by}))
-SELECT {keys}, incidents, {r('standardized_incidents', 'mean_standardized_incidents', 'deviation')} FROM t"""
+         standardized_incidents - avg(standardized_incidents) OVER w AS {out} FROM a WINDOW w AS (PARTITION BY {by}))
+SELECT {keys}, incidents, {r('standardized_incidents', 'mean_standardized_incidents', out)} FROM t"""
 
 
-ORACLES["standardised_month_deviation"] = standardised("ord", "month", "year, month").replace("deviation AS deviation", "X").replace(
-    "+ 0.0 AS deviation", "+ 0.0 AS incident_deviation")
-ORACLES["standardised_unit_deviation"] = standardised("ord_nation", "nation, month", "nation, year, month")
+ORACLES["standardised_month_deviation"] = standardised("ord", "month", "year, month", "incident_deviation")
+ORACLES["standardised_unit_deviation"] = standardised("ord_nation", "nation, month", "nation, year, month", "deviation")
 ORACLES["period_index_by_month"] = f"""WITH {ORD}
 SELECT nation, year, month, make_date(year, month, 1) AS date, CAST(dense_rank() OVER (ORDER BY year, month) AS INT) AS time,
        monthname(make_date(year, month, 1)) AS month_name FROM ord_nation"""
@@ -470,19 +475,18 @@ events AS (
   WHERE regexp_matches(p_name, 'widget|bolt|anvil') AND NOT regexp_matches(p_name, 'red|small') GROUP BY ALL),
 months AS (SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month FROM range(1996, 2001) a(y) CROSS JOIN range(1, 13) b(m)),
 counted AS (SELECT year, month, coalesce(n, 0) AS incidents FROM events FULL JOIN months USING (year, month)),"""
-ORACLES["city_panel"] = f"""WITH {national('', 'counted').replace('rain_dev AS', _city + 'rain_dev AS', 1)}
+ORACLES["city_panel"] = f"""WITH {national('', 'counted', _city)}
 SELECT year, month, {r(*DEVIATION_COLUMNS)} FROM panel"""
 ORACLES["unit_panel"] = f"""WITH {UNIT}
 SELECT nation, year, month, date, time, rfh,
        {r('mean_rfh', 'standardized_incidents', 'mean_standardized_incidents', 'temperature', *DEVIATION_COLUMNS)} FROM panel"""
-_region = UNIT_MERGED.replace(ORD, ORD + """,
-region_ship AS (SELECT n_regionkey AS region, year, month, sum(rfh) AS rfh FROM ship_nation s JOIN nation ON s.nation = n_nationkey GROUP BY ALL),
-region_urgent AS (SELECT n_regionkey AS region, year, month, CAST(sum(incidents) AS BIGINT) AS incidents
-  FROM urgent_nation s JOIN nation ON s.nation = n_nationkey GROUP BY ALL)""")
-_head, _tail = _region.split("rain_dev AS", 1)
-_tail = _tail[:_tail.index("temp_dev AS")].rstrip().rstrip(",")
-_tail = _tail.replace("ship_nation", "region_ship").replace("urgent_nation", "region_urgent").replace("s.nation", "s.region").replace("nation,", "region,")
-ORACLES["region_panel"] = f"""WITH {_head}rain_dev AS{_tail}
+ORACLES["region_panel"] = f"""WITH {SHIP}, {ORD},
+region_ship AS (
+  SELECT n_regionkey AS region, year, month, sum(rfh) AS rfh FROM ship_nation s JOIN nation ON s.nation = n_nationkey GROUP BY ALL),
+region_urgent AS (
+  SELECT n_regionkey AS region, year, month, sum(incidents) AS incidents
+  FROM urgent_nation s JOIN nation ON s.nation = n_nationkey GROUP BY ALL),
+{unit_anomalies('region', 'region_ship', 'region_urgent')}
 SELECT region, year, month, rfh, {r('mean_rfh', 'rainfall_deviation', 'standardized_incidents', 'mean_standardized_incidents', 'incident_deviation')}
 FROM rain_dev JOIN inc_dev USING (region, year, month)"""
 ORACLES["unit_recent_profile"] = f"""WITH {UNIT}, t AS (

@@ -461,8 +461,11 @@ def weighted_density(spark, sf_dir):
 def parcels(spark, sf_dir) -> DataFrame:
     """Vertices of one square parcel per customer on a grid of 200 columns; the BUILDING parcels have a hole."""
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    corner = lambda ring, seq, dx, dy: F.struct(
-        F.lit(ring).alias("ring"), F.lit(seq).alias("seq"), F.lit(float(dx)).alias("dx"), F.lit(float(dy)).alias("dy"))
+
+    def corner(ring: int, seq: int, dx: float, dy: float) -> Column:
+        return F.struct(
+            F.lit(ring).alias("ring"), F.lit(seq).alias("seq"), F.lit(float(dx)).alias("dx"), F.lit(float(dy)).alias("dy"))
+
     outer = [corner(1, s, *p) for s, p in enumerate([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], 1)]
     hole = [corner(2, s, *p) for s, p in enumerate([(0.25, 0.25), (0.25, 0.5), (0.75, 0.5)], 1)]
     corners = F.when(F.col("c_mktsegment") == "BUILDING", F.array(*outer, *hole)).otherwise(F.array(*outer))
@@ -544,9 +547,12 @@ def region_panel(spark, sf_dir):
     """The panel one level up, without models."""
     ship, order = nation_cells(spark, sf_dir)
     regions = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"))
-    up = lambda cells, value, na: materialise(monthly(
-        lookup_join(cells, regions, "nation", "n_nationkey"), value, ["region", "year", "month"], na=na))
-    return units.anomaly_panel(up(ship, "rfh", "strict"), up(order, "incidents", "skip"), "region", SKELETON_FROM)
+
+    def upper(cells: DataFrame, value: str, na: str) -> DataFrame:
+        return monthly(lookup_join(cells, regions, "nation", "n_nationkey"), value, ["region", "year", "month"], na=na)
+
+    rain, incidents = materialise_all(upper(ship, "rfh", "strict"), upper(order, "incidents", "skip"))
+    return units.anomaly_panel(rain, incidents, "region", SKELETON_FROM)
 
 
 @query
