@@ -5,8 +5,10 @@ sketch: a bit map in which every sample flips one bit, so that the XOR of two sk
 and estimates high similarities well. Candidate pairs whose sketches agree enough are confirmed on the full sets.
 
 Large groups never become all pairs: equal sets are one class; in every bucket the members are first paired with one
-leader only; what is confirmed merges into components; and only members of different components that still share a
-bucket are paired afterwards, those of the bucket's largest component being one side only.
+leader only; what is confirmed merges into components; members outside their bucket's largest component are then paired
+with a few leaders of it; and only members of different components that still share a bucket are paired afterwards,
+those of the bucket's largest component being one side only, and only if the shingles that no other open document has
+leave room for a link.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from pyspark.sql import functions as F
 from .common import materialise, ship_package
 from .wordgrid import LOWER, MAX_DOCS, U, Words, chunks, mix
 
-ROWS, BANDS = 5, 40  # two sets of similarity 0.8 miss each other in all bands once in 8 million times
+ROWS, BANDS = 7, 70  # two sets of similarity 0.8 miss each other in all bands once in 15 million times
 SAMPLES = ROWS * BANDS
-SKETCH_BITS = 1024
+SKETCH_BITS = 2048
 #: Sketches of a linked pair agree to at least this estimate, but for about one pair in a billion.
-MIN_ESTIMATE = 0.5
+MIN_ESTIMATE = 0.65
+LEADERS = 8  # of a bucket's largest component, in the second round
 
 assert MAX_DOCS <= 1 << 12
 
@@ -134,6 +137,22 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return wide.mapInArrow(run, "a long, b long")
 
 
+def private_shingles(texts: DataFrame) -> DataFrame:
+    """``id, private``: how many shingles of a text stand in none of the other ``texts (id, text)``. Such shingles can't
+    be in an intersection, which bounds the similarity of a pair without comparing it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, texts_ in chunks(b.column(1)):
+                shingles, size = shingle_sets(Words(texts_, lower=True))
+                ids = b.column(0).slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(len(size)), size)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(_signed(shingles))], ["id", "shingle"])
+
+    held = texts.select("id", "text").mapInArrow(run, "id long, shingle long")
+    alone = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
+    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("private"))
+
+
 def similar_sketches(pairs: DataFrame, sketches: DataFrame, min_estimate: float = MIN_ESTIMATE) -> DataFrame:
     """The ``(a, b)`` whose odd sketches estimate a similarity of ``min_estimate``."""
     a = sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a"))
@@ -180,6 +199,23 @@ def _sizes_fit(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _ordered(a: str, b: str):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _still_open(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the buckets with several components: the members outside the largest, and all members."""
+    located = materialise(shared.join(labels, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component")))
+    mixed = located.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    members = materialise(located.join(mixed, "bucket", "left_semi"))
+    biggest = (
+        members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+        .agg(F.max(F.struct("n", "component")).alias("m")).select("bucket", F.col("m.component").alias("big")))
+    members = materialise(members.join(biggest, "bucket"))
+    other = members.select("bucket", F.col("id").alias("b"), F.col("n_shingles").alias("size_b"), F.col("component").alias("comp_b"), "big")
+    return members.where("component <> big").drop("big"), other
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -211,22 +247,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = materialise(source.join(sketches.select("id"), "id", "left_semi"))
     linked = materialise(confirm(first, texts, percent))
     labels = components(linked)
-    # members of different components that share a bucket: the largest component is one side only
-    located = materialise(shared.join(labels, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component")))
-    mixed = located.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_ = materialise(located.join(mixed, "bucket", "left_semi"))
-    biggest = (
-        open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
-        .agg(F.max(F.struct("n", "component")).alias("m")).select("bucket", F.col("m.component").alias("big")))
-    few = materialise(open_.join(biggest, "bucket").where("component <> big"))
-    other = open_.select("bucket", F.col("id").alias("b"), F.col("n_shingles").alias("size_b"), F.col("component").alias("comp_b"))
-    again = (
-        few.join(other, "bucket").where("component <> comp_b and (comp_b = big or id < b)").where(_sizes_fit("n_shingles", "size_b", percent))
-        .select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct())
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    again = materialise(similar_sketches(again, sketches).join(tried, ["a", "b"], "left_anti"))
-    if not again.isEmpty():
-        linked = materialise(linked.union(confirm(again, texts, percent)))
+    # members outside the largest component of their bucket, with some of its members
+    few, other = _still_open(shared, labels)
+    picks = [F.max(F.struct(F.xxhash64("b", F.lit(j)).alias("h"), "b", "size_b")).alias(f"m{j}") for j in range(LEADERS)]
+    leaders = other.where("comp_b = big").groupBy("bucket").agg(*picks).select(
+        "bucket", F.explode(F.array_distinct(F.array(*[F.struct(f"m{j}.b", f"m{j}.size_b") for j in range(LEADERS)]))).alias("m"))
+    tried = first.select(*_ordered("a", "b"))
+    second = (
+        few.join(leaders, "bucket").where(_sizes_fit("n_shingles", "m.size_b", percent)).select(*_ordered("id", "m.b"))
+        .distinct().join(tried, ["a", "b"], "left_anti"))
+    second = materialise(similar_sketches(second, sketches))
+    if not second.isEmpty():
+        linked = materialise(linked.union(confirm(second, texts, percent)))
+        labels = components(linked)
+        few, other = _still_open(shared, labels)
+        tried = tried.union(second)
+    # all pairs that are left: different components that share a bucket, the largest being one side only
+    open_ids = other.select(F.col("b").alias("id")).distinct()
+    private = materialise(private_shingles(texts.join(open_ids, "id", "left_semi")))
+    few = few.join(private, "id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("private", F.lit(0))).drop("private")
+    other = other.join(private.withColumnRenamed("id", "b"), "b", "left").select(
+        "bucket", "b", "size_b", "comp_b", "big", (F.col("size_b") - F.coalesce("private", F.lit(0))).alias("common_b"))
+    both = F.least("common", "common_b")  # at most so many shingles in the intersection
+    can_link = 100 * both >= percent * (F.col("n_shingles") + F.col("size_b") - both)
+    third = (
+        few.where(100 * F.col("common") >= percent * F.col("n_shingles")).join(other, "bucket")
+        .where("component <> comp_b and (comp_b = big or id < b)").where(can_link)
+        .select(*_ordered("id", "b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    third = materialise(similar_sketches(third, sketches))
+    if not third.isEmpty():
+        linked = materialise(linked.union(confirm(third, texts, percent)))
         labels = components(linked)
     named = materialise(classes.select(*key, F.col("id").alias("class_id")).join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
                         .select(*key, F.coalesce("component", "class_id").alias("component")))
