@@ -26,7 +26,7 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
     value = d.copy()
-    for m in range(1, 500):
+    for m in range(1, 20000):
         for step in (m * (b - m) / ((a + 2 * m - 1) * (a + 2 * m)),
                      -(a + m) * (a + b + m) / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + step * x * d
@@ -36,6 +36,8 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             value *= c * d
         if np.all(np.abs(c * d - 1.0) < 1e-15):
             break
+    else:
+        raise ArithmeticError("the continued fraction did not converge")
     return value
 
 

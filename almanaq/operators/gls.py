@@ -21,10 +21,6 @@ from almanaq.operators.coefficients import coefficient_table
 from almanaq.operators.within import model_rows
 
 
-# A row with more relevant predecessors than this (long stretches without p consecutive times) is refused.
-MAX_CONTEXT = 100
-
-
 class LagSums(NamedTuple):
     """Sums of products of rows ``(1, xs, y)`` with their predecessors.
 
@@ -77,8 +73,6 @@ def lag_sums(
     if sum(row["repeats"] for row in table):
         raise ValueError(f"{time} repeats inside a {group}")
     needs = max(row["needs"] for row in table)
-    if needs > MAX_CONTEXT:
-        raise ValueError(f"a {group} has too many gaps along {time} for order {p}")
     if needs > context:
         return lag_sums(df, y, xs, time, group, p, needs)
     groups: dict[tuple[int, ...], tuple[int, np.ndarray]] = {}
@@ -149,7 +143,7 @@ def _simplex(loss, start: np.ndarray, size: float) -> np.ndarray:
     """Nelder-Mead downhill search."""
     points = [start] + [start + size * e for e in np.eye(len(start))]
     values = [loss(q) for q in points]
-    for _ in range(400):
+    for _ in range(2000):
         order = np.argsort(values)
         points, values = [points[i] for i in order], [values[i] for i in order]
         if max(np.max(np.abs(q - points[0])) for q in points[1:]) < 1e-10:
@@ -171,6 +165,8 @@ def _simplex(loss, start: np.ndarray, size: float) -> np.ndarray:
             else:
                 points = [points[0]] + [points[0] + 0.5 * (q - points[0]) for q in points[1:]]
                 values = [values[0]] + [loss(q) for q in points[1:]]
+    else:
+        raise ArithmeticError("the likelihood search did not converge")
     return points[int(np.argmin(values))]
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,10 +24,12 @@ def _nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_parts(
-    spark: SparkSession, paths: Sequence[str], schema: T.StructType, encoding: str = "UTF-8"
+    spark: SparkSession, paths: Sequence[str], schema: T.StructType, encoding: str = "UTF-8", multiline: bool = True,
 ) -> DataFrame:
     """Several CSV files with one header and schema, stacked in one scan. ``NA``, empty and NaN fields become NULL.
 
+    Quoted fields may hold commas, doubled quotes and line breaks. Files with line breaks inside fields can't be split:
+    pass ``multiline=False`` for large files without any, numeric tables say.
     ``encoding="ISO-8859-1"`` reads legacy files one byte per character; see ``text.decode_codepage`` for DOS pages.
     """
     reader = (
@@ -34,13 +38,17 @@ def read_parts(
         .option("nullValue", "NA")
         .option("encoding", encoding)
         .option("enforceSchema", True)
+        .option("escape", '"')
+        .option("multiLine", multiline)
     )
     return _nan_to_null(reader.csv(list(paths)))
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8", multiline: bool = True,
+) -> DataFrame:
     """One CSV file with a header."""
-    return read_parts(spark, [path], schema, encoding)
+    return read_parts(spark, [path], schema, encoding, multiline)
 
 
 def legal_name(name: str) -> str:
@@ -51,13 +59,17 @@ def legal_name(name: str) -> str:
 
 
 def unique_names(header: Sequence[str]) -> list[str]:
-    """Legal names for a header; repeats get ``.1``, ``.2``, ..."""
-    taken: dict[str, int] = {}
+    """Legal names for a header; repeats get ``.1``, ``.2``, ..., skipping names that the header has itself."""
+    legal = [legal_name(name) for name in header]
+    taken: set[str] = set()
     names = []
-    for name in map(legal_name, header):
-        seen = taken.get(name, 0)
-        taken[name] = seen + 1
-        names.append(f"{name}.{seen}" if seen else name)
+    for name in legal:
+        fresh, n = name, 0
+        while fresh in taken or (n and fresh in legal):
+            n += 1
+            fresh = f"{name}.{n}"
+        taken.add(fresh)
+        names.append(fresh)
     return names
 
 
@@ -68,23 +80,36 @@ def make_names(df: DataFrame) -> DataFrame:
 
 def read_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
     """Column names of a CSV file; only its first line is read."""
-    return spark.read.option("header", True).option("encoding", encoding).csv(path).columns
+    row = spark.read.option("escape", '"').option("encoding", encoding).csv(path).first()
+    return ["" if name is None else name for name in row] if row else []
+
+
+def part_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The files that paths, folders and globs name; one listing, no content is read."""
+    return sorted(row["path"] for row in spark.read.format("binaryFile").load(list(paths)).select("path").collect())
 
 
 def read_named(
-    spark: SparkSession, paths: Sequence[str], types: Mapping[str, T.DataType], encoding: str = "UTF-8",
+    spark: SparkSession, paths: Sequence[str], types: Mapping[str, T.DataType], encoding: str = "UTF-8", multiline: bool = True,
 ) -> DataFrame:
-    """The named columns of one or more CSV files, with given types and legal names; other columns are not parsed.
+    """The named columns of CSV files, folders or globs, with given types and legal names; other columns are not parsed.
 
-    Parts with the same header are one scan; parts whose columns are in another order are stacked by name.
+    Every file's own header counts, also inside a folder: files with the same header are one scan, files whose columns
+    are in another order are stacked by name. Headers are read by concurrent jobs of one line each.
     """
+    files = part_files(spark, paths)
+    with ThreadPoolExecutor(8) as pool:
+        headers = list(pool.map(inheritable_thread_target(spark)(lambda f: read_header(spark, f, encoding)), files))
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        by_header.setdefault(tuple(read_header(spark, path, encoding)), []).append(path)
+    for path, header in zip(files, headers):
+        if header:
+            by_header.setdefault(tuple(header), []).append(path)
     parts = []
-    for header, files in by_header.items():
+    for header, same in by_header.items():
         schema = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in unique_names(header)])
-        parts.append(read_parts(spark, files, schema, encoding).select(*[F.col(f"`{c}`") for c in types]))
+        parts.append(read_parts(spark, same, schema, encoding, multiline).select(*[F.col(f"`{c}`") for c in types]))
+    if not parts:
+        raise ValueError(f"no CSV file with a header in {list(paths)}")
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
@@ -10,21 +9,19 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
+    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session, which all executors must share.
 
-    Only a local-mode session without that setting gets a temporary folder; on a cluster a machine-local folder would
-    not survive the loss of its machine.
+    Where it is unset, a local-mode session (tests, a single machine) gets a folder below its warehouse; on a cluster the
+    setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="almanaq-"))
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -74,3 +74,23 @@ def test_small_lookup_is_broadcast_large_is_not(spark, monkeypatch):
         assert "BroadcastHashJoin" not in plan(lookup(spark, rows, ["k", "v"]))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_quoted_fields_with_quotes_commas_and_line_breaks(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('id,what,on\n1,"Battery (""simple"", domestic)",2020-01-01\n2,"two\nlines",2020-01-02\n3,plain,2020-01-03\n')
+    types = {"id": T.IntegerType(), "what": T.StringType(), "on": T.DateType()}
+    got = {r["id"]: (r["what"], str(r["on"])) for r in files.read_named(spark, [str(tmp_path / "q.csv")], types).collect()}
+    assert got == {1: ('Battery ("simple", domestic)', "2020-01-01"), 2: ("two\nlines", "2020-01-02"), 3: ("plain", "2020-01-03")}
+
+
+def test_folder_with_mixed_headers(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "y.csv").write_text("b,a\n20,10\n")
+    types = {"a": T.IntegerType(), "b": T.IntegerType()}
+    want = [(1, 2), (10, 20)]
+    assert sorted(map(tuple, files.read_named(spark, [str(tmp_path)], types).collect())) == want
+    assert sorted(map(tuple, files.read_named(spark, [f"{tmp_path}/*.csv"], types).collect())) == want
+
+
+def test_names_that_are_taken_already():
+    assert files.unique_names(["a", "a", "a.1"]) == ["a", "a.2", "a.1"]

@@ -208,8 +208,7 @@ ORACLES["period_index_by_month"] = f"""WITH {ORD}
 SELECT nation, year, month, make_date(year, month, 1) AS date, CAST(dense_rank() OVER (ORDER BY year, month) AS INT) AS time,
        monthname(make_date(year, month, 1)) AS month_name FROM ord_nation"""
 
-ORACLES["unpivot_matching_columns"] = f"""WITH {SHIP}, months AS (
-  SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month FROM range(1995, 2002) a(y) CROSS JOIN range(1, 13) b(m)),
+ORACLES["unpivot_matching_columns"] = f"""WITH {SHIP}, months AS (SELECT DISTINCT year, month FROM ship_nation),
 nations AS (SELECT DISTINCT nation FROM ship_nation)
 SELECT nation, year, month, {r('temperature')} FROM nations CROSS JOIN months LEFT JOIN ship_nation USING (nation, year, month)"""
 ORACLES["unpivot_between_columns"] = f"""WITH {ORD}, cells AS (
@@ -225,7 +224,7 @@ SELECT nation, year, month, coalesce(incidents, 0) AS incidents
 FROM ship_nation LEFT JOIN urgent_nation USING (nation, year, month) WHERE year >= 1996"""
 ORACLES["spliced_series"] = f"""WITH {SHIP}, {ORD}
 SELECT year, month, incidents AS total FROM ord WHERE year < 1998
-UNION ALL SELECT year, month, count(*) FROM ship_rows WHERE year >= 1998 GROUP BY ALL"""
+UNION ALL SELECT year, month, count(*) FROM ship_rows GROUP BY ALL"""
 ORACLES["merged_panel"] = f"""WITH {SHIP}, {ORD}
 SELECT nation, year, month, rfh, o.incidents, u.incidents AS urgent FROM ship_nation JOIN ord_nation o USING (nation, year, month)
 LEFT JOIN urgent_nation u USING (nation, year, month)"""

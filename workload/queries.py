@@ -45,7 +45,6 @@ PARTIALS = {
     2: tuple((i / 4, j / 4) for i in range(-3, 4) for j in range(-3, 4)),
     3: tuple((i / 2, j / 2, k / 2) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)),
 }
-MONTHS_1995_2001 = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,11 +201,16 @@ def period_index_by_month(spark, sf_dir):
 
 # --- reshaping ------------------------------------------------------------------------------------------------------
 
+def _labels(cells, label):
+    """Month labels that occur, in order: at most twelve a year."""
+    return sorted(row[0] for row in cells.select(label).distinct().collect())
+
+
 @query
 def unpivot_matching_columns(spark, sf_dir):
     cells = nation_shipments(spark, sf_dir)
     label = F.concat_ws("-", F.col("year").cast("string"), F.lpad(F.col("month").cast("string"), 2, "0"))
-    wide = cells.withColumn("_label", label).groupBy("nation").pivot("_label", MONTHS_1995_2001).agg(F.max("temperature"))
+    wide = cells.withColumn("_label", label).groupBy("nation").pivot("_label", _labels(cells, label)).agg(F.max("temperature"))
     return unpivot_matching(make_names(wide), ["nation"], value="temperature")
 
 
@@ -235,7 +239,7 @@ def zero_filled_skeleton(spark, sf_dir):
 @query
 def spliced_series(spark, sf_dir):
     old = monthly(orders(spark, sf_dir), None, na="count", out="total")
-    new = monthly(shipments(spark, sf_dir).where(F.col("year") >= 1998), None, na="count", out="total")
+    new = monthly(shipments(spark, sf_dir), None, na="count", out="total")
     return splice(old, new, 1998)
 
 
