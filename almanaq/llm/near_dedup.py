@@ -6,9 +6,9 @@ and estimates high similarities well. Candidate pairs whose sketches agree enoug
 
 Large groups never become all pairs: equal sets are one class; in every bucket the members are first paired with one
 leader only; what is confirmed merges into components; members outside their bucket's largest component are then paired
-with a few leaders of it; and only members of different components that still share a bucket are paired afterwards,
-those of the bucket's largest component being one side only, and only if the shingles that no other open document has
-leave room for a link.
+with a few leaders of it; and of the members of buckets that still hold several components only those of different
+components are paired afterwards, those of a largest component being one side only, and only if they share one of the
+rare shingles without which a pair can't be linked.
 """
 
 from __future__ import annotations
@@ -137,20 +137,36 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return wide.mapInArrow(run, "a long, b long")
 
 
-def private_shingles(texts: DataFrame) -> DataFrame:
-    """``id, private``: how many shingles of a text stand in none of the other ``texts (id, text)``. Such shingles can't
-    be in an intersection, which bounds the similarity of a pair without comparing it."""
+def rare_prefixes(texts: DataFrame, percent: int) -> DataFrame:
+    """``id, size, shingle, pos``: the shingles of every text of ``texts (id, text)`` by which it can meet a partner.
+
+    Shingles are ordered by how many of the texts have them, rare ones first; ``pos`` counts from 0. Of two linked sets
+    of sizes ``x`` and ``y``, which share at least ``o = percent * (x + y) / (100 + percent)`` shingles, the first common
+    one lies at most ``x - o`` and ``y - o`` deep, so nothing deeper than the smallest partner allows is returned, nor
+    are shingles that one text alone has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, texts_ in chunks(b.column(1)):
                 shingles, size = shingle_sets(Words(texts_, lower=True))
-                ids = b.column(0).slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(len(size)), size)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(_signed(shingles))], ["id", "shingle"])
+                total = np.zeros(len(shingles) + 1, np.uint64)
+                np.cumsum(mix(shingles), out=total[1:])
+                end = np.cumsum(size)
+                at = np.repeat(np.arange(len(size)), size)
+                ids = b.column(0).slice(lo, hi - lo).take(pa.array(at))
+                row = _signed(total[end] - total[end - size])  # rows that repeat an id stay apart
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(row[at]), pa.array(size[at].astype(np.int64)), pa.array(_signed(shingles))], ["id", "row", "size", "shingle"])
 
-    held = texts.select("id", "text").mapInArrow(run, "id long, shingle long")
-    alone = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).where("n = 1")
-    return alone.groupBy("id").agg(F.count(F.lit(1)).alias("private"))
+    held = materialise(texts.select("id", "text").mapInArrow(run, "id long, row long, size long, shingle long"))
+    spread = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    listed = held.join(spread, "shingle").groupBy("id", "row", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("list"))
+    private = F.col("size") - F.size("list")
+    depth = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1
+    found = listed.select("id", "size", "list", private.alias("private"), (depth - private).cast("int").alias("depth")).where("depth > 0")
+    return found.select("id", "size", "private", F.posexplode(F.slice("list", F.lit(1), F.col("depth"))).alias("at", "m")).select(
+        "id", "size", "m.shingle", (F.col("private") + F.col("at")).alias("pos"))
 
 
 def similar_sketches(pairs: DataFrame, sketches: DataFrame, min_estimate: float = MIN_ESTIMATE) -> DataFrame:
@@ -262,17 +278,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(linked)
         few, other = _still_open(shared, labels)
         tried = tried.union(second)
-    # all pairs that are left: different components that share a bucket, the largest being one side only
-    open_ids = other.select(F.col("b").alias("id")).distinct()
-    private = materialise(private_shingles(texts.join(open_ids, "id", "left_semi")))
-    few = few.join(private, "id", "left").withColumn("common", F.col("n_shingles") - F.coalesce("private", F.lit(0))).drop("private")
-    other = other.join(private.withColumnRenamed("id", "b"), "b", "left").select(
-        "bucket", "b", "size_b", "comp_b", "big", (F.col("size_b") - F.coalesce("private", F.lit(0))).alias("common_b"))
-    both = F.least("common", "common_b")  # at most so many shingles in the intersection
-    can_link = 100 * both >= percent * (F.col("n_shingles") + F.col("size_b") - both)
+    # all pairs that are left: different components, one of them not the largest of a bucket, that share a rare shingle
+    place = other.select(F.col("b").alias("id"), "comp_b").distinct()
+    minor = few.select("id").distinct().withColumn("minor", F.lit(True))
+    open_texts = texts.join(place.select("id").distinct(), "id", "left_semi")
+    tokens = materialise(
+        rare_prefixes(open_texts, percent).join(place, "id").join(minor, "id", "left")
+        .select("shingle", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), "comp_b", F.coalesce("minor", F.lit(False)).alias("minor_b")))
+    small = tokens.where("minor_b").select(
+        "shingle", F.col("b").alias("id"), F.col("size_b").alias("n_shingles"), F.col("pos_b").alias("pos"), F.col("comp_b").alias("component"))
+    needed = percent * (F.col("n_shingles") + F.col("size_b"))
+    can_link = ((100 + percent) * (F.col("n_shingles") - F.col("pos")) >= needed) & ((100 + percent) * (F.col("size_b") - F.col("pos_b")) >= needed)
     third = (
-        few.where(100 * F.col("common") >= percent * F.col("n_shingles")).join(other, "bucket")
-        .where("component <> comp_b and (comp_b = big or id < b)").where(can_link)
+        small.join(tokens, "shingle").where("component <> comp_b and (not minor_b or id < b)").where(can_link)
         .select(*_ordered("id", "b")).distinct().join(tried, ["a", "b"], "left_anti"))
     third = materialise(similar_sketches(third, sketches))
     if not third.isEmpty():
