@@ -87,7 +87,7 @@ inc_dev AS (
   FROM inc_z WINDOW w AS (PARTITION BY {unit}, month))"""
 
 
-UNIT = f"""{SHIP}, {ORD}, {unit_anomalies('nation', 'ship_nation', 'urgent_nation')},
+UNIT = f"""{SHIP}, {ORD}, {unit_anomalies('nation', 'ship_nation', 'ord_nation')},
 temp_dev AS (
   SELECT nation, year, month, temperature,
          temperature - avg(temperature) OVER (PARTITION BY nation, month) AS temperature_deviation
@@ -215,13 +215,13 @@ ORACLES["unpivot_between_columns"] = f"""WITH {ORD}, cells AS (
   SELECT DISTINCT nation, year, CAST(m AS INT) AS month FROM ord_nation CROSS JOIN range(1, 13) b(m))
 SELECT nation, year, month, incidents FROM cells LEFT JOIN ord_nation USING (nation, year, month)"""
 ORACLES["complete_month_grid"] = f"""WITH {ORD}, u AS (
-  SELECT year, month, count(*) AS incidents FROM order_rows WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' GROUP BY ALL),
+  SELECT year, month, count(*) AS incidents FROM order_rows GROUP BY ALL),
 months AS (SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month FROM range(1996, 2003) a(y) CROSS JOIN range(1, 13) b(m))
 SELECT year, month, coalesce(incidents, 0) AS incidents FROM u FULL JOIN months USING (year, month)"""
 
 ORACLES["zero_filled_skeleton"] = f"""WITH {SHIP}, {ORD}
 SELECT nation, year, month, coalesce(incidents, 0) AS incidents
-FROM ship_nation LEFT JOIN urgent_nation USING (nation, year, month) WHERE year >= 1996"""
+FROM ship_nation LEFT JOIN ord_nation USING (nation, year, month) WHERE year >= 1996"""
 ORACLES["spliced_series"] = f"""WITH {SHIP}, {ORD}
 SELECT year, month, incidents AS total FROM ord WHERE year < 1998
 UNION ALL SELECT year, month, count(*) FROM ship_rows GROUP BY ALL"""
@@ -482,10 +482,10 @@ SELECT nation, year, month, date, time, rfh,
 ORACLES["region_panel"] = f"""WITH {SHIP}, {ORD},
 region_ship AS (
   SELECT n_regionkey AS region, year, month, sum(rfh) AS rfh FROM ship_nation s JOIN nation ON s.nation = n_nationkey GROUP BY ALL),
-region_urgent AS (
+region_ord AS (
   SELECT n_regionkey AS region, year, month, sum(incidents) AS incidents
-  FROM urgent_nation s JOIN nation ON s.nation = n_nationkey GROUP BY ALL),
-{unit_anomalies('region', 'region_ship', 'region_urgent')}
+  FROM ord_nation s JOIN nation ON s.nation = n_nationkey GROUP BY ALL),
+{unit_anomalies('region', 'region_ship', 'region_ord')}
 SELECT region, year, month, rfh, {r('mean_rfh', 'rainfall_deviation', 'standardized_incidents', 'mean_standardized_incidents', 'incident_deviation')}
 FROM rain_dev JOIN inc_dev USING (region, year, month)"""
 ORACLES["unit_recent_profile"] = f"""WITH {UNIT}, t AS (
@@ -495,3 +495,15 @@ ORACLES["unit_recent_profile"] = f"""WITH {UNIT}, t AS (
   FROM panel WHERE year >= 1999 AND year < 2001 GROUP BY nation, month)
 SELECT nation, month, {r('mean_rainfall_deviation', 'mean_rainfall', 'monthly_mean_rainfall_all', 'mean_incident_deviation', 'mean_incidents',
                          'monthly_mean_incidents_all')} FROM t"""
+
+ORACLES["csv_parts"] = """SELECT CAST(year(o_orderdate) AS INT) AS year, CAST(month(o_orderdate) AS INT) AS month, count(*) AS orders,
+       CAST(sum(o_orderkey) AS BIGINT) AS keys, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY ALL"""
+ORACLES["csv_texts"] = "SELECT doc_id, sha256(text) AS text_sha256 FROM documents"
+ORACLES["csv_wide_series"] = ORACLES["unpivot_matching_columns"]
+ORACLES["csv_legacy_text"] = ORACLES["legacy_text"]
+ORACLES["csv_lookup"] = f"WITH {ORD} SELECT n_name, year, month, incidents FROM ord_nation JOIN nation ON nation = n_nationkey"
+ORACLES["saved_coefficients"] = f"SELECT * FROM ({ORACLES['fe_within_national']}) WHERE term LIKE '%rainfall%'"
+ORACLES["saved_polygons"] = ORACLES["dissolved_edges"]
+ORACLES["saved_figure_rows"] = ORACLES["standardised_month_deviation"]
+ORACLES["merged_null_keys"] = f"""WITH {SHIP}, {ORD}
+SELECT nullif(s.nation, 3) AS nation, year, month, rfh, incidents FROM ship_nation s JOIN ord_nation USING (nation, year, month)"""

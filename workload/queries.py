@@ -6,6 +6,7 @@ incidents, ``nation`` the unit and ``region`` its parent; 2001 is the partial la
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,7 @@ from almanaq.operators import geo
 from almanaq.operators.absorb import absorb_ols
 from almanaq.operators.aggregate import levels, monthly, monthly_through_lookup
 from almanaq.operators.anomaly import deviation, period_index, standardised_deviation, zscore
-from almanaq.operators.coefficients import coef_interval
+from almanaq.operators.coefficients import coef_interval, terms_matching
 from almanaq.operators.density import weighted_kde
 from almanaq.operators.gls import gls_ar, gls_ar_profile
 from almanaq.operators.panel import (
@@ -30,9 +31,9 @@ from almanaq.operators.slopes import interaction_table, unit_slopes
 from almanaq.operators.trend import trend_lines, trend_lm
 from almanaq.operators.within import fe_within
 from almanaq.plans import national, units
-from almanaq.sources.files import make_names
+from almanaq.sources.files import make_names, read_csv, read_named, read_wide_series
 from almanaq.sources.lookups import lookup
-from almanaq.sources.tables import materialise, materialise_all
+from almanaq.sources.tables import materialise, materialise_all, read_polygons, read_table, shared_dir, write_results, write_table
 
 PARTIAL_YEAR = 2001
 SKELETON_FROM = 1996
@@ -224,8 +225,7 @@ def unpivot_between_columns(spark, sf_dir):
 
 @query
 def complete_month_grid(spark, sf_dir):
-    urgent = orders(spark, sf_dir).where((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P"))
-    return complete_grid(monthly(urgent, None, na="count", out="incidents"), "incidents", (1996, 2002))
+    return complete_grid(national_orders(spark, sf_dir), "incidents", (1996, 2002))
 
 
 # --- panels ---------------------------------------------------------------------------------------------------------
@@ -233,7 +233,7 @@ def complete_month_grid(spark, sf_dir):
 @query
 def zero_filled_skeleton(spark, sf_dir):
     skeleton = nation_shipments(spark, sf_dir).where(F.col("year") >= SKELETON_FROM)
-    return skeleton_fill(skeleton, nation_orders(spark, sf_dir, "1-URGENT"), ["nation", "year", "month"], "incidents")
+    return skeleton_fill(skeleton, nation_orders(spark, sf_dir), ["nation", "year", "month"], "incidents")
 
 
 @query
@@ -338,7 +338,7 @@ def national_cells(spark, sf_dir) -> list[DataFrame]:
 
 
 def nation_cells(spark, sf_dir) -> list[DataFrame]:
-    return materialise_all(nation_shipments(spark, sf_dir), nation_orders(spark, sf_dir, "1-URGENT"))
+    return materialise_all(nation_shipments(spark, sf_dir), nation_orders(spark, sf_dir))
 
 
 def scaled_national_panel(spark, sf_dir, scale_by=("month",)) -> DataFrame:
@@ -532,10 +532,9 @@ def city_panel(spark, sf_dir):
     """Incident text to monthly counts on a full grid, merged and rescaled over the whole table."""
     ship = materialise(national_shipments(spark, sf_dir))
     parts = drop_any(keep_any(table(spark, sf_dir, "part"), "p_name", KEEP_TERMS), "p_name", DROP_TERMS)
-    # One row per part and month before the join; the filtered parts decide which months count.
-    events = shipments(spark, sf_dir).groupBy("l_partkey", "year", "month").agg(F.count(F.lit(1)).alias("events"))
-    counted = monthly(
-        events.join(parts.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey")), "events", na="skip", out="incidents")
+    # The filtered parts first: shipments of other parts never reach the count.
+    events = shipments(spark, sf_dir).join(parts.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    counted = monthly(events, None, na="count", out="incidents")
     counted = materialise(complete_grid(counted, "incidents", (1996, 2000)))
     return national.national_panel(
         ship.select("year", "month", "rfh"), counted, ship.select("year", "month", "temperature"), scale_by=())
@@ -573,3 +572,98 @@ def period_densities(spark, sf_dir):
 def incident_trends(spark, sf_dir):
     anomaly = national.incident_anomaly(materialise(national_orders(spark, sf_dir)))
     return national.deviation_trends(anomaly, "incident_deviation", 1996)
+
+
+# --- files ----------------------------------------------------------------------------------------------------------
+
+def scratch(spark) -> str:
+    """A new folder name in the shared folder."""
+    return f"{shared_dir(spark)}/almanaq-{uuid.uuid4().hex}"
+
+
+def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> str:
+    (df.write.option("header", True).option("nullValue", "NA").option("escape", '"').option("encoding", encoding)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+@query
+def csv_parts(spark, sf_dir):
+    """Orders in two folders of CSV files whose columns come in another order, read as one table."""
+    columns = ["o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority"]
+    facts, folder = table(spark, sf_dir, "orders").select(*columns), scratch(spark)
+    even = F.col("o_orderkey") % 2 == 0
+    paths = [write_csv(facts.where(even), f"{folder}/even"), write_csv(facts.where(~even).select(*reversed(columns)), f"{folder}/odd")]
+    types = {"o_orderkey": T.LongType(), "o_orderdate": T.StringType(), "o_totalprice": T.DoubleType()}
+    named = read_named(spark, paths, types, multiline=False)
+    rows = with_year_month(named.withColumn("date", F.to_date(F.substring("o_orderdate", 1, 10))), "date")
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    return rows.groupBy("year", "month").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("o_orderkey").alias("keys"), F.sum(cents).alias("cents"))
+
+
+@query
+def csv_texts(spark, sf_dir):
+    """Texts with quotes, commas and line breaks, written to CSV and read back unchanged."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    read = read_csv(spark, write_csv(docs, scratch(spark)), schema)
+    return read.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def csv_wide_series(spark, sf_dir):
+    cells = nation_shipments(spark, sf_dir)
+    label = F.concat_ws("-", F.col("year").cast("string"), F.lpad(F.col("month").cast("string"), 2, "0"))
+    wide = cells.withColumn("_label", label).groupBy("nation").pivot("_label", _labels(cells, label)).agg(F.max("temperature"))
+    series = read_wide_series(spark, write_csv(wide, scratch(spark)), ["nation"], value="temperature")
+    return series.withColumn("nation", F.col("nation").cast("int"))
+
+
+@query
+def csv_legacy_text(spark, sf_dir):
+    raw = table(spark, sf_dir, "part").select("p_partkey", F.translate("p_name", "ae", "\xa0\x82").alias("raw"))
+    schema = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("raw", T.StringType())])
+    read = read_csv(spark, write_csv(raw, scratch(spark), "ISO-8859-1"), schema, "ISO-8859-1")
+    return read.select("p_partkey", decode_codepage("raw", "cp850").alias("text"), fold_key("raw").alias("folded"))
+
+
+@query
+def csv_lookup(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    schema = T.StructType([T.StructField("n_nationkey", T.IntegerType()), T.StructField("n_name", T.StringType())])
+    named = lookup_join(nation_orders(spark, sf_dir), read_csv(spark, write_csv(nations, scratch(spark)), schema), "nation", "n_nationkey")
+    return named.select("n_name", "year", "month", "incidents")
+
+
+@query
+def saved_coefficients(spark, sf_dir):
+    path = scratch(spark)
+    rows = complete_years(scaled_national_panel(spark, sf_dir))
+    write_table(readable(fe_within(rows, national.OUTCOME, national.COVARIATES, "year")), path)
+    return terms_matching(read_table(spark, path), "rainfall")
+
+
+@query
+def saved_polygons(spark, sf_dir):
+    """Vertices saved and read, dissolved, and the outlines saved and read."""
+    folder = scratch(spark)
+    write_table(parcels(spark, sf_dir), f"{folder}/parcels")
+    write_table(geo.dissolve_edges(read_polygons(spark, f"{folder}/parcels"), "unit", "parent"), f"{folder}/outlines")
+    return read_table(spark, f"{folder}/outlines")
+
+
+@query
+def saved_figure_rows(spark, sf_dir):
+    folder = scratch(spark)
+    cells = national_orders(spark, sf_dir)
+    write_results({"counts": cells, "anomaly": national.incident_anomaly(cells)}, folder)
+    return read_table(spark, f"{folder}/anomaly")
+
+
+@query
+def merged_null_keys(spark, sf_dir):
+    """A unit without a name is a unit: NULL keys meet."""
+    named = F.nullif(F.col("nation"), F.lit(3))
+    rain = nation_shipments(spark, sf_dir).select(named.alias("nation"), "year", "month", "rfh")
+    return merge(rain, nation_orders(spark, sf_dir).withColumn("nation", named), ["year", "month", "nation"])
