@@ -19,6 +19,9 @@ NONE = "(none)"
 #: Share of a value in the mix is proportional to its tokens to this power: 1 keeps the corpus, 0 makes all equal.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 
+#: Error of a marginal up to which it counts as reached.
+REACHED = 1e-5
+
 
 def token_count(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, the token measure of the mix."""
@@ -35,27 +38,61 @@ def topic(text: Column) -> Column:
         .when(t.rlike("[0-9]"), "figures").otherwise("prose"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame], max_rounds: int = 12, tolerance: float = 1e-6) -> DataFrame:
-    """Iterative proportional fitting: ``cells`` with ``weight`` fitted to the marginal ``target`` of every dimension.
+def total_tokens(cells: DataFrame) -> int:
+    return cells.agg(F.sum("tokens")).first()[0] or 0
+
 
-    ``targets[d]`` has ``d, target``; targets of one dimension sum to 1. One round fits every dimension once; rounds end
-    when no marginal is off by more than ``tolerance``. A value without tokens keeps weight 0.
+def rake(
+        cells: DataFrame, targets: Mapping[str, DataFrame], max_rounds: int = 100, tolerance: float = 1e-6,
+        patience: int = 10) -> tuple[DataFrame, float]:
+    """Iterative proportional fitting: ``cells`` with ``weight`` fitted to the marginal ``target`` of every dimension, and
+    the largest relative error of a marginal in the last round.
+
+    ``targets[d]`` has ``d, target``; targets of one dimension sum to 1, a value that is not listed has target 0. One
+    round fits every dimension once; rounds end when no marginal is off by more than ``tolerance``, when the error has
+    dropped by less than a tenth in ``patience`` rounds (the targets contradict each other, or all but do), or after
+    ``max_rounds``. A value without tokens keeps weight 0. The caller has to look at the error.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    cells = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(total, 1))))
-    for _ in range(max_rounds):
+    cells = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(total_tokens(cells), 1))))
+    errors: list[float] = []
+    while len(errors) < max_rounds:
         worst = []
         for d, target in targets.items():
-            sums = cells.groupBy(d).agg(F.sum("weight").alias("__sum")).join(target, d)
-            factor = sums.select(d, F.when(F.col("__sum") > 0, F.col("target") / F.col("__sum")).otherwise(F.lit(1.0)).alias(f"__f_{d}"))
+            wanted = F.coalesce(F.col("target"), F.lit(0.0))
+            sums = cells.groupBy(d).agg(F.sum("weight").alias("__sum")).join(target, d, "left")
+            factor = sums.select(d, F.when(F.col("__sum") > 0, wanted / F.col("__sum")).otherwise(F.lit(1.0)).alias(f"__f_{d}"))
             cells = cells.join(factor, d).withColumn("weight", F.col("weight") * F.col(f"__f_{d}"))
             worst.append(F.max(F.abs(F.col(f"__f_{d}") - 1)))
         fitted = materialise(cells)
         off = fitted.agg(F.greatest(*worst) if len(worst) > 1 else worst[0]).first()[0]
         cells = fitted.drop(*[f"__f_{d}" for d in targets])
-        if off is None or off <= tolerance:
+        errors.append(off or 0.0)
+        if errors[-1] <= tolerance or len(errors) > patience and errors[-1] > 0.9 * errors[-1 - patience]:
             break
-    return cells
+    return cells, errors[-1]
+
+
+def reached(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
+    """``dim, value, target, reached`` of every value in ``cells`` or ``targets``: the share asked and the share it has."""
+    whole = F.broadcast(cells.agg(F.sum("weight").alias("whole")))
+    out = None
+    for d, target in targets.items():
+        sums = cells.groupBy(d).agg(F.sum("weight").alias("has")).crossJoin(whole)
+        share = F.when(F.col("whole") > 0, F.col("has") / F.col("whole"))
+        part = sums.join(target, d, "full").select(
+            F.lit(d).alias("dim"), F.col(d).alias("value"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce(share, F.lit(0.0)).alias("reached"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def refuse_missed(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float) -> None:
+    """Raises ``ArithmeticError`` with the marginals asked and reached when ``cells`` don't have the ``targets``."""
+    missed = reached(cells, targets).where(F.abs(F.col("reached") - F.col("target")) > tolerance)
+    n = missed.count()
+    if n:
+        worst = missed.orderBy(F.abs(F.col("reached") - F.col("target")).desc(), "dim", "value").limit(10).collect()
+        listed = "; ".join(f"{r['dim']} {r['value']}: asked {r['target']:.6f}, reached {r['reached']:.6f}" for r in worst)
+        raise ArithmeticError(f"the targets can't be met together, {n} marginals are off ({listed})")
 
 
 def tempered_targets(cells: DataFrame, temper: Mapping[str, float]) -> dict[str, DataFrame]:
@@ -68,6 +105,27 @@ def tempered_targets(cells: DataFrame, temper: Mapping[str, float]) -> dict[str,
     return out
 
 
+def tempered_cells(cells: DataFrame, temper: Mapping[str, float]) -> DataFrame:
+    """``cells`` with ``weight``, tempered jointly: tokens times, for each dimension, the value's tokens to the power less 1.
+
+    Where the dimensions are independent the marginals are those of ``tempered_targets``. Where they are tied to each
+    other (sources of one language) these marginals contradict each other, and the ones of this mix stand in for them.
+    """
+    weight = F.col("tokens").cast("double")
+    for d, power in temper.items():
+        factor = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("__sum")).select(
+            d, F.when(F.col("__sum") > 0, F.pow("__sum", F.lit(float(power) - 1))).otherwise(F.lit(0.0)).alias(f"__f_{d}"))
+        cells = cells.join(factor, d)
+        weight = weight * F.col(f"__f_{d}")
+    return cells.withColumn("weight", weight).drop(*[f"__f_{d}" for d in temper])
+
+
+def rounded(share: Column) -> Column:
+    """A number of 0..1 to six digits, counted from its first one: small probabilities keep their precision."""
+    unit = F.pow(F.lit(10.0), F.ceil(F.log10(share)))
+    return F.when(share > 0, F.round(share / unit, 6) * unit).otherwise(share)
+
+
 def uniform(id_: Column, seed: int) -> Column:
     """Number in [0, 1) from an id, equal on every machine and in every run."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_.cast("string"), F.lit("null"))).cast("binary"))
@@ -77,12 +135,17 @@ def uniform(id_: Column, seed: int) -> Column:
 def mix_weights(
         docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", temper: Mapping[str, float] = TEMPER, seed: int = 17,
         targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """``doc_id, source, lang, topic, n_tokens, probability, kept`` per row of ``docs``.
+    """``doc_id, source, lang, topic, n_tokens, probability, kept, targets`` per row of ``docs``.
+
+    The probability of a cell is its raked weight per token, to six digits, scaled so that the best wanted cell has 1:
+    then the expected mix has the target marginals. The column ``targets`` tells which: ``given`` ones; else
+    ``tempered``, the tempered share of every value, when raking reaches them; else ``joint``, the marginals of
+    ``tempered_cells``, which always belong to a mix. Given targets that raking doesn't reach raise ``ArithmeticError``
+    with the marginals asked and reached; a value they don't list gets probability 0.
 
-    The probability of a cell is its raked weight per token, scaled so that the best wanted cell has 1: then the expected
-    mix has exactly the target marginals. Targets are tempered shares unless given. Null source or language is the value
-    "(none)"; a missing column too. Documents without tokens weigh nothing and get their cell's probability (1 when the
-    cell has no tokens). Rows that repeat an id are decided alike; extra columns are not read.
+    Null source or language is the value "(none)"; a missing column too. Documents without tokens weigh nothing and get
+    their cell's probability (1 when the cell has no tokens). Rows that repeat an id are decided alike; extra columns are
+    not read.
     """
     text = F.col(text_col)
 
@@ -91,12 +154,20 @@ def mix_weights(
 
     rows = materialise(docs.select(F.col(id_col).alias("doc_id"), named("source"), named("lang"), topic(text).alias("topic"), token_count(text).alias("n_tokens")))
     cells = materialise(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
-    fitted = rake(cells, targets or tempered_targets(cells, temper))
+    if targets:
+        law, (fitted, _) = "given", rake(cells, targets)
+        if total_tokens(cells):
+            refuse_missed(fitted, targets, REACHED)
+    else:
+        law, (fitted, off) = "tempered", rake(cells, tempered_targets(cells, temper))
+        if off > REACHED:
+            law, fitted = "joint", tempered_cells(cells, temper)
     rate = materialise(fitted.select(*DIMS, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).alias("rate")))
     best = rate.agg(F.max("rate").alias("best"))
-    chance = rate.crossJoin(F.broadcast(best)).select(*DIMS, F.coalesce(F.round(F.col("rate") / F.col("best"), 6), F.lit(1.0)).alias("probability"))
+    chance = rate.crossJoin(F.broadcast(best)).select(*DIMS, F.coalesce(rounded(F.col("rate") / F.col("best")), F.lit(1.0)).alias("probability"))
     return rows.join(chance, list(DIMS)).select(
-        "doc_id", *DIMS, "n_tokens", "probability", (uniform(F.col("doc_id"), seed) < F.col("probability")).alias("kept"))
+        "doc_id", *DIMS, "n_tokens", "probability", (uniform(F.col("doc_id"), seed) < F.col("probability")).alias("kept"),
+        F.lit(law).alias("targets"))
 
 
 def sample_mix(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:

@@ -1,5 +1,6 @@
 """Every operator against its plain version, on odd texts and on the driver's small table."""
 
+import math
 import random
 import zlib
 
@@ -85,6 +86,50 @@ def test_op3_marginals(spark):
     assert again == {r["doc_id"]: (r["probability"], r["kept"]) for r in rows}
 
 
+def one_language_sources(spark):
+    """20 sources of one language each, the first one with most of the tokens, and two topics."""
+    rows = [(f"s{s}", "abcd"[s % 4], "w " * (30 + 7 * s) + end) for s in range(20) for end in ("x", "1") for _ in range(40 if s == 0 else 1 + s % 3)]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, lang string, text string").repartition(4)
+
+
+def mixed_shares(rows, d):
+    mixed = {}
+    for r in rows:
+        mixed[r[d]] = mixed.get(r[d], 0) + r["n_tokens"] * r["probability"]
+    return {k: v / sum(mixed.values()) for k, v in mixed.items()}
+
+
+def test_op3_one_language_sources(spark):
+    docs = one_language_sources(spark)
+    rows = mixing.mix_weights(docs).collect()
+    assert len(rows) == docs.count() and {r["targets"] for r in rows} == {"joint"}
+    tokens = {d: {} for d in mixing.TEMPER}
+    for r in rows:
+        for d in tokens:
+            tokens[d][r[d]] = tokens[d].get(r[d], 0) + r["n_tokens"]
+    weight = [r["n_tokens"] * math.prod(tokens[d][r[d]] ** (p - 1) for d, p in mixing.TEMPER.items()) for r in rows]
+    for d in tokens:
+        for k, share in mixed_shares(rows, d).items():
+            want = sum(w for r, w in zip(rows, weight) if r[d] == k) / sum(weight)
+            assert abs(share - want) < 1e-5 * want
+
+
+def test_op3_given_targets(spark):
+    docs = one_language_sources(spark)
+    shares = lambda d, given: spark.createDataFrame(list(given.items()), f"{d} string, target double")
+    langs = {"a": 0.1, "b": 0.2, "c": 0.3, "d": 0.4}
+    rows = mixing.mix_weights(docs, targets={"lang": shares("lang", langs), "topic": shares("topic", {"prose": 0.75, "figures": 0.25})}).collect()
+    assert {r["targets"] for r in rows} == {"given"}
+    assert mixed_shares(rows, "lang") == pytest.approx(langs, abs=1e-5) and mixed_shares(rows, "topic") == pytest.approx({"prose": 0.75, "figures": 0.25}, abs=1e-5)
+    some = mixing.mix_weights(docs, targets={"lang": shares("lang", {"a": 0.5, "b": 0.5})}).collect()
+    assert len(some) == len(rows) and all((r["probability"] == 0) == (r["lang"] in "cd") for r in some)
+    sources = {f"s{s}": 0.05 for s in range(20)}  # a quarter for each language
+    with pytest.raises(ArithmeticError, match="lang d: asked 0.400000|source s"):
+        mixing.mix_weights(docs, targets={"lang": shares("lang", langs), "source": shares("source", sources)})
+    with pytest.raises(ArithmeticError, match="lang e: asked 0.500000, reached 0.000000"):
+        mixing.mix_weights(docs, targets={"lang": shares("lang", {"a": 0.5, "e": 0.5})})
+
+
 def test_op4_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     told = language_id.identify_languages(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
