@@ -80,6 +80,14 @@ def _column(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
+def text_size(text: Column) -> Column:
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+
+
+def text_sum(text: Column) -> Column:
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def hilbert_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard, curve`` per row of ``docs``; law ``rows``.
 
@@ -93,8 +101,8 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     """
     text = F.col(text_col)
     raw = docs.select(
-        F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.col(id_col).alias("doc_id"), text_size(text).alias("size"),
+        text_sum(text).alias("text_crc32"),
         _column(docs, "lang").alias("lang"), _column(docs, "source").alias("source"))
     cells = materialise(
         raw.withColumns({f"d{i}": c for i, c in enumerate(default_dims(F.col("lang"), F.col("source"), F.col("size")))})
@@ -123,8 +131,24 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
                 F.lit(None).cast("int").alias("grown_shard"), "curve"))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes the rows of ``docs`` as Parquet, one folder per shard, files sorted along the curve for pruning."""
-    place = placed.select(F.col("doc_id").alias("__id"), "shard", "slot", "curve")
-    (docs.join(place, F.col(id_col) == F.col("__id")).drop("__id")
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes every row of ``docs`` once as Parquet, one folder per shard, files sorted along the curve for pruning.
+
+    ``placed`` is ``hilbert_shards`` of the same rows. A row takes the place of its id (null too), text size, checksum and
+    cell; rows equal in these are numbered on both sides, so each takes a place of its own.
+    """
+    key = ["__id", "__size", "__crc", "__curve"]
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("__order"))
+    text = F.col(text_col)
+    rows = docs.withColumns({
+        "__id": F.col(id_col), "__size": text_size(text), "__crc": text_sum(text),
+        "__order": F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])})
+    rows = rows.withColumns({f"__d{i}": c for i, c in enumerate(default_dims(_column(docs, "lang"), _column(docs, "source"), F.col("__size")))})
+    rows = rows.withColumn("__curve", hilbert_index([F.col(f"__d{i}") for i in range(3)])).withColumn("__number", number)
+    place = placed.select(
+        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), F.col("curve").alias("__curve"),
+        F.struct("shard", "slot").alias("__order"), "shard", "slot", "curve").withColumn("__number", number)
+    left, right = rows.alias("l"), place.alias("r")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*key, "__number"]]
+    (left.join(right, same).select(*[F.col(f"l.{c}") for c in docs.columns], "r.shard", "r.slot", "r.curve")
      .repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path))
