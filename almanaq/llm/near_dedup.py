@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, ship_package
-from .wordgrid import LOWER, MAX_DOCS, U, Words, chunks, mix
+from .wordgrid import _BASE, LOWER, MAX_DOCS, U, Words, chunks, mix
 
+WIDTH = 2  # words of a shingle of op7
 ROWS, BANDS = 7, 70  # two sets of similarity 0.8 miss each other in all bands once in 15 million times
 SAMPLES = ROWS * BANDS
 SKETCH_BITS = 2048
@@ -40,14 +41,23 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 
 
-def shingle_sets(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles (52-bit hashes) of every text, sorted within the text, and the number of them."""
+def shingle_sets(words: Words, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles (52-bit hashes) of every text, sorted within the text, and the number of them.
+
+    Shingles are ``width`` words in a row; a shorter text with words is one shingle.
+    """
     code = words.code
-    grams, valid = words.grams(2, code)
+    grams, valid = words.grams(width, code)
     at = np.flatnonzero(valid)
-    alone = np.flatnonzero(words.n == 1)
-    doc = np.r_[words.doc[at], alone].astype(np.uint64)
-    value = np.r_[grams[at], mix(code[words.first[alone]] + U(1))]
+    docs, values = [words.doc[at]], [grams[at]]
+    for k in range(1, width):
+        short = np.flatnonzero(words.n == k)
+        h = code[words.first[short]]
+        for j in range(1, k):
+            h = h * U(_BASE) + code[words.first[short] + j]
+        docs.append(short)
+        values.append(mix(h + U(k)))
+    doc, value = np.concatenate(docs).astype(np.uint64), np.concatenate(values)
     key = np.unique((doc << U(52)) | (value >> U(12)))
     return key & U((1 << 52) - 1), np.bincount((key >> U(52)).astype(np.int64), minlength=len(words.n))
 
@@ -83,13 +93,13 @@ def _signed(values: np.ndarray) -> np.ndarray:
 _SIGNED = "id long, n_shingles long, sum_a long, sum_b long, bands array<long>, sketch array<long>"
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``id, n_shingles, sum_a, sum_b, bands, sketch`` of ``(id, text)``; no bands for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, texts in chunks(b.column(1)):
-                shingles, size = shingle_sets(Words(texts, lower=True))
+                shingles, size = shingle_sets(Words(texts, lower=True), width)
                 full = np.flatnonzero(size > 0)
                 n = len(size)
                 digest = {k: np.zeros(n, np.int64) for k in ("sum_a", "sum_b")}
@@ -100,9 +110,9 @@ def sign(docs: DataFrame) -> DataFrame:
                 for k in digest:
                     if len(full):
                         digest[k][full] = _signed(s[k])
-                for k, width in (("bands", BANDS), ("sketch", SKETCH_BITS // 64)):
+                for k, count in (("bands", BANDS), ("sketch", SKETCH_BITS // 64)):
                     off = np.zeros(n + 1, np.int32)
-                    np.cumsum(has * width, out=off[1:])
+                    np.cumsum(has * count, out=off[1:])
                     arrays[k] = pa.ListArray.from_arrays(pa.array(off), pa.array(_signed(s[k]).ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(digest["sum_a"]), pa.array(digest["sum_b"]), arrays["bands"], arrays["sketch"]],
@@ -112,19 +122,21 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 @lru_cache(64)
-def exact_set(text: str) -> frozenset:
+def exact_set(text: str, width: int = WIDTH) -> frozenset:
     w = bytes(LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]).split()
-    return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset(w)
+    if len(w) < width:
+        return frozenset([tuple(w)] if w else [])
+    return frozenset(zip(*[w[j:] for j in range(width)]))
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
     """The ``(a, b)`` whose full sets have ``100 * intersection >= percent * union``. ``texts`` has ``id, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                s, t = exact_set(x), exact_set(y)
+                s, t = exact_set(x, width), exact_set(y, width)
                 both = len(s & t)
                 good.append(100 * both >= percent * (len(s) + len(t) - both))
             kept = b.filter(pa.array(good, pa.bool_()))
@@ -137,7 +149,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return wide.mapInArrow(run, "a long, b long")
 
 
-def rare_prefixes(texts: DataFrame, percent: int) -> DataFrame:
+def rare_prefixes(texts: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
     """``id, size, shingle, pos``: the shingles of every text of ``texts (id, text)`` by which it can meet a partner.
 
     Shingles are ordered by how many of the texts have them, rare ones first; ``pos`` counts from 0. Of two linked sets
@@ -149,7 +161,7 @@ def rare_prefixes(texts: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, texts_ in chunks(b.column(1)):
-                shingles, size = shingle_sets(Words(texts_, lower=True))
+                shingles, size = shingle_sets(Words(texts_, lower=True), width)
                 total = np.zeros(len(shingles) + 1, np.uint64)
                 np.cumsum(mix(shingles), out=total[1:])
                 end = np.cumsum(size)
@@ -232,17 +244,17 @@ def _still_open(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
     return members.where("component <> big").drop("big"), other
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = WIDTH) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
-    Shingles are two words (A-Z lower-cased) in a row, of a one-word text the word; a text without words (null too) has
-    none and is linked with nothing. Linked are documents whose sets have a similarity of ``percent``; ``component_id``
+    Shingles are ``words`` words (A-Z lower-cased) in a row, of a shorter text all its words; a text without words (null
+    too) has none and is linked with nothing. Linked are documents whose sets have a similarity of ``percent``; ``component_id``
     is the smallest id reachable. Rows without an id are linked with nothing (null component, kept). Rows that repeat an
     id are joined into its component each by its own text. Other columns are not read.
     """
     ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialise(sign(source))
+    signed = materialise(sign(source, words))
     # equal sets are one class, named by its smallest id
     key = ["n_shingles", "sum_a", "sum_b"]
     classes = materialise(
@@ -261,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct())
     first = materialise(similar_sketches(first, sketches))
     texts = materialise(source.join(sketches.select("id"), "id", "left_semi"))
-    linked = materialise(confirm(first, texts, percent))
+    linked = materialise(confirm(first, texts, percent, words))
     labels = components(linked)
     # members outside the largest component of their bucket, with some of its members
     few, other = _still_open(shared, labels)
@@ -274,7 +286,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .distinct().join(tried, ["a", "b"], "left_anti"))
     second = materialise(similar_sketches(second, sketches))
     if not second.isEmpty():
-        linked = materialise(linked.union(confirm(second, texts, percent)))
+        linked = materialise(linked.union(confirm(second, texts, percent, words)))
         labels = components(linked)
         few, other = _still_open(shared, labels)
         tried = tried.union(second)
@@ -283,7 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     minor = few.select("id").distinct().withColumn("minor", F.lit(True))
     open_texts = texts.join(place.select("id").distinct(), "id", "left_semi")
     tokens = materialise(
-        rare_prefixes(open_texts, percent).join(place, "id").join(minor, "id", "left")
+        rare_prefixes(open_texts, percent, words).join(place, "id").join(minor, "id", "left")
         .select("shingle", F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), "comp_b", F.coalesce("minor", F.lit(False)).alias("minor_b")))
     small = tokens.where("minor_b").select(
         "shingle", F.col("b").alias("id"), F.col("size_b").alias("n_shingles"), F.col("pos_b").alias("pos"), F.col("comp_b").alias("component"))
@@ -294,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select(*_ordered("id", "b")).distinct().join(tried, ["a", "b"], "left_anti"))
     third = materialise(similar_sketches(third, sketches))
     if not third.isEmpty():
-        linked = materialise(linked.union(confirm(third, texts, percent)))
+        linked = materialise(linked.union(confirm(third, texts, percent, words)))
         labels = components(linked)
     named = materialise(classes.select(*key, F.col("id").alias("class_id")).join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
                         .select(*key, F.coalesce("component", "class_id").alias("component")))
@@ -304,8 +316,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id names their component, with all columns: one document of each group."""
-    found = near_duplicates(docs, id_col, text_col, percent)
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, words: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose id names their component, with all columns: one document of each group.
+
+    Shingles have five words: the two of ``WIDTH`` belong to op7's own query only.
+    """
+    found = near_duplicates(docs, id_col, text_col, percent, words)
     drop = found.where("not kept").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(drop, F.col(id_col) == F.col("__id"), "left_anti")
