@@ -44,7 +44,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("bpe", bpe)]
 
-#: Hyperdimensional vectors and merges of a vocabulary have no SQL form; the tests compare with a brute-force version.
+#: Hyperdimensional vectors and merges of a vocabulary have no SQL form; tests/llm/test_pipeline.py compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 
