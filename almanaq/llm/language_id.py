@@ -171,8 +171,9 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.05) -> DataFrame:
     """The rows of ``docs`` whose language could be told, with all columns: not ``und``, and a cosine of ``min_score``.
-    Unrelated vectors have cosines of about ``1 / sqrt(dimension)``, so less than that bound resembles no language; very
-    short texts have low cosines too and stay. Rows that repeat an id stay when one of them does.
+    Beyond ``und`` that rejects little: cosines of unrelated vectors have a standard deviation of ``1 / sqrt(dimension)``
+    and the score is the largest of all languages, so texts of an unlearned script may pass. A higher bound would reject
+    very short texts, whose cosines are low too. Rows that repeat an id stay when one of them does.
     """
     told = identify_languages(docs, id_col, text_col, lang_col)
     gone = told.groupBy("doc_id").agg(F.max(F.when(F.col("lang_pred") == UNKNOWN, 0.0).otherwise(F.col("score"))).alias("score"))

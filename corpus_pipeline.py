@@ -18,7 +18,7 @@ from almanaq.llm.queries import bpe_digests
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without letters or far from every language go."""
+    """Documents whose language can be told; those without letters go, and some far from every language."""
     return keep_identified(docs)
 
 
