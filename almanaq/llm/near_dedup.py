@@ -13,6 +13,7 @@ rare shingles without which a pair can't be linked.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, ship_package
-from .wordgrid import _BASE, LOWER, MAX_DOCS, U, Words, chunks, mix
+from .wordgrid import _BASE, LOWER, U, Words, chunks, mix
 
 WIDTH = 2  # words of a shingle of op7
 ROWS, BANDS = 7, 70  # two sets of similarity 0.8 miss each other in all bands once in 15 million times
@@ -32,8 +33,6 @@ SKETCH_BITS = 2048
 MIN_ESTIMATE = 0.65
 LEADERS = 8  # of a bucket's largest component, in the second round
 
-assert MAX_DOCS <= 1 << 12
-
 
 @lru_cache(1)
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
@@ -41,29 +40,86 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 
 
-def shingle_sets(words: Words, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles (52-bit hashes) of every text, sorted within the text, and the number of them.
+def _shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of all texts, ordered by text and hash: text, hash, first word and number of words.
 
-    Shingles are ``width`` words in a row; a shorter text with words is one shingle.
+    Shingles of one text and hash are compared word by word; those that differ stay apart.
     """
     code = words.code
     grams, valid = words.grams(width, code)
     at = np.flatnonzero(valid)
-    docs, values = [words.doc[at]], [grams[at]]
+    docs, values, heads, sizes = [words.doc[at]], [grams[at]], [at], [np.full(len(at), width)]
     for k in range(1, width):
         short = np.flatnonzero(words.n == k)
-        h = code[words.first[short]]
+        head = words.first[short]
+        h = code[head]
         for j in range(1, k):
-            h = h * U(_BASE) + code[words.first[short] + j]
+            h = h * U(_BASE) + code[head + j]
         docs.append(short)
         values.append(mix(h + U(k)))
-    doc, value = np.concatenate(docs).astype(np.uint64), np.concatenate(values)
-    key = np.unique((doc << U(52)) | (value >> U(12)))
-    return key & U((1 << 52) - 1), np.bincount((key >> U(52)).astype(np.int64), minlength=len(words.n))
+        heads.append(head)
+        sizes.append(np.full(len(short), k))
+    doc, value, head, size = map(np.concatenate, (docs, values, heads, sizes))
+    order = np.lexsort((value, doc))
+    doc, value, head, size = doc[order], value[order], head[order], size[order]
+    twin = np.flatnonzero((doc[1:] == doc[:-1]) & (value[1:] == value[:-1]))  # of one size: a text's shingles are
+    same = np.ones(len(twin), bool)
+    for j in range(width):
+        longer = size[twin] > j
+        same[longer] &= words.same_words(head[twin[longer]] + j, head[twin[longer] + 1] + j)
+    keep = np.ones(len(doc), bool)
+    keep[twin[same] + 1] = False
+    if not same.all():  # two shingles share a hash: told apart by their words
+        number = words.numbers[0]
+        seen: set[tuple] = set()
+        for i in np.flatnonzero(np.isin(value, value[twin[~same]])).tolist():
+            key = (int(doc[i]), *number[head[i]:head[i] + size[i]].tolist())
+            keep[i] = key not in seen
+            seen.add(key)
+    return doc[keep], value[keep], head[keep], size[keep]
+
+
+def shingle_sets(words: Words, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles (64-bit hashes) of every text, sorted within the text, and the number of them.
+
+    Shingles are ``width`` words in a row; a shorter text with words is one shingle.
+    """
+    doc, value, _, _ = _shingles(words, width)
+    return value, np.bincount(doc, minlength=len(words.n))
+
+
+def set_digests(words: Words, doc: np.ndarray, head: np.ndarray, size: np.ndarray, value: np.ndarray) -> list[bytes | None]:
+    """SHA-256 of each text's set of shingles: the shingles' words, in the order of ``value``; None without words."""
+    n = int(size.max(initial=0))
+    # the words of each shingle in a row; the byte behind a word is white space, which is made one space
+    word = np.repeat(head - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    length = words.end[word] - words.start[word] + 1
+    at = np.cumsum(length)
+    where = np.repeat(words.start[word] - (at - length), length) + np.arange(int(at[-1]) if len(at) else 0)
+    padded = np.append(words.data, np.uint8(0x20))
+    body = padded[where]
+    body[at - 1] = 0x20
+    last = np.cumsum(size) - 1
+    body[at[last] - 1] = 0x0A  # neither occurs inside a word
+    ties = np.flatnonzero((doc[1:] == doc[:-1]) & (value[1:] == value[:-1]))
+    bounds = np.r_[0, at[last]] if n else np.zeros(1, np.int64)
+    first = np.searchsorted(doc, np.arange(len(words.n) + 1))
+    odd = set(doc[ties].tolist())
+    out: list[bytes | None] = []
+    for d in range(len(words.n)):
+        lo, hi = first[d], first[d + 1]
+        if lo == hi:
+            out.append(None)
+            continue
+        piece = body[bounds[lo]:bounds[hi]].tobytes()
+        if d in odd:  # equal hashes leave the order open
+            piece = b"\n".join(sorted(piece.split(b"\n")))
+        out.append(hashlib.sha256(piece).digest())
+    return out
 
 
 def signatures(shingles: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
-    """Set digests, band keys and odd sketches of the texts that have shingles."""
+    """Band keys and odd sketches of the texts that have shingles."""
     starts = np.cumsum(size) - size
     scrambled = mix(shingles)
     low = (scrambled >> U(32)).astype(np.uint32)
@@ -81,47 +137,41 @@ def signatures(shingles: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
     bit = mix(wide + (np.arange(1, SAMPLES + 1, dtype=np.uint64) << U(32))[:, None]) % U(SKETCH_BITS)
     flips = np.bincount((np.arange(len(size))[None, :] * SKETCH_BITS + bit.astype(np.int64)).ravel(), minlength=len(size) * SKETCH_BITS)
     sketch = np.packbits((flips & 1).astype(np.uint8)).view(np.uint64).reshape(len(size), -1)
-    return {
-        "sum_a": np.add.reduceat(mix(scrambled + U(1)), starts), "sum_b": np.add.reduceat(mix(scrambled + U(2)), starts),
-        "bands": bands.T, "sketch": sketch}
+    return {"bands": bands.T, "sketch": sketch}
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values).view(np.int64)
 
 
-_SIGNED = "id long, n_shingles long, sum_a long, sum_b long, bands array<long>, sketch array<long>"
+_SIGNED = "id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
 
 
 def sign(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``id, n_shingles, sum_a, sum_b, bands, sketch`` of ``(id, text)``; no bands for a text without words."""
+    """``id, n_shingles, digest, bands, sketch`` of ``(id, text)``; no digest or bands for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, texts in chunks(b.column(1)):
-                shingles, size = shingle_sets(Words(texts, lower=True), width)
+                words = Words(texts, lower=True)
+                doc, shingles, head, lengths = _shingles(words, width)
+                size = np.bincount(doc, minlength=len(words.n))
                 full = np.flatnonzero(size > 0)
-                n = len(size)
-                digest = {k: np.zeros(n, np.int64) for k in ("sum_a", "sum_b")}
                 arrays = {}
-                has = np.zeros(n, np.int32)
-                has[full] = 1
+                has = (size > 0).astype(np.int32)
                 s = signatures(shingles, size[full]) if len(full) else {"bands": np.zeros(0, np.uint64), "sketch": np.zeros(0, np.uint64)}
-                for k in digest:
-                    if len(full):
-                        digest[k][full] = _signed(s[k])
                 for k, count in (("bands", BANDS), ("sketch", SKETCH_BITS // 64)):
-                    off = np.zeros(n + 1, np.int32)
+                    off = np.zeros(len(size) + 1, np.int32)
                     np.cumsum(has * count, out=off[1:])
                     arrays[k] = pa.ListArray.from_arrays(pa.array(off), pa.array(_signed(s[k]).ravel()))
+                digest = pa.array(set_digests(words, doc, head, lengths, shingles), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(digest["sum_a"]), pa.array(digest["sum_b"]), arrays["bands"], arrays["sketch"]],
-                    ["id", "n_shingles", "sum_a", "sum_b", "bands", "sketch"])
+                    [b.column(0).slice(lo, hi - lo), pa.array(size.astype(np.int64)), digest, arrays["bands"], arrays["sketch"]],
+                    ["id", "n_shingles", "digest", "bands", "sketch"])
 
     return docs.mapInArrow(run, _SIGNED)
 
 
-@lru_cache(64)
 def exact_set(text: str, width: int = WIDTH) -> frozenset:
     w = bytes(LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]).split()
     if len(w) < width:
@@ -129,14 +179,34 @@ def exact_set(text: str, width: int = WIDTH) -> frozenset:
     return frozenset(zip(*[w[j:] for j in range(width)]))
 
 
+class _Sets:
+    """Sets of the texts met last, oldest dropped first, of at most ``limit`` letters together."""
+
+    def __init__(self, width: int, limit: int = 1 << 19):
+        self.width, self.limit, self.size, self.held = width, limit, 0, {}
+
+    def __call__(self, text: str) -> frozenset:
+        found = self.held.pop(text, None)
+        if found is None:
+            found = exact_set(text, self.width)
+            self.size += len(text)
+            while self.held and self.size > self.limit:
+                old = next(iter(self.held))
+                self.size -= len(old)
+                del self.held[old]
+        self.held[text] = found
+        return found
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
     """The ``(a, b)`` whose full sets have ``100 * intersection >= percent * union``. ``texts`` has ``id, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(width)
         for b in batches:
             good = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                s, t = exact_set(x, width), exact_set(y, width)
+                s, t = sets(x), sets(y)
                 both = len(s & t)
                 good.append(100 * both >= percent * (len(s) + len(t) - both))
             kept = b.filter(pa.array(good, pa.bool_()))
@@ -255,11 +325,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialise(sign(source, words))
-    # equal sets are one class, named by its smallest id
-    key = ["n_shingles", "sum_a", "sum_b"]
+    # equal sets (by the SHA-256 of their shingles) are one class, named by its smallest id
+    key = ["digest"]
     classes = materialise(
-        signed.where("id is not null and n_shingles > 0").groupBy(*key).agg(F.min(F.struct("id", "sketch", "bands")).alias("m"))
-        .select(*key, "m.id", "m.sketch", "m.bands"))
+        signed.where("id is not null and n_shingles > 0").groupBy(*key).agg(F.min(F.struct("id", "n_shingles", "sketch", "bands")).alias("m"))
+        .select(*key, "m.id", "m.n_shingles", "m.sketch", "m.bands"))
     member = classes.select("id", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = materialise(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = materialise(member.join(buckets, "bucket"))
@@ -310,7 +380,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(linked)
     named = materialise(classes.select(*key, F.col("id").alias("class_id")).join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
                         .select(*key, F.coalesce("component", "class_id").alias("component")))
-    rows = signed.select("id", *key).join(named, key, "left")
+    rows = signed.select("id", "n_shingles", *key).join(named, key, "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return rows.select(
         F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

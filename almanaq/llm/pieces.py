@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .wordgrid import U, _power_tables, mix
+from .wordgrid import byte_view, hash_spans, number_spans, same_spans
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: The characters of ``\s`` in the tokenizers' patterns.
@@ -77,15 +77,18 @@ class Pieces:
         self.doc = np.searchsorted(off, self.start, "right") - 1
         self.n_docs = len(texts)
 
-    def codes(self) -> np.ndarray:
-        up, down = _power_tables(len(self.points))
-        total = np.zeros(len(self.points) + 1, np.uint64)
-        np.cumsum(mix(self.points.astype(np.uint64) + U(1)) * up[:len(self.points)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces as bytes: a view of them, where each starts and how long it is."""
+        return byte_view(self.points.view(np.uint8)), self.start * 4, (self.end - self.start) * 4
 
 
 class PieceTable:
-    """Ids of pieces met before, by the pieces' 64-bit hashes; emptied when it holds ``limit`` pieces."""
+    """Ids of pieces met before, found by hash and compared byte by byte; emptied when it holds ``limit`` pieces.
+
+    Pieces of more than ``LONGEST`` letters, and a piece whose hash another one has taken, are encoded anew each time.
+    """
+
+    LONGEST = 64
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000):
         self.encode, self.limit = encode, limit
@@ -94,32 +97,73 @@ class PieceTable:
     def _empty(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.offsets, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.words, self.used = np.zeros(1 << 16, np.uint8), 0
+        self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _store(self, view: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        """Keeps the bytes of new pieces; the buffer doubles, so that adding is linear over all."""
+        total = int(length.sum())
+        if self.used + total + 8 > len(self.words):
+            self.words = np.concatenate([self.words[:self.used], np.zeros(self.used + total + (1 << 16), np.uint8)])
+        first = np.cumsum(length) - length
+        where = np.repeat(start - first, length) + np.arange(total)
+        self.words[self.used:self.used + total] = view.base[where]
+        self.at, self.length = np.r_[self.at, self.used + first], np.r_[self.length, length]
+        self.used += total
+
+    def _known(self, keys: np.ndarray, view: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slot of each piece in the table (-1: not there) and whether its hash is taken."""
+        at = np.searchsorted(self.keys, keys)
+        taken = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        taken[inside] = self.keys[at[inside]] == keys[inside]
+        slot = np.full(len(keys), -1)
+        slot[taken] = self.slots[at[taken]]
+        here = np.flatnonzero(taken)
+        here = here[self.length[slot[here]] == length[here]]
+        own = np.ndarray((len(self.words) - 7,), "<u8", self.words, strides=(1,))
+        good = here[same_spans(view, start[here], own, self.at[slot[here]], length[here])]
+        found = np.full(len(keys), -1)
+        found[good] = slot[good]
+        return found, taken
 
     def lookup(self, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and the number of ids of each text."""
         if not len(pieces.start):
             return np.zeros(0, np.int32), np.zeros(pieces.n_docs, np.int64)
-        keys, index, back = np.unique(pieces.codes(), return_index=True, return_inverse=True)
+        view, start, length = pieces.spans()
+        code = hash_spans(view, start, length)
+        number, lead = number_spans(view, start, length, code)
         if len(self.keys) > self.limit:
             self._empty()
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        if not known.all():
-            where = index[~known]
-            text = pieces.joined
-            ids, counts = self.encode([text[a:b] for a, b in zip(pieces.start[where].tolist(), pieces.end[where].tolist())])
-            fresh = np.arange(len(counts)) + len(self.offsets) - 1
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(counts)])
-            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-            self.keys, self.slots = np.insert(self.keys, at[~known], keys[~known]), np.insert(self.slots, at[~known], fresh)
-            at = np.searchsorted(self.keys, keys)
-        slot = self.slots[at][back]
-        count = self.offsets[slot + 1] - self.offsets[slot]
-        where = np.repeat(self.offsets[slot] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        slot, taken = self._known(code[lead], view, start[lead], length[lead])
+        new = np.flatnonzero(slot < 0)
+        offsets, ids = self.offsets, self.ids
+        if len(new):
+            where, text = lead[new], pieces.joined
+            fresh, counts = self.encode([text[a:b] for a, b in zip(pieces.start[where].tolist(), pieces.end[where].tolist())])
+            fresh = fresh.astype(np.int32)
+            slot[new] = np.arange(len(new)) + len(offsets) - 1
+            offsets = np.concatenate([offsets, offsets[-1] + np.cumsum(counts)])
+            ids = np.concatenate([ids, fresh])
+            _, once = np.unique(code[where], return_index=True)
+            stays = np.zeros(len(new), bool)
+            stays[once] = True
+            stays &= ~taken[new] & (length[where] <= 4 * self.LONGEST)
+            kept = new[stays]
+            own = np.arange(len(kept)) + len(self.offsets) - 1
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(counts[stays])])
+            self.ids = np.concatenate([self.ids, fresh[np.repeat(stays, counts)]])
+            self._store(view, start[lead[kept]], length[lead[kept]])
+            keys = code[lead[kept]]
+            order = np.argsort(keys, kind="stable")
+            at = np.searchsorted(self.keys, keys[order])
+            self.keys, self.slots = np.insert(self.keys, at, keys[order]), np.insert(self.slots, at, own[order])
+        slot = slot[number]
+        count = offsets[slot + 1] - offsets[slot]
+        where = np.repeat(offsets[slot] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         per_text = np.bincount(pieces.doc, weights=count, minlength=pieces.n_docs).astype(np.int64)
-        return self.ids[where], per_text
+        return ids[where], per_text
 
 
 def encode_texts(texts: list[str], table: PieceTable, spaced: bool, special: dict[str, int], normalise: Callable[[str], str] | None = None):

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import ship_package
-from .wordgrid import SPACE, Words, U, chunks, mix
+from .wordgrid import SPACE, Words, chunks
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -79,18 +79,10 @@ def _ascii_words(line: str) -> list[bytes]:
 
 def repeated_words(words: Words, window: int) -> np.ndarray:
     """Per text: words inside windows that occur twice or more in it."""
-    grams, valid = words.grams(window, words.code)
-    at = np.flatnonzero(valid)
-    key = (words.doc[at].astype(np.uint64) << U(52)) | (grams[at] >> U(12))
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    same = ordered[1:] == ordered[:-1]
-    hit = np.zeros(len(at), bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    edge = np.zeros(len(words.code) + window + 1, np.int64)
-    np.add.at(edge, at[hit], 1)
-    np.add.at(edge, at[hit] + window, -1)
+    at = np.flatnonzero(words.repeats(window))
+    edge = np.zeros(len(words.doc) + window + 1, np.int64)
+    edge[at] += 1
+    edge[at + window] -= 1
     covered = np.cumsum(edge)[:len(words.doc)] > 0
     return np.bincount(words.doc[covered], minlength=len(words.n))
 

@@ -6,8 +6,9 @@ batch. White space is ``[\\x20\\x09-\\x0D]``; null text counts as empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,25 +31,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(1)
-def _byte_codes() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * U(0xD1342543DE82EF95))
-
-
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n + 1:
-        size = max(n + 1, 2 * CHUNK)
-        tables = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            t = np.full(size, base, np.uint64)
-            t[0] = 1
-            tables.append(np.cumprod(t, dtype=np.uint64))
-        _powers[:] = tables
-    return _powers[0], _powers[1]
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+_LONG = 1024  # spans beyond so many bytes are hashed and compared one by one
+
+
+def byte_view(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as unsigned integers (zeros follow the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def _span(view: np.ndarray, at: int, length: int) -> bytes:
+    return view.base[at:at + length].tobytes()
+
+
+def hash_spans(view: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span, block by block. Equal hashes don't prove equal spans; see ``same_spans``."""
+    h = mix(length.astype(U) * U(_BASE) ^ (view[start] & _MASK[np.minimum(length, 8)]))
+    at, k = np.flatnonzero(length > 8), 8
+    while len(at) and k < _LONG:
+        left = np.minimum(length[at] - k, 8)
+        h[at] = mix(h[at] * U(_BASE) ^ (view[start[at] + k] & _MASK[left]))
+        k += 8
+        at = at[length[at] > k]
+    for i in at.tolist():
+        rest = hashlib.blake2b(_span(view, int(start[i]) + k, int(length[i]) - k), digest_size=8).digest()
+        h[i] = mix(h[i:i + 1] * U(_BASE) ^ np.frombuffer(rest, U))[0]
+    return h
+
+
+def same_spans(view: np.ndarray, start: np.ndarray, other: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ``length`` bytes at ``start`` of one text and at ``at`` of another are the same, for each pair."""
+    same = ((view[start] ^ other[at]) & _MASK[np.minimum(length, 8)]) == 0
+    open_, k = np.flatnonzero(same & (length > 8)), 8
+    while len(open_) and k < _LONG:
+        left = np.minimum(length[open_] - k, 8)
+        equal = ((view[start[open_] + k] ^ other[at[open_] + k]) & _MASK[left]) == 0
+        same[open_[~equal]] = False
+        k += 8
+        open_ = open_[equal & (length[open_] > k)]
+    for i in open_.tolist():
+        n = int(length[i]) - k
+        same[i] = _span(view, int(start[i]) + k, n) == _span(other, int(at[i]) + k, n)
+    return same
+
+
+def number_spans(view: np.ndarray, start: np.ndarray, length: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers from 0 that are equal exactly where the spans' bytes are, and for each number a span that has it.
+
+    Spans are sorted by their hashes ``code``, then compared with the first one of their hash; those that differ from it
+    are told apart by their bytes.
+    """
+    _, first, number = np.unique(code, return_index=True, return_inverse=True)
+    lead = first[number]
+    same = length == length[lead]
+    same[same] = same_spans(view, start[same], view, start[lead[same]], length[same])
+    if not same.all():
+        fresh: dict[bytes, int] = {}
+        extra = []
+        for i in np.flatnonzero(~same).tolist():
+            word = _span(view, int(start[i]), int(length[i]))
+            if word not in fresh:
+                fresh[word] = len(first) + len(extra)
+                extra.append(i)
+            number[i] = fresh[word]
+        first = np.r_[first, extra]
+    return number, first
 
 
 def strings(column: pa.Array) -> pa.Array:
@@ -99,12 +148,51 @@ class Words:
         self.n = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
 
-    @property
+    @cached_property
+    def view(self) -> np.ndarray:
+        return byte_view(self.data)
+
+    @cached_property
     def code(self) -> np.ndarray:
-        up, down = _power_tables(len(self.data))
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_byte_codes()[self.data] * up[:len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        return hash_spans(self.view, self.start, self.end - self.start)
+
+    @cached_property
+    def numbers(self) -> tuple[np.ndarray, np.ndarray]:
+        """A number per word, equal exactly for equal words, and for each number a word that has it."""
+        return number_spans(self.view, self.start, self.end - self.start, self.code)
+
+    def same_words(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the words at ``a`` and at ``b`` are the same, for each pair."""
+        n = self.end[a] - self.start[a]
+        same = n == self.end[b] - self.start[b]
+        same[same] = same_spans(self.view, self.start[a[same]], self.view, self.start[b[same]], n[same])
+        return same
+
+    def repeats(self, k: int) -> np.ndarray:
+        """For each position whether the ``k`` words from it on stand at another position of the same text as well.
+
+        Windows are sorted by their hashes; neighbours are compared word by word. Should two different windows share a
+        hash, the windows of the chunk are numbered exactly instead.
+        """
+        grams, valid = self.grams(k, self.code)
+        at = np.flatnonzero(valid)
+        key = mix(grams[at] ^ mix(self.doc[at].astype(U) * U(_BASE)))
+        order = np.argsort(key, kind="stable")
+        twin = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        a, b = at[order[twin]], at[order[twin + 1]]
+        same = self.doc[a] == self.doc[b]
+        for j in range(k):
+            same = same & self.same_words(a + j, b + j)
+        hit = np.zeros(len(self.doc), bool)
+        if same.all():
+            hit[a], hit[b] = True, True
+        elif len(at):
+            n, size = self.numbers[0], len(self.numbers[1])
+            rank = self.doc[at].astype(np.int64)
+            for j in range(k):
+                _, rank = np.unique(rank * size + n[at + j], return_inverse=True)
+            hit[at] = np.bincount(rank)[rank] > 1
+        return hit
 
     def grams(self, k: int, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the ``k`` words from each position on, and whether they lie in one text."""
