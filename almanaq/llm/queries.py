@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .collocations import collocations
 from .common import documents
 from .exact_dedup import exact_duplicates
+from .gam import classify_quality
 from .hilbert import hilbert_shards
 from .language_id import identify_languages
+from .lexical_search import lexical_search
 from .license_scan import license_labels
 from .mixing import mix_weights
 from .near_dedup import near_duplicates
@@ -68,7 +71,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_first_cleaning(documents(spark, sf_dir)).drop("clean_text")
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_exact_dedup, op3_mixing, op4_language_id, op5_bpe, op6_license_scan, op7_minhash,
-        op8_hilbert_shards, op9_token_files, op10_quality_rules)}
+        op8_hilbert_shards, op9_token_files, op10_quality_rules, op11_quality_classifier, op12_collocations,
+        op13_lexical_search)}

@@ -168,3 +168,48 @@ def op10(docs):
         symbols = sum(t.count(c) for c in "#*$%&|<>")
         out[i] = (len(w), sum(map(len, w)), symbols, len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w))
     return out
+
+
+def op13(docs, items, k=10):
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    held = [(i, Counter(term.findall(lower_az(t or "")))) for i, t in docs]
+    held = [(i, c, c.total()) for i, c in held if c]
+    n_all, total = len(held), sum(n for _, _, n in held)
+    df = Counter(x for _, c, _ in held for x in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for i, c, n in held:
+            m = 100 - 90 + (90 * n * n_all) // total
+            s = sum(math.floor(1000 * math.log((2 * n_all + 2) / (2 * df[x] + 1))) * ((1_000_000_000 * c[x]) // (1000 * c[x] + 8 * m))
+                    for x in set(term.findall(lower_az(text or ""))) if x in c)
+            if s > 0:
+                scores.append((-s, i is None, i))
+        out += [(item, rank, i, -s) for rank, (s, _, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=str)
+
+
+def op12(rows, least=30, top=2000):
+    """Of every ``(text, lang)``."""
+    counts, total = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower_az(text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            for k in range(1, 5):
+                counts.update((lang, tuple(w[p:p + k])) for p in range(len(w) - k + 1))
+    chosen = {x: a for x, a in counts.items() if a >= least and len(x[1]) > 1}
+    longer = Counter()
+    for (lang, w), a in chosen.items():
+        for size in range(2, len(w)):
+            for p in range(len(w) - size + 1):
+                key = lang, w[p:p + size]
+                longer[key] = max(longer[key], a)
+    out = defaultdict(list)
+    for (lang, w), a in chosen.items():
+        if 100 * longer[lang, w] >= 80 * a:
+            continue
+        score, _, left, right = min((2000000 * a // (counts[lang, w[:k]] + counts[lang, w[k:]]), k, counts[lang, w[:k]], counts[lang, w[k:]]) for k in range(1, len(w)))
+        out[lang].append((-score, -a, " ".join(w).encode(), left, right))
+    return sorted((lang, rank, p.decode(), -a, left, right, total[lang], -s) for lang, found in out.items() for rank, (s, a, p, left, right) in enumerate(sorted(found)[:top], 1))
