@@ -13,7 +13,7 @@ from almanaq.operators.absorb import absorb_ols
 from almanaq.operators.anomaly import deviation, standardised_deviation, zscore
 from almanaq.operators.coefficients import coef_interval
 from almanaq.operators.density import weighted_kde
-from almanaq.operators.gls import gls_ar
+from almanaq.operators.gls import gls_ar, lag_sums
 from almanaq.operators.panel import merge, period_profile
 from almanaq.operators.trend import trend_lm
 from almanaq.operators.within import fe_within
@@ -68,8 +68,9 @@ def national_models(panel: DataFrame, partial_year: int = PARTIAL_YEAR) -> dict[
         "fe": fe_within(rows, OUTCOME, COVARIATES, by="year"),
         "fe_check": absorb_ols(rows, OUTCOME, COVARIATES, by=["year", "month"]),
     }
+    sums = lag_sums(rows, OUTCOME, COVARIATES, time="year", group="month", p=3)
     for p in (1, 2, 3):
-        fits[f"gls_ar{p}"] = gls_ar(rows, OUTCOME, COVARIATES, time="year", group="month", p=p)
+        fits[f"gls_ar{p}"] = gls_ar(rows, OUTCOME, COVARIATES, time="year", group="month", p=p, sums=sums)
     return {name: coef_interval(coefs) for name, coefs in fits.items()}
 
 

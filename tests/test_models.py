@@ -185,7 +185,7 @@ def test_likelihood_from_sums_equals_dense(spark, partial, share):
     np.testing.assert_allclose(fit.beta, beta, rtol=1e-9)
     np.testing.assert_allclose(np.sqrt(np.diag(fit.covariance)), se, rtol=1e-9)
     if not share:
-        assert sorted(sums.groups) == [tuple(range(1, i + 1)) for i in range(len(partial) + 1)]
+        assert sorted(sums.groups) == list(range(len(partial) + 1)) and sums.stretches is None
 
 
 @pytest.mark.parametrize("p", [1, 2, 3])
@@ -215,3 +215,59 @@ def test_gls_accepts_short_and_gapped_series_and_refuses_repeats(spark):
     for partial in ([0.4], [0.4, -0.2]):
         sums = gls.lag_sums(spark.createDataFrame(gapped), "y", ["x", "z"], "year", "month", len(partial))
         assert gls.fit_at(sums, partial).loglik == pytest.approx(dense_restricted(gapped, partial)[0], abs=1e-8)
+
+
+def irregular(seed=11, series_=4, n=60):
+    """Times with gaps of any length, and stretches without."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for m in range(series_):
+        at = np.cumsum(np.where(rng.random(n) < 0.5, 1, rng.integers(1, 40, n)))
+        for t in at:
+            x, z = rng.normal(size=2)
+            out.append((int(t), m, x, z, 0.4 * x - 0.2 * z + rng.normal()))
+    return pd.DataFrame(out, columns=["year", "month", "x", "z", "y"])
+
+
+def test_likelihood_of_irregular_times_for_all_orders_from_one_set_of_sums(spark):
+    pdf = irregular()
+    gap = pdf.year.max() + 2
+    sums = gls.lag_sums(spark.createDataFrame(pdf).repartition(5), "y", ["x", "z"], "year", "month", 3)
+    for partial in ([0.4], [0.95], [0.4, -0.2], [-0.5, 0.7], [0.3, 0.2, -0.6]):
+        _, rho = gls.ar_from_partial(partial, gap)
+        same = pdf.month.to_numpy()[:, None] == pdf.month.to_numpy()[None, :]
+        v = np.where(same, rho[np.abs(np.subtract.outer(pdf.year.to_numpy(), pdf.year.to_numpy())) % gap], 0.0)
+        x, y = np.column_stack([np.ones(len(pdf)), pdf.x, pdf.z]), pdf.y.to_numpy()
+        inv = np.linalg.inv(v)
+        xx = x.T @ inv @ x
+        beta = np.linalg.solve(xx, x.T @ inv @ y)
+        s2 = (y - x @ beta) @ inv @ (y - x @ beta) / (len(y) - 3)
+        want = -0.5 * ((len(y) - 3) * (np.log(2 * np.pi * s2) + 1) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(xx)[1])
+        fit = gls.fit_at(sums, partial)
+        assert fit.loglik == pytest.approx(want, abs=1e-7)
+        np.testing.assert_allclose(fit.beta, beta, rtol=1e-8)
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_gls_finds_the_maximum_of_irregular_times(spark, p):
+    pdf = gaps(series(), 0.3)
+    sums = gls.lag_sums(spark.createDataFrame(pdf), "y", ["x", "z"], "year", "month", p)
+    assert sums.stretches is not None
+    best = gls.maximum(sums, p)
+    inner = gls._maximise(lambda q: dense_restricted(pdf, q)[0], 1)[None] if p == 1 else None
+    rng = np.random.default_rng(0)
+    tried = gls.fit_many(sums, rng.uniform(-0.95, 0.95, (400, p)))
+    assert best.loglik >= max(f.loglik for f in tried)
+    if inner is not None:
+        assert best.phi[0] == pytest.approx(inner[0, 0], abs=1e-5)
+
+
+def test_long_irregular_series_need_little_memory_on_the_driver(spark):
+    """5,000 times a series: only sums per trial come back."""
+    rng = np.random.default_rng(3)
+    rows = [(m, int(t), float(x), float(0.5 * x + e)) for m in range(3)
+            for t, x, e in zip(np.cumsum(rng.integers(1, 9, 5000)), rng.normal(size=5000), rng.normal(size=5000))]
+    sums = gls.lag_sums(spark.createDataFrame(rows, "g long, t long, x double, y double"), "y", ["x"], "t", "g", 1)
+    assert sum(p.nbytes for _, p in sums.groups.values()) < 10_000 and sums.rows == 15_000
+    fit = gls.maximum(sums, 1)
+    assert abs(fit.phi[0]) < 0.1 and fit.beta[1] == pytest.approx(0.5, abs=0.03)

@@ -6,7 +6,7 @@ the SQL shares no shortcut with the operators.
 
 from __future__ import annotations
 
-from workload.queries import PARTIALS, PERIODS, PRIORITIES
+from workload.queries import GAPPED_PARTIALS, PARTIALS, PERIODS, PRIORITIES
 
 ORACLES: dict[str, str] = {}
 
@@ -378,6 +378,44 @@ terms AS (
 t AS (SELECT *, estimate / std_error AS t_value, estimate - 2 * std_error AS lower, estimate + 2 * std_error AS upper FROM terms)
 SELECT term, n - 3 AS df_resid, n AS n_obs, {", ".join(f"round({c} * 1e4) / 1e4 + 0.0 AS {c}" for c in _values)} FROM t"""
 
+# Irregular times: the correlation matrix of each series beside its columns (1, x1, x2, y), eliminated row by row. A pivot
+# is the variance of a row given the rows before it, the pivot row's columns are its prediction errors.
+for _p, _partials in GAPPED_PARTIALS.items():
+    _rows = ", ".join("(" + ", ".join([str(i), *[f"{k}::DOUBLE" for k in (*partial, 0.0, 0.0)[:3]]]) + ")" for i, partial in enumerate(_partials))
+    _phi = ", ".join(f"{c} AS phi_{i}" for i, c in enumerate(PREDICTION[_p][:_p], 1))
+    _partial = ", ".join(f"k{i} AS partial_{i}" for i in range(1, _p + 1))
+    _c1, _c2, _c3 = PREDICTION[3][:3]
+    ORACLES[f"gls_ar{_p}_gapped"] = f"""WITH RECURSIVE {ORD},
+cells AS (
+  SELECT o_custkey AS unit, year * 12 + month AS t, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / count(*) / 9999991 AS y,
+         CAST(count(*) AS DOUBLE) AS x1, CAST(count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS DOUBLE) AS x2
+  FROM order_rows GROUP BY ALL),
+params(id, k1, k2, k3) AS (VALUES {_rows}),
+grown AS (
+  SELECT id, k1, k2, k3, [1.0::DOUBLE, k1, (k1 - k2*k1)*k1 + k2] AS rho FROM params
+  UNION ALL
+  SELECT id, k1, k2, k3, list_append(rho, {_c1}*rho[len(rho)] + {_c2}*rho[len(rho)-1] + {_c3}*rho[len(rho)-2])
+  FROM grown WHERE len(rho) <= (SELECT max(t) - min(t) FROM cells)),
+rhos AS (SELECT * FROM grown WHERE len(rho) = (SELECT max(len(rho)) FROM grown)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY t) AS i, count(*) OVER (PARTITION BY unit) AS n FROM cells),
+whole AS (SELECT unit, list(t ORDER BY t) AS ts FROM cells GROUP BY unit),
+lines AS (
+  SELECT 0::BIGINT AS step, id, unit, i, n,
+         list_concat(list_transform(ts, lambda u: rho[CAST(abs(u - t) AS BIGINT) + 1]), [1.0::DOUBLE, x1, x2, y]) AS line
+  FROM numbered JOIN whole USING (unit) CROSS JOIN rhos
+  UNION ALL
+  SELECT a.step + 1, a.id, a.unit, a.i, a.n, list_transform(a.line, lambda v, k: v - a.line[a.step + 1] / b.line[a.step + 1] * b.line[k])
+  FROM lines a JOIN lines b ON a.id = b.id AND a.unit = b.unit AND b.i = a.step + 1 AND a.i > a.step + 1),
+white AS (
+  SELECT id, k1, k2, k3, sqrt(line[i]) AS scale, line[n+1] / sqrt(line[i]) AS a, line[n+2] / sqrt(line[i]) AS b,
+         line[n+3] / sqrt(line[i]) AS c, line[n+4] / sqrt(line[i]) AS y
+  FROM lines JOIN params USING (id) WHERE i = step + 1), {SOLVE3},
+t AS (
+  SELECT *, {_phi}, {_partial}, e1 AS orders, e2 AS urgent, se_scaled_rainfall_deviation AS se_orders,
+         se_scaled_temperature_deviation AS se_urgent FROM solved)
+SELECT {r(*[f'{kind}_{i}' for kind in ('partial', 'phi') for i in range(1, _p + 1)], 'log_lik', 'sigma', 'intercept', 'orders', 'urgent',
+          'se_intercept', 'se_orders', 'se_urgent')} FROM t"""
+
 LINE = """
   count(*) AS n, regr_slope(d, year) AS slope, regr_intercept(d, year) AS intercept, avg(year) AS x_mean, regr_sxx(d, year) AS sxx,
   CAST(min(year) AS DOUBLE) AS x_min, CAST(max(year) AS DOUBLE) AS x_max,

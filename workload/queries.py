@@ -46,6 +46,11 @@ PARTIALS = {
     2: tuple((i / 4, j / 4) for i in range(-3, 4) for j in range(-3, 4)),
     3: tuple((i / 2, j / 2, k / 2) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)),
 }
+GAPPED_PARTIALS = {
+    1: ((-0.5,), (0.3,), (0.9,)),
+    2: ((0.4, -0.2), (-0.3, 0.6), (0.8, 0.5)),
+    3: ((0.4, -0.2, 0.3), (-0.6, 0.2, -0.5), (0.9, 0.3, 0.1)),
+}
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -443,6 +448,34 @@ def gls_ar3(spark, sf_dir):
     return _gls(spark, sf_dir, 3)
 
 
+def customer_months(spark, sf_dir) -> DataFrame:
+    """A customer's orders month by month: most months of a series have none, so its times are irregular."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    cells = orders(spark, sf_dir).groupBy("o_custkey", (F.col("year") * 12 + F.col("month")).alias("time")).agg(
+        (F.sum(cents) / F.count(F.lit(1)) / 9999991).alias("price"), F.count(F.lit(1)).cast("double").alias("orders"),
+        F.count_if(F.col("o_orderpriority") == "1-URGENT").cast("double").alias("urgent"))
+    return cells
+
+
+def _gapped(spark, sf_dir, p: int) -> DataFrame:
+    return gls_ar_profile(customer_months(spark, sf_dir), "price", ["orders", "urgent"], "time", "o_custkey", GAPPED_PARTIALS[p])
+
+
+@query
+def gls_ar1_gapped(spark, sf_dir):
+    return _gapped(spark, sf_dir, 1)
+
+
+@query
+def gls_ar2_gapped(spark, sf_dir):
+    return _gapped(spark, sf_dir, 2)
+
+
+@query
+def gls_ar3_gapped(spark, sf_dir):
+    return _gapped(spark, sf_dir, 3)
+
+
 @query
 def trend_line_fit(spark, sf_dir):
     cells = deviation(nation_shipments(spark, sf_dir).select("nation", "year", "month", "rfh"), "rfh", ["month", "nation"])
