@@ -1,135 +1,137 @@
 """Per-unit blocks of a panel, the building stone of regressions with a large absorbed factor.
 
-A panel is reduced to one row per unit: its size, its centred cross products, and for each level of the small factors
-(years, months) how many rows it has there and how far their means lie from the unit's. Dummies are never built. The
-small factors must have few levels (calendar years, months); the unit may have any number.
+A panel is reduced to one row per unit: its size, its centred cross products, and a sparse list with an entry for each
+level of the small factors (years, months) that the unit has: how many rows, and how far their means lie from the
+unit's. Dummies are never built. Levels are numbers in the data, never columns or literals of the plan, so a plan has the
+same size for ten levels as for two thousand. The small factors' product matrix, at most ``DENSE_LEVELS`` a side, is the
+only thing that reaches the driver; with more levels see ``operators.demean``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import combinations_with_replacement
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanaq.operators.within import co_moment
 
-# Guard, not a cut: more combinations of the small factors than this are refused.
-MAX_CELLS = 100_000
+#: Levels whose product matrix is formed and solved on the driver (50 MB); more are solved by rounds in Spark.
+DENSE_LEVELS = 2500
 
 
 def pairs_of(variables: Sequence[str]) -> list[tuple[int, int]]:
     return list(combinations_with_replacement(range(len(variables)), 2))
 
 
-def factor_levels(data: DataFrame, factors: Sequence[str]) -> tuple[list[list], np.ndarray]:
-    """Sorted levels of the small factors and the matrix of row counts (levels x levels, all factors side by side)."""
-    cells = data.groupBy(*factors).agg(F.count(F.lit(1)).alias("n")).take(MAX_CELLS + 1)
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"{factors} have too many levels for small factors; absorb the largest instead")
-    levels = [sorted({row[f] for row in cells}) for f in factors]
-    starts = np.cumsum([0] + [len(v) for v in levels])
-    at = [{lv: starts[i] + j for j, lv in enumerate(v)} for i, v in enumerate(levels)]
-    counts = np.zeros((starts[-1], starts[-1]))
-    for row in cells:
-        where = [at[i][row[f]] for i, f in enumerate(factors)]
-        for a in where:
-            for b in where:
-                counts[a, b] += row["n"]
-    return levels, counts
-
-
-def _level_ids(factors: Sequence[str], levels: Sequence[Sequence]):
-    """Per row the positions of its levels in the joint list of levels, one per factor."""
-    ids, start = [], 0
-    for f, values in zip(factors, levels):
-        known = F.array(*[F.lit(v) for v in values])
-        ids.append((F.array_position(known, F.col(f)) - 1 + start).cast("int"))
+def at_once(df: DataFrame, *jobs: Callable):
+    """Runs several actions as concurrent Spark jobs."""
+    with ThreadPoolExecutor(len(jobs) or 1) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(df.sparkSession)(job)) for job in jobs]]
+
+
+def count_levels(data: DataFrame, factors: Sequence[str]) -> list[int]:
+    """Number of levels of each factor."""
+    return at_once(data, *[lambda f=f: data.select(f).distinct().count() for f in factors])
+
+
+def factor_levels(data: DataFrame, factors: Sequence[str]) -> list[list]:
+    """Sorted levels of factors whose levels are known to be few."""
+    return at_once(data, *[lambda f=f: sorted(row[f] for row in data.select(f).distinct().collect()) for f in factors])
+
+
+def number_levels(data: DataFrame, factors: Sequence[str], levels: Sequence[Sequence]) -> DataFrame:
+    """``data`` with ``_ids``: the numbers of its levels in the joint list of levels, one per factor."""
+    start, names = 0, []
+    for i, (f, values) in enumerate(zip(factors, levels)):
+        kind = data.schema[f].dataType.simpleString()
+        known = data.sparkSession.createDataFrame([(v, start + j) for j, v in enumerate(values)], f"_value_{i} {kind}, _id_{i} int")
+        data = data.join(known, F.col(f) == F.col(f"_value_{i}"))
+        names.append(f"_id_{i}")
         start += len(values)
-    return ids
+    return data.withColumn("_ids", F.array(*names))
+
+
+def level_counts(numbered: DataFrame, size: int) -> np.ndarray:
+    """Rows that have two levels, for all pairs of levels."""
+    pairs = numbered.groupBy("_ids").agg(F.count(F.lit(1)).alias("n")).select("n", "_ids", F.explode("_ids").alias("a"))
+    return _matrix(pairs.select("n", "a", F.explode("_ids").alias("b")).groupBy("a", "b").agg(F.sum("n").alias("v")), size)
 
 
-def unit_blocks(
-    data: DataFrame, unit: str, factors: Sequence[str], levels: Sequence[Sequence], variables: Sequence[str],
-) -> DataFrame:
-    """One row per unit: ``n``, ``mean_i``, ``s_i_j`` (centred cross products), arrays ``count``, ``dev_i`` over levels.
+def _matrix(sums: DataFrame, size: int) -> np.ndarray:
+    found = sums.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("v").cast("double")).toArrow()
+    out = np.zeros((size, size))
+    out[np.array(found.column("a")), np.array(found.column("b"))] = np.array(found.column("v"))
+    return out
 
-    ``raw_i`` is the uncentred sum of squares.
 
-    ``dev_i[l]`` is the sum over the unit's rows at level l of variable i minus its unit mean. Two shuffles: partial
-    sums per (unit, level), then per unit. Both carry sums, never raw rows.
+def unit_blocks(numbered: DataFrame, unit: str, variables: Sequence[str]) -> DataFrame:
+    """One row per unit: ``n``, ``mean_i``, ``s_i_j`` (centred cross products), ``raw_i`` (uncentred sums of squares), and
+    ``entries``: for each level ``k`` of the unit, in order, its rows ``c`` and ``dev_i``, the sum of variable i less its
+    unit mean there.
+
+    ``numbered`` comes from ``number_levels``. Two shuffles: partial sums per (unit, level), then per unit. Both carry
+    sums, never raw rows.
     """
     pairs = pairs_of(variables)
-    ids = _level_ids(factors, levels)
-    rows = data.withColumn("_factor", F.lit(0)).withColumn("_level", ids[0]) if len(ids) == 1 else (
-        data.select("*", F.posexplode(F.array(*ids)).alias("_factor", "_level")))
-    cells = rows.groupBy(unit, "_factor", "_level").agg(
+    rows = numbered.select(unit, *variables, F.posexplode("_ids").alias("_factor", "_k"))
+    cells = rows.groupBy(unit, "_factor", "_k").agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.avg(v).alias(f"_mean_{i}") for i, v in enumerate(variables)],
         *[co_moment(variables[i], variables[j]).alias(f"_m_{i}_{j}") for i, j in pairs],
     )
-    # A unit has one cell per level, so this window stays small for every unit. The first factor's cells already hold
-    # all rows of the unit once.
-    own = Window.partitionBy(unit)
-    first = F.col("_factor") == 0
-    cells = cells.withColumn("n", F.sum(F.when(first, F.col("_n"))).over(own))
-    means = {
-        f"mean_{i}": F.sum(F.when(first, F.col("_n") * F.col(f"_mean_{i}"))).over(own) / F.col("n")
-        for i in range(len(variables))
-    }
-    cells = cells.withColumns(means).withColumns({
-        f"_dev_{i}": F.col(f"_mean_{i}") - F.col(f"mean_{i}") for i in range(len(variables))})
-    whole = {
-        f"s_{i}_{j}": F.sum(F.when(first, F.col(f"_m_{i}_{j}") + F.col("_n") * F.col(f"_dev_{i}") * F.col(f"_dev_{j}"))).over(own)
-        for i, j in pairs
-    }
-    cells = cells.withColumns(whole)
-    size = sum(len(v) for v in levels)
-    spread = cells.groupBy(unit, "n", *means, *whole).pivot("_level", list(range(size))).agg(
-        F.sum("_n").cast("double").alias("c"),
-        *[F.sum(F.col("_n") * F.col(f"_dev_{i}")).alias(f"d{i}") for i in range(len(variables))],
-    )
-
+    # Cells of the first factor hold all rows of the unit once.
+    listed = cells.groupBy(unit).agg(F.array_sort(F.collect_list(F.struct(
+        F.col("_k").alias("k"), F.col("_factor").alias("f"), F.col("_n").alias("c"),
+        *[f"_mean_{i}" for i in range(len(variables))], *[f"_m_{i}_{j}" for i, j in pairs]))).alias("_cells"))
+
+    def total(value: Callable[[Column], Column]) -> Column:
+        return F.aggregate("_cells", F.lit(0.0), lambda acc, x: acc + F.when(x["f"] == 0, value(x)).otherwise(0.0))
+
+    listed = listed.withColumn("n", total(lambda x: x["c"].cast("double")).cast("long"))
+    listed = listed.withColumns({f"mean_{i}": total(lambda x, i=i: x["c"] * x[f"_mean_{i}"]) / F.col("n") for i in range(len(variables))})
+    apart = lambda x, i: x[f"_mean_{i}"] - F.col(f"mean_{i}")
+    listed = listed.withColumns({
+        f"s_{i}_{j}": total(lambda x, i=i, j=j: x[f"_m_{i}_{j}"] + x["c"] * apart(x, i) * apart(x, j)) for i, j in pairs})
     raw = [(F.col(f"s_{i}_{i}") + F.col("n") * F.col(f"mean_{i}") * F.col(f"mean_{i}")).alias(f"raw_{i}") for i in range(len(variables))]
+    entries = F.transform("_cells", lambda x: F.struct(
+        x["k"].alias("k"), x["c"].cast("double").alias("c"), *[(x["c"] * apart(x, i)).alias(f"dev_{i}") for i in range(len(variables))]))
+    return listed.select(
+        unit, "n", *[f"mean_{i}" for i in range(len(variables))], *[f"s_{i}_{j}" for i, j in pairs], *raw, entries.alias("entries"))
 
-    def dense(name: str):
-        return F.array(*[F.coalesce(F.col(f"{k}_{name}"), F.lit(0.0)) for k in range(size)])
 
-    return spread.select(
-        unit, "n", *means, *whole, *raw, dense("c").alias("count"),
-        *[dense(f"d{i}").alias(f"dev_{i}") for i in range(len(variables))],
-    )
+def vector(entries: str, value: Callable[[Column], Column], more: Sequence[tuple[int, Column]] = ()) -> Column:
+    """A sparse vector of a unit, ``array<struct<k, v>>`` in order of k: a number per entry, and some behind all levels."""
+    own = F.transform(entries, lambda x: F.struct(x["k"].alias("k"), value(x).alias("v")))
+    return F.concat(own, F.array(*[F.struct(F.lit(k).alias("k"), v.cast("double").alias("v")) for k, v in more])) if more else own
 
 
-def gram_sums(
-    blocks: DataFrame, vectors: Sequence[Column], size: int, arrays: Sequence[str], scalars: Sequence[str],
-) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
-    """One job over the blocks: sum of ``v v'`` over all ``vectors``, element-wise sums of ``arrays``, sums of ``scalars``.
+def outer_sums(blocks: DataFrame, vectors: Sequence[Column], size: int) -> np.ndarray:
+    """Sum of ``v v'`` over all units and their sparse ``vectors`` (NULL: none), a matrix of ``size`` a side.
 
-    A vector has ``size`` numbers or is NULL; an array at most ``size``. Each block spreads to one row per non-zero
-    entry of a vector (plus one for its scalars), and each such row adds one line of the matrix. Sums are map-side, so
-    a partition ships at most ``size + 1`` rows.
+    Each pair of entries of a vector is a product; products are added up map-side by their place in the matrix, so a
+    partition ships at most the matrix.
     """
-    first = vectors[0]
-    # The extra entry carries the scalars; only the first vector's rows carry the arrays.
-    tagged = [F.struct(F.lit(i).alias("which"), v.alias("v")) for i, v in enumerate([F.concat(first, F.array(F.lit(1.0))), *vectors[1:]])]
-    rows = blocks.select(*arrays, *scalars, F.explode(F.array(*tagged)).alias("_t")).select(
-        *arrays, *scalars, F.col("_t.which").alias("_which"), F.col("_t.v").alias("_v"), F.posexplode("_t.v").alias("_a", "_va"))
-    head = F.col("_which") == 0
-    entry, whole = F.col("_a") < size, head & (F.col("_a") == size)
-    rows = rows.where(head | (F.col("_va") != 0))
-    sums = rows.groupBy("_a").agg(
-        *[F.sum(F.when(entry, F.col("_va") * F.get("_v", F.lit(b)))).alias(f"_{b}") for b in range(size)],
-        *[F.sum(F.when(head & entry, F.get(c, F.col("_a")))).alias(f"_sum_{c}") for c in arrays],
-        *[F.sum(F.when(whole, F.col(c))).alias(f"_all_{c}") for c in scalars],
-    ).collect()
-    outer, lines, totals = np.zeros((size, size)), np.zeros((len(arrays), size)), dict.fromkeys(scalars, 0)
-    for row in sums:
-        if row["_a"] == size:
-            totals = {c: row[f"_all_{c}"] or 0 for c in scalars}
-        else:
-            outer[row["_a"]] = [row[f"_{b}"] for b in range(size)]
-            lines[:, row["_a"]] = [row[f"_sum_{c}"] or 0.0 for c in arrays]
-    return outer, lines, totals
+    rows = blocks.select(F.explode(F.array(*vectors)).alias("_v")).where("_v is not null").select("_v", F.posexplode("_v").alias("_at", "_a"))
+    upper = F.slice("_v", F.col("_at") + 1, F.size("_v"))
+    products = rows.select("_a", F.explode(upper).alias("_b")).groupBy(F.col("_a.k").alias("a"), F.col("_b.k").alias("b"))
+    half = _matrix(products.agg(F.sum(F.col("_a.v") * F.col("_b.v")).alias("v")), size)
+    return half + np.triu(half, 1).T
+
+
+def level_sums(blocks: DataFrame, names: Sequence[str], size: int) -> np.ndarray:
+    """Sums of the entries' fields ``names`` over all units, a line per name and a column per level."""
+    sums = blocks.select(F.explode("entries").alias("e")).groupBy("e.k").agg(*[F.sum(f"e.{c}").alias(c) for c in names]).collect()
+    out = np.zeros((len(names), size))
+    for row in sums:  # a row per level
+        out[:, row["k"]] = [row[c] for c in names]
+    return out
+
+
+def unit_sums(blocks: DataFrame, names: Sequence[str]) -> dict[str, float]:
+    row = blocks.agg(F.count(F.lit(1)).alias("units"), *[F.sum(c).alias(c) for c in names]).first()
+    return {c: row[c] or 0 for c in ("units", *names)}

@@ -5,23 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanaq.functions.scalar import ratio
 from almanaq.functions.student import two_sided_p_column
-from almanaq.operators.blocks import factor_levels, gram_sums, pairs_of, unit_blocks
+from almanaq.operators.blocks import (
+    DENSE_LEVELS, at_once, count_levels, factor_levels, level_sums, number_levels, outer_sums, pairs_of, unit_blocks, unit_sums, vector,
+)
 from almanaq.operators.coefficients import solve_normal, variation_scale
 from almanaq.operators.within import model_rows
 from almanaq.sources.tables import materialise
 
 
-def _dot(v: str | Column, numbers: np.ndarray) -> Column:
-    """Dot product of an array column with fixed numbers."""
-    known = F.array(*[F.lit(float(x)) for x in numbers])
-    return F.aggregate(F.zip_with(v, known, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-
-
 def unit_slopes(df: DataFrame, y: str, x: str, zs: Sequence[str], unit: str, by: str) -> DataFrame:
     """Slope of y on x for every unit, with unit intercepts, shared covariates ``zs`` and ``by`` (year) dummies.
 
@@ -30,38 +26,38 @@ def unit_slopes(df: DataFrame, y: str, x: str, zs: Sequence[str], unit: str, by:
     a unit whose x does not vary.
 
     Each unit's intercept and slope are eliminated in Spark, the shared effects are solved on the driver (one number
-    per year and covariate), and the slopes are solved back in Spark, one row per unit.
+    per year and covariate), and the slopes are solved back in Spark, one row per unit. The shared effects and their
+    covariance go back as tables that are joined, never as literals of the plan.
     """
     variables = [y, x, *zs]
     data = model_rows(df, [unit, by], variables)
-    levels, counts = factor_levels(data, [by])
-    years, k = len(counts), len(zs)
+    years, k = count_levels(data, [by])[0], len(zs)
     if not years:
         raise ValueError("no complete rows")
+    if years > DENSE_LEVELS:
+        raise ValueError(f"{by} has too many levels for unit slopes: {years}")
+    levels = factor_levels(data, [by])
     shared = years + k
     size = shared + 1  # years, covariates, y
-    blocks = unit_blocks(data, unit, [by], levels, variables)
     # Residual variation of x at rounding level counts as none.
-    sxx = F.col("s_1_1")
-    varies = sxx > 1e-14 * F.col("raw_1")
-    with_x = [F.col(f"s_1_{i}") for i in range(2, k + 2)]
-    blocks = materialise(
-        blocks.withColumns({
-            "sxx": F.when(varies, sxx),
-            "q": F.concat("dev_1", F.array(*with_x)) if k else F.col("dev_1"),
-        }))
+    sxx = F.when(F.col("s_1_1") > 1e-14 * F.col("raw_1"), F.col("s_1_1"))
+    blocks = unit_blocks(number_levels(data, [by], levels), unit, variables).withColumn("sxx", sxx)
+    # What x explains of the shared effects inside the unit; zero entries are left out.
+    q = vector("entries", lambda e: e["dev_1"], [(years + i - 2, F.col(f"s_1_{i}")) for i in range(2, k + 2)])
+    blocks = materialise(blocks.withColumn("q", F.filter(q, lambda e: e["v"] != 0)))
 
     pairs = pairs_of(variables)
-    root_n, root_x = F.sqrt(F.col("n")), F.sqrt(F.col("sxx"))
-    intercept = F.concat(F.transform("count", lambda c: c / root_n), F.array(*[F.lit(0.0)] * (k + 1)))
-    slope = F.transform(F.concat("q", F.array(F.col("s_0_1"))), lambda c: c / root_x)
+    intercept = vector("entries", lambda e: e["c"] / F.sqrt("n"))
+    slope = F.concat("q", F.array(F.struct(F.lit(shared).alias("k"), F.col("s_0_1").alias("v"))))
+    slope = F.transform(slope, lambda e: F.struct(e["k"].alias("k"), (e["v"] / F.sqrt("sxx")).alias("v")))
     # A unit whose x does not vary has no slope vector.
     slope = F.when(F.col("sxx").isNotNull(), slope)
-    outer, cross, total = gram_sums(
-        blocks.withColumns({"units": F.lit(1), "varying": F.when(F.col("sxx").isNotNull(), 1).otherwise(0)}),
-        [intercept, slope], size, [f"dev_{i}" for i in range(k + 2)],
-        ["n", "units", "varying", *[f"s_{i}_{j}" for i, j in pairs], *[f"raw_{i}" for i in range(2, k + 2)]])
-    ref = blocks.agg(F.min_by(F.struct(unit, "sxx", "q", "s_0_1"), unit).alias("ref")).first()["ref"]
+    outer, lines, total, ref = at_once(
+        data, lambda: outer_sums(blocks, [intercept, slope], size), lambda: level_sums(blocks, ["c", *[f"dev_{i}" for i in range(k + 2)]], years),
+        lambda: unit_sums(blocks.withColumn("varying", F.col("sxx").isNotNull().cast("long")),
+                          ["n", "varying", *[f"s_{i}_{j}" for i, j in pairs], *[f"raw_{i}" for i in range(2, k + 2)]]),
+        lambda: blocks.agg(F.min_by(F.struct(unit, "sxx", "q", "s_0_1"), unit).alias("ref")).first()["ref"])
+    counts, cross = np.diag(lines[0]), lines[1:]
 
     # Product matrix of (years, zs, y) within units, then without what x explains inside each unit.
     g = np.zeros((size, size))
@@ -85,25 +81,34 @@ def unit_slopes(df: DataFrame, y: str, x: str, zs: Sequence[str], unit: str, by:
     sigma2 = rss / df_resid if df_resid > 0 else float("nan")
 
     # Slopes, solved back per unit: beta = (sxy - q'gamma) / sxx, var = sigma2 (1 / sxx + q' inverse q / sxx^2).
-    values, basis = np.linalg.eigh(inverse)
-    half = basis * np.sqrt(np.clip(values, 0.0, None))
-    half = half[:, values > 0]
-    rows = F.array(*[F.array(*[F.lit(float(v)) for v in column]) for column in half.T])
-    quadratic = F.aggregate(
-        rows, F.lit(0.0),
-        lambda acc, row: acc + F.pow(F.aggregate(F.zip_with("q", row, lambda a, b: a * b), F.lit(0.0), lambda u, v: u + v), F.lit(2.0)))
+    q_ref = np.zeros(shared)
+    for e in ref["q"]:
+        q_ref[e["k"]] = e["v"]
+    ref_sxx = ref["sxx"]
+    toward = inverse @ q_ref / ref_sxx if ref_sxx else np.zeros(shared)
+    spark = df.sparkSession
+    effects = spark.createDataFrame([(i, float(gamma[i]), float(toward[i])) for i in range(shared)], "k int, gamma double, toward double")
+    at = np.argwhere(np.triu(inverse) != 0)
+    spread = spark.createDataFrame(
+        [(int(i), int(j), float(inverse[i, j] * (1 if i == j else 2))) for i, j in at], "i int, j int, share double")
+    entries = blocks.where("sxx is not null").select(unit, "q", F.posexplode("q").alias("_at", "_a"))
+    linear = entries.select(unit, F.col("_a.k").alias("k"), F.col("_a.v").alias("v")).join(effects, "k").groupBy(unit).agg(
+        F.sum(F.col("v") * F.col("gamma")).alias("_gamma"), F.sum(F.col("v") * F.col("toward")).alias("_toward"))
+    both = entries.select(unit, "_a", F.explode(F.slice("q", F.col("_at") + 1, F.size("q"))).alias("_b"))
+    quadratic = both.select(unit, F.col("_a.k").alias("i"), F.col("_b.k").alias("j"), (F.col("_a.v") * F.col("_b.v")).alias("v")).join(
+        spread, ["i", "j"]).groupBy(unit).agg(F.sum(F.col("v") * F.col("share")).alias("_quadratic"))
+    joined = blocks.select(unit, "sxx", "s_0_1").join(linear, unit, "left").join(quadratic, unit, "left")
+    none = lambda c: F.coalesce(c, F.lit(0.0))
     sigma2_c = F.lit(float(sigma2))
-    solved = blocks.select(
+    solved = joined.select(
         unit,
-        ((F.col("s_0_1") - _dot("q", gamma)) / F.col("sxx")).alias("slope"),
-        (sigma2_c * (1 / F.col("sxx") + quadratic / (F.col("sxx") * F.col("sxx")))).alias("_var"),
-        *([(sigma2_c * _dot("q", inverse @ np.array(ref["q"]) / ref["sxx"]) / F.col("sxx")).alias("_cov")] if ref["sxx"] else
-          [F.lit(None).cast("double").alias("_cov")]),
+        ((F.col("s_0_1") - none("_gamma")) / F.col("sxx")).alias("slope"),
+        (sigma2_c * (1 / F.col("sxx") + F.greatest(none("_quadratic"), F.lit(0.0)) / (F.col("sxx") * F.col("sxx")))).alias("_var"),
+        (F.when(F.lit(ref_sxx is not None), sigma2_c * none("_toward") / F.col("sxx"))).alias("_cov"),
     )
-    if ref["sxx"]:
-        q_ref = np.array(ref["q"])
-        slope_ref = (ref["s_0_1"] - q_ref @ gamma) / ref["sxx"]
-        var_ref = sigma2 * (1 / ref["sxx"] + q_ref @ inverse @ q_ref / ref["sxx"] ** 2)
+    if ref_sxx:
+        slope_ref = float((ref["s_0_1"] - q_ref @ gamma) / ref_sxx)
+        var_ref = float(sigma2 * (1 / ref_sxx + q_ref @ inverse @ q_ref / ref_sxx ** 2))
     else:
         slope_ref = var_ref = None
     other = F.col(unit) != F.lit(ref[unit])

@@ -33,7 +33,19 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/almanaq-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._almanaq_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialise`` returned, once nothing will read them any more; a second call does nothing."""
+    for df in tables:
+        path = df.__dict__.pop("_almanaq_path", None)
+        if path is not None:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialise_all(*dfs: DataFrame) -> list[DataFrame]:

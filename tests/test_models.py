@@ -271,3 +271,71 @@ def test_long_irregular_series_need_little_memory_on_the_driver(spark):
     assert sum(p.nbytes for _, p in sums.groups.values()) < 10_000 and sums.rows == 15_000
     fit = gls.maximum(sums, 1)
     assert abs(fit.phi[0]) < 0.1 and fit.beta[1] == pytest.approx(0.5, abs=0.03)
+
+
+def random_panel(seed, units, levels, n):
+    rng = np.random.default_rng(seed)
+    pdf = pd.DataFrame({"u": rng.integers(0, units, n), "l": rng.integers(0, levels, n), "year": rng.integers(2000, 2004, n), "x": rng.normal(size=n), "z": rng.normal(size=n)})
+    pdf["y"] = 0.3 * pdf.x - 0.7 * pdf.z + np.sin(pdf.u) * 5 + np.cos(pdf.l) * 3 + pdf.year % 3 + rng.normal(size=n)
+    return pdf
+
+
+@pytest.mark.parametrize("by", [["u", "l"], ["u", "l", "year"]])
+def test_two_large_factors_by_rounds(spark, by):
+    """By conjugate gradients, by the matrix, and by dummies; the level graph falls into several components."""
+    a, b = random_panel(1, 12, 9, 150), random_panel(2, 7, 6, 60)
+    b["u"], b["l"] = b.u + 50, b.l + 50
+    pdf = pd.concat([a, b, pd.DataFrame([(99, 99, 2001, 0.3, 0.1, 4.0)], columns=["u", "l", "year", "x", "z", "y"])])
+    df = spark.createDataFrame(pdf).repartition(4)
+    by_rounds = absorb_ols(df, "y", ["x", "z"], by, dense_levels=5).toPandas()
+    by_matrix = absorb_ols(df, "y", ["x", "z"], by).toPandas()
+    pd.testing.assert_frame_equal(by_rounds, by_matrix, rtol=1e-9)
+    dummies = [pd.get_dummies(pdf[f]).to_numpy(float) for f in by]
+    design = np.hstack([pdf[["x", "z"]].to_numpy(), *dummies])
+    beta, _, rank, _ = np.linalg.lstsq(design, pdf.y.to_numpy(), rcond=None)
+    np.testing.assert_allclose(by_rounds.estimate, beta[:2], rtol=1e-9)
+    assert by_rounds.df_resid[0] == len(pdf) - rank
+
+
+def test_too_many_large_factors_are_refused(spark):
+    df = spark.createDataFrame(random_panel(1, 12, 9, 150)).withColumn("m", F.col("l") + 1)
+    with pytest.raises(ValueError, match="only two factors"):
+        absorb_ols(df, "y", ["x"], ["u", "l", "m"], dense_levels=5)
+
+
+def test_plans_do_not_grow_with_levels(spark):
+    from almanaq.operators import blocks
+
+    sizes = []
+    for n in (10, 1000):
+        df = spark.range(3000).select((F.col("id") % 7).alias("u"), (F.col("id") % n).alias("l"), F.rand(1).alias("y"))
+        numbered = blocks.number_levels(df, ["l"], blocks.factor_levels(df, ["l"]))
+        sizes.append(len(blocks.unit_blocks(numbered, "u", ["y"])._jdf.queryExecution().optimizedPlan().treeString()))
+    assert sizes[1] < 1.2 * sizes[0]
+
+
+def test_components(spark):
+    from almanaq.operators.graph import connected
+
+    rng = np.random.default_rng(4)
+    edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(100)] + [(f"m{a}", f"m{b}") for a, b in rng.integers(0, 60, (40, 2))] + [("z", "z")]
+    want = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r["node"]: r["component"] for r in connected(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got == want
+
+
+def test_query_with_two_large_factors(spark):
+    """The registered query on the small table against dummies."""
+    from workload.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").join(spark.read.parquet(f"{sf}/orders.parquet").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
+    pdf = lines.select("l_extendedprice", "l_quantity", "l_discount", "l_suppkey", "o_custkey").toPandas().astype(float)
+    design = np.hstack([pdf[["l_quantity", "l_discount"]].to_numpy(), *[pd.get_dummies(pdf[f]).to_numpy(float) for f in ("l_suppkey", "o_custkey")]])
+    beta, _, rank, _ = np.linalg.lstsq(design, pdf.l_extendedprice.to_numpy(), rcond=None)
+    got = QUERIES["absorb_supplier_customer"](spark, sf).toPandas().set_index("term")
+    np.testing.assert_allclose(got.loc[["l_quantity", "l_discount"], "estimate"], beta[:2], rtol=1e-6)
+    assert set(got.df_resid) == {len(pdf) - rank}

@@ -51,6 +51,16 @@ def r(*columns: str) -> str:
     return ", ".join(f"round({c} * 1e6) / 1e6 + 0.0 AS {c}" for c in columns)
 
 
+def p_value(t: str, df: str) -> str:
+    """P(|T| > |t|): the finite sums for odd and for even degrees of freedom."""
+    angle, root = f"atan(abs({t}) / sqrt({df}))", f"cos(atan(abs({t}) / sqrt({df})))"
+    odd = f"lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow({root}, 2 * j + 1)"
+    even = f"lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow({root}, 2 * j)"
+    return f"""CASE WHEN {df} <= 0 OR {t} IS NULL THEN NULL
+      WHEN {df} % 2 = 1 THEN 1 - 2 / pi() * ({angle} + sin({angle}) * coalesce(list_sum(list_transform(range(0, ({df} - 1) // 2), {odd})), 0))
+      ELSE 1 - sin({angle}) * list_sum(list_transform(range(0, {df} // 2), {even})) END"""
+
+
 def national(scale_by: str, incidents: str = "ord", extra: str = "") -> str:
     """CTEs ending in ``panel``: three deviations by month, rescaled by ``scale_by`` ('' for the whole table).
 
@@ -158,8 +168,9 @@ t AS (
          b AS estimate, sqrt(rss / df * inv) AS std_error, b / sqrt(rss / df * inv) AS t_value, df AS df_resid, n_obs,
          1 - rss / (SELECT sum(yc * yc) FROM centred) AS r_squared,
          b - 2 * sqrt(rss / df * inv) AS lower, b + 2 * sqrt(rss / df * inv) AS upper
-  FROM beta CROSS JOIN fit WHERE c IN ('x1', 'x2'))
-SELECT term, df_resid, n_obs, {r('estimate', 'std_error', 't_value', 'lower', 'upper', *([extra] if extra else []))} FROM t"""
+  FROM beta CROSS JOIN fit WHERE c IN ('x1', 'x2')),
+tp AS (SELECT *, {p_value('t_value', 'df_resid')} AS p_value FROM t)
+SELECT term, df_resid, n_obs, {r('estimate', 'std_error', 't_value', 'p_value', 'lower', 'upper', *([extra] if extra else []))} FROM tp"""
 
 
 ORACLES["monthly_strict_sum"] = f"""WITH {SHIP}, v AS (
@@ -265,6 +276,8 @@ ORACLES["fe_within_national"] = coefficient_query(national("month"), ("year",),
 ORACLES["fe_within_units"] = coefficient_query(UNIT, ("year",), "r_squared")
 ORACLES["absorb_year_month"] = coefficient_query(national(""), ("year", "month"))
 ORACLES["absorb_unit_year"] = coefficient_query(UNIT, ("nation", "year"))
+ORACLES["absorb_unit_year_rounds"] = ORACLES["absorb_unit_year"]
+ORACLES["absorb_unit_year_month_rounds"] = coefficient_query(UNIT, ("nation", "month", "year"))
 ORACLES["absorb_unit_year_month"] = coefficient_query(UNIT, ("nation", "year", "month"))
 
 SLOPES = f"""{UNIT}, {MODEL}, {solved('''
@@ -279,14 +292,15 @@ slopes AS (
          CASE WHEN b.c <> q.c THEN b.b - q.b END AS slope_minus_ref,
          CASE WHEN b.c <> q.c THEN sqrt(rss / df * (b.inv + q.inv - 2 * b.line[b.n + 1 + q.k])) END AS diff_std_error, df AS df_resid
   FROM beta b CROSS JOIN refrow q CROSS JOIN fit WHERE b.c LIKE 'x1:%'),
-slope_t AS (SELECT *, slope_minus_ref / diff_std_error AS diff_t_value FROM slopes)"""
+slope_d AS (SELECT *, slope_minus_ref / diff_std_error AS diff_t_value FROM slopes),
+slope_t AS (SELECT *, {p_value('t_value', 'df_resid')} AS p_value, {p_value('diff_t_value', 'df_resid')} AS diff_p_value FROM slope_d)"""
 ORACLES["unit_slope_table"] = f"""WITH RECURSIVE {SLOPES}
-SELECT nation, df_resid, {r('slope', 'std_error', 't_value', 'slope_minus_ref', 'diff_std_error', 'diff_t_value')} FROM slope_t"""
+SELECT nation, df_resid, {r('slope', 'std_error', 't_value', 'p_value', 'slope_minus_ref', 'diff_std_error', 'diff_t_value', 'diff_p_value')} FROM slope_t"""
 ORACLES["slope_map"] = f"""WITH RECURSIVE {SLOPES}, t AS (
-  SELECT n_nationkey AS nation, n_name, slope_minus_ref AS estimate, diff_std_error AS std_error,
+  SELECT n_nationkey AS nation, n_name, slope_minus_ref AS estimate, diff_std_error AS std_error, diff_p_value AS p_value,
          sign(slope_minus_ref) * sqrt(abs(slope_minus_ref)) AS estimate_sqrt
   FROM nation LEFT JOIN slope_t ON slope_t.nation = n_nationkey)
-SELECT nation, n_name, {r('estimate', 'std_error', 'estimate_sqrt')} FROM t"""
+SELECT nation, n_name, {r('estimate', 'std_error', 'p_value', 'estimate_sqrt')} FROM t"""
 
 # Autoregressive errors: every row is replaced by its prediction error from the rows before it (at most p), which the
 # partial autocorrelations k1, k2, k3 give step by step, and the whitened rows go through plain least squares.
@@ -356,7 +370,7 @@ for _p in (1, 2, 3):
     _at = lambda i: f"greatest(-0.999, least(0.999, k{i} + d{i} * w))" if i <= _p else "0.0::DOUBLE"
     _phi = ", ".join(f"{c} AS phi_{i}" for i, c in enumerate(PREDICTION[_p][:_p], 1))
     _term = lambda name, value, error: f"SELECT '{name}' AS term, {value} AS estimate, {error} AS std_error, * FROM final"
-    _values = ["estimate", "std_error", "t_value", "lower", "upper", "sigma", "log_lik", *[f"phi_{i}" for i in range(1, _p + 1)]]
+    _values = ["estimate", "std_error", "t_value", "p_value", "lower", "upper", "sigma", "log_lik", *[f"phi_{i}" for i in range(1, _p + 1)]]
     ORACLES[f"gls_ar{_p}"] = f"""WITH RECURSIVE {national('month')}, {MODEL}, {lagged(_p)},
 search AS (
   SELECT 0 AS step, 0.3::DOUBLE AS w, 0.0::DOUBLE AS k1, 0.0::DOUBLE AS k2, 0.0::DOUBLE AS k3
@@ -375,7 +389,8 @@ terms AS (
   {_term('(Intercept)', 'intercept', 'se_intercept')} UNION ALL
   {_term('scaled_rainfall_deviation', 'scaled_rainfall_deviation', 'se_scaled_rainfall_deviation')} UNION ALL
   {_term('scaled_temperature_deviation', 'scaled_temperature_deviation', 'se_scaled_temperature_deviation')}),
-t AS (SELECT *, estimate / std_error AS t_value, estimate - 2 * std_error AS lower, estimate + 2 * std_error AS upper FROM terms)
+q AS (SELECT *, estimate / std_error AS t_value, n - 3 AS df, estimate - 2 * std_error AS lower, estimate + 2 * std_error AS upper FROM terms),
+t AS (SELECT *, {p_value('t_value', 'df')} AS p_value FROM q)
 SELECT term, n - 3 AS df_resid, n AS n_obs, {", ".join(f"round({c} * 1e4) / 1e4 + 0.0 AS {c}" for c in _values)} FROM t"""
 
 # Irregular times: the correlation matrix of each series beside its columns (1, x1, x2, y), eliminated row by row. A pivot

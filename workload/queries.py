@@ -364,7 +364,7 @@ def complete_years(panel: DataFrame) -> DataFrame:
 
 
 def readable(coefs: DataFrame) -> DataFrame:
-    return coef_interval(coefs).drop("p_value")
+    return coef_interval(coefs)
 
 
 @query
@@ -397,6 +397,27 @@ def absorb_unit_year_month(spark, sf_dir):
     return readable(absorb_ols(rows, national.OUTCOME, national.COVARIATES, ["nation", "year", "month"]))
 
 
+@query
+def absorb_unit_year_rounds(spark, sf_dir):
+    """As if nations and years were too many for a matrix."""
+    rows = materialise(complete_years(scaled_unit_panel(spark, sf_dir)))
+    return readable(absorb_ols(rows, national.OUTCOME, national.COVARIATES, ["nation", "year"], dense_levels=0))
+
+
+@query
+def absorb_unit_year_month_rounds(spark, sf_dir):
+    """As if nations and months were too many; the years stay few."""
+    rows = materialise(complete_years(scaled_unit_panel(spark, sf_dir)))
+    return readable(absorb_ols(rows, national.OUTCOME, national.COVARIATES, ["nation", "month", "year"], dense_levels=8))
+
+
+@query
+def absorb_supplier_customer(spark, sf_dir):
+    """Two factors with many levels: price on quantity and discount, without the supplier's and the customer's effect."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    return readable(absorb_ols(lines, "l_extendedprice", ["l_quantity", "l_discount"], ["l_suppkey", "o_custkey"], dense_levels=8))
+
+
 def nation_slopes(spark, sf_dir) -> DataFrame:
     rows = materialise(complete_years(scaled_unit_panel(spark, sf_dir)))
     return unit_slopes(rows, national.OUTCOME, national.COVARIATES[0], national.COVARIATES[1:], "nation", "year")
@@ -404,7 +425,7 @@ def nation_slopes(spark, sf_dir) -> DataFrame:
 
 @query
 def unit_slope_table(spark, sf_dir):
-    return nation_slopes(spark, sf_dir).drop("p_value", "diff_p_value")
+    return nation_slopes(spark, sf_dir)
 
 
 def _gls_profile(spark, sf_dir, partials) -> DataFrame:
@@ -542,7 +563,7 @@ def dissolved_centroids(spark, sf_dir):
 def slope_map(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), "n_name")
     coefs = interaction_table(nation_slopes(spark, sf_dir), "nation")
-    return geo.map_table(nations, coefs, "nation", ["n_name"]).drop("p_value")
+    return geo.map_table(nations, coefs, "nation", ["n_name"])
 
 
 @query
