@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, ship_package
-from .wordgrid import _BASE, LOWER, U, byte_view, hash_spans, mix, number_spans, raw, strings
+from .wordgrid import _BASE, LOWER, U, byte_view, grouped, hash_spans, mix, number_spans, raw, strings
 
 LONGEST = 4  # words of a phrase
 MIN_COUNT = 30
@@ -30,7 +30,8 @@ UNKNOWN = "und"  # fixed value: language of rows without one
 SAMPLE_OF = 8  # one document in so many is in the sample
 SAMPLE_COUNT = 2  # a phrase so frequent in the sample is proposed
 MAP_BITS = 1 << 26  # of the bit map of proposals: 8 MB at any size of the corpus
-BATCH = 12 << 20  # bytes of text counted together in a task
+BATCH = 4 << 20  # bytes of text counted together in a task
+_SLICE = 100_000  # rows of a batch that a task returns
 #: What ends a piece, and what parts words inside it.
 BREAK = np.zeros(256, bool)
 BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -64,9 +65,10 @@ class Corpus:
         self.lang = np.array([index[x] for x in langs], np.int64)[doc] if len(langs) else np.zeros(0, np.int64)
         self.code = hash_spans(self.view, self.start, self.length)
 
-    def number(self) -> tuple[np.ndarray, int]:
-        number, lead = number_spans(self.view, self.start, self.length, self.code)
-        return number.astype(np.int64) * len(self.names) + self.lang, len(lead) * len(self.names)
+    def number(self, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, int]:
+        """Numbers of (language, word) of the words at ``at``, equal exactly where both are, and a bound of them."""
+        number, lead = number_spans(self.view, self.start[at], self.length[at], self.code[at])
+        return number * len(self.names) + self.lang[at], len(lead) * len(self.names)
 
     def places(self) -> Iterator[np.ndarray]:
         """Place in the bit map of the phrase of 1, 2, ... words from each word on."""
@@ -144,33 +146,53 @@ def count_phrases(docs: DataFrame, bits, before=None, levels: tuple[int, int] =
             c = Corpus(langs, texts)
             if not len(c.start):
                 continue
-            number, size = c.number()
             allowed = countable(c, bits.value, levels[1])
-            old = countable(c, before.value, levels[1]) if before is not None else None
             names = pa.array(c.names, pa.string())
-            if levels[0] == 1 and old is None:
-                total = np.bincount(c.lang, minlength=len(c.names))
-                yield _rows(names, 0, pa.array([""] * len(c.names), pa.string()), total)
-            key, at = number, np.arange(len(number))
-            for k in range(1, levels[1] + 1):
-                wanted = k >= levels[0] and (old is None or k > 1)
-                _, lead, rank, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                if wanted:
-                    fresh = lead if old is None else lead[~old[k - 1][at[lead]]]
-                    count = n if old is None else n[~old[k - 1][at[lead]]]
-                    if len(fresh):
-                        yield _rows(names.take(pa.array(c.lang[at[fresh]])), k, c.phrases(at[fresh], k), count)
-                if k == levels[1]:
-                    break
-                # phrases one word longer: two neighbours of this level that overlap
-                longer = np.flatnonzero(allowed[k])
-                place = np.full(len(number) + 1, -1, np.int64)
-                place[at] = rank
-                key, at, size = place[longer] * len(lead) + place[longer + 1], longer, len(lead)
+            if before is not None:
+                found = _new_ones(c, allowed, countable(c, before.value, levels[1]))
+            else:
+                found = _all_levels(c, allowed, levels[0])
+                if levels[0] == 1:
+                    yield _rows(names, 0, pa.array([""] * len(c.names), pa.string()), np.bincount(c.lang, minlength=len(c.names)))
+            for k, at, n in found:
+                for lo in range(0, len(at), _SLICE):
+                    part = at[lo:lo + _SLICE]
+                    yield _rows(names.take(pa.array(c.lang[part])), k, c.phrases(part, k), n[lo:lo + _SLICE])
 
     return docs.mapInArrow(run, "lang string, k int, phrase string, n long")
 
 
+def _all_levels(c: Corpus, allowed: list[np.ndarray], lowest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Level, a place, and count of every countable phrase from level ``lowest`` on. A level's numbers name the next one's."""
+    number, size = c.number()
+    place, n = np.zeros(size, np.int64), np.bincount(number, minlength=size)
+    place[number] = np.arange(len(number))
+    there = np.flatnonzero(n)
+    if lowest == 1:
+        yield 1, place[there], n[there]
+    for k in range(2, len(allowed) + 1):
+        at = np.flatnonzero(allowed[k - 1])
+        lead, group, n = grouped(number[at] * size + number[at + 1])  # of the phrases one word shorter, which overlap
+        if k >= lowest:
+            yield k, at[lead], n
+        number, size = np.zeros(len(number), np.int64), len(lead)
+        number[at] = group
+
+
+def _new_ones(c: Corpus, allowed: list[np.ndarray], old: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Level, a place, and count of every phrase that is countable now and was not before."""
+    for k in range(2, len(allowed) + 1):
+        at = np.flatnonzero(allowed[k - 1] & ~old[k - 1])
+        if not len(at):
+            continue
+        number, size = c.number((at[:, None] + np.arange(k)).ravel())
+        number = number.reshape(-1, k)
+        group = number[:, 0]
+        for j in range(1, k):
+            lead, group, n = grouped(group * size + number[:, j])
+        yield k, at[lead], n
+
+
 def _rows(langs: pa.Array, k: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(n), k, np.int32)), phrases, pa.array(n.astype(np.int64))], ["lang", "k", "phrase", "n"])
 

@@ -77,13 +77,25 @@ def same_spans(view: np.ndarray, start: np.ndarray, other: np.ndarray, at: np.nd
     return same
 
 
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal keys as groups, smallest key first: a member of each, the group of every key, and the groups' sizes."""
+    order = np.argsort(key)
+    ordered = key[order]
+    opens = np.ones(len(key), bool)
+    opens[1:] = ordered[1:] != ordered[:-1]
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(opens) - 1
+    heads = np.flatnonzero(opens)
+    return order[heads], group, np.diff(np.append(heads, len(key)))
+
+
 def number_spans(view: np.ndarray, start: np.ndarray, length: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers from 0 that are equal exactly where the spans' bytes are, and for each number a span that has it.
 
     Spans are sorted by their hashes ``code``, then compared with the first one of their hash; those that differ from it
     are told apart by their bytes.
     """
-    _, first, number = np.unique(code, return_index=True, return_inverse=True)
+    first, number, _ = grouped(code)
     lead = first[number]
     same = length == length[lead]
     same[same] = same_spans(view, start[same], view, start[lead[same]], length[same])
