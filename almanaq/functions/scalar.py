@@ -32,6 +32,11 @@ def above_below(deviation: Column | str) -> Column:
     return F.when(d > 0, F.lit(ABOVE)).when(d.isNotNull(), F.lit(BELOW))
 
 
+def prefer(*columns: Column | str) -> Column:
+    """The first of several columns that has a value."""
+    return F.coalesce(*[_col(c) for c in columns])
+
+
 def zero_if_null(c: Column | str) -> Column:
     return F.coalesce(_col(c), F.lit(0))
 

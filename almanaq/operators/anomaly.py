@@ -1,57 +1,41 @@
 """Anomalies: z-scores, deviations from a mean, and their composition.
 
-The grouping is always an explicit argument. Groups by calendar keys are few and large, so their statistics are
-aggregated (map-side first) and broadcast back: at most one row per year and month. Groups by unit are many and small
-in a panel (one row per unit, year and month), so they are one shuffle with a window.
+The grouping is always an explicit argument. Statistics are aggregated (map-side first) and joined back, whatever the
+keys are called: few groups make a small table, which Spark broadcasts by its own size check; many groups make a join on
+the keys, whose hot ones adaptive execution splits. No window pulls a group into one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from almanaq.functions.calendar import month_start
 from almanaq.functions.scalar import above_below, ratio
 
-# Keys with few values: calendar numbers, and the labels of an inline period list.
-SMALL_KEYS = {"year": T.IntegralType, "month": T.IntegralType, "period_ord": T.IntegralType, "period": T.StringType}
-
-
-def few_groups(df: DataFrame, by: Sequence[str]) -> bool:
-    """Whether all keys have few values by their meaning, so that one row per group is small however large ``df`` is."""
-    return all(k in SMALL_KEYS and isinstance(df.schema[k].dataType, SMALL_KEYS[k]) for k in by)
-
-
-def _attach(df: DataFrame, by: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
+def attach(df: DataFrame, by: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
     """Adds group statistics to every row; NULL keys form a group of their own."""
-    if few_groups(df, by):
-        renamed = [F.col(k).alias(f"_by_{k}") for k in by]
-        table = df.groupBy(*renamed).agg(*[c.alias(n) for n, c in stats.items()])
-        # Size bound: one row, or one row per calendar year and/or month.
-        table = F.broadcast(table)
-        if not by:
-            return df.crossJoin(table)
-        match = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by]
-        return df.join(table, match, "left").drop(*[f"_by_{k}" for k in by])
-    group = Window.partitionBy(*by)
-    return df.withColumns({n: c.over(group) for n, c in stats.items()})
+    renamed = [F.col(k).alias(f"_by_{k}") for k in by]
+    table = df.groupBy(*renamed).agg(*[c.alias(n) for n, c in stats.items()])
+    if not by:
+        return df.crossJoin(F.broadcast(table))  # one row
+    match = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by]
+    return df.join(table, match, "left").drop(*[f"_by_{k}" for k in by])
 
 
 def zscore(df: DataFrame, columns: Mapping[str, str], by: Sequence[str]) -> DataFrame:
     """Adds ``(x - mean) / sd`` per group for each ``{output: input}``, with the n-1 standard deviation.
 
-    ``by=[]`` standardises over the whole table. NULL where the group has no spread or a single row. ``by`` may hold
-    calendar keys of any table, or unit keys of a panel.
+    ``by=[]`` standardises over the whole table. NULL where the group has no spread or a single row.
     """
     stats = {}
     for out, col in columns.items():
         stats[f"_mean_{out}"] = F.avg(col)
         stats[f"_sd_{out}"] = F.stddev_samp(col)
     scored = {out: ratio(F.col(col) - F.col(f"_mean_{out}"), F.col(f"_sd_{out}")) for out, col in columns.items()}
-    return _attach(df, by, stats).withColumns(scored).drop(*stats)
+    return attach(df, by, stats).withColumns(scored).drop(*stats)
 
 
 def deviation(
@@ -59,7 +43,7 @@ def deviation(
 ) -> DataFrame:
     """Adds the group mean of ``col`` (as ``mean``), the deviation from it, and optionally its direction flag."""
     mean = mean or f"mean_{col}"
-    result = _attach(df, by, {mean: F.avg(col)}).withColumn(out, F.col(col) - F.col(mean))
+    result = attach(df, by, {mean: F.avg(col)}).withColumn(out, F.col(col) - F.col(mean))
     return result.withColumn(flag, above_below(out)) if flag else result
 
 

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanaq.operators.anomaly import few_groups
-
 SQRT_TWO_PI = 2.5066282746310002
 
 
@@ -50,8 +48,6 @@ def weighted_kde(
     squares = F.greatest(F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("_n"), F.lit(0.0))
     iqr = F.get("_q", F.lit(1)) - F.get("_q", F.lit(0))
     scale = stats.withColumn("_bw", bandwidth(F.col("_n"), F.sqrt(squares / (F.col("_n") - 1)), iqr, F.col("_size"), adjust))
-    if few_groups(df, by):
-        scale = F.broadcast(scale)
     match = [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by]
     points = sums.join(scale, match).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     grid_x = F.lit(lo) + F.col("_i") * F.lit(step)

@@ -28,7 +28,12 @@ def edges(vertices: DataFrame, unit: str, ring: str = "ring", seq: str = "seq")
         F.struct((F.col(seq).cast("long") - 1).alias("seq"), F.lit(None).cast("struct<lon:double,lat:double>").alias("start"), point.alias("end")),
     )).alias("_half"))
     paired = halves.groupBy(unit, ring, F.col("_half.seq").alias("seq")).agg(
-        F.max("_half.start").alias("start"), F.max("_half.end").alias("end"))
+        F.max("_half.start").alias("start"), F.max("_half.end").alias("end"),
+        F.count("_half.start").alias("_starts"), F.count("_half.end").alias("_ends"))
+    # A number that a ring uses twice would lose a vertex.
+    once = (F.col("_starts") <= 1) & (F.col("_ends") <= 1)
+    paired = paired.select(unit, ring, F.when(once, F.col("seq")).otherwise(
+        F.raise_error(F.lit("a ring uses a vertex number twice"))).alias("seq"), "start", "end")
     whole = F.col("start").isNotNull() & F.col("end").isNotNull()
     # Two halves per ring, so this group is as large as the number of gaps in the numbering plus one.
     closing = paired.where(~whole).groupBy(unit, ring).agg(

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from almanaq import fixed
 from almanaq.functions.calendar import parse_dmy, parse_mdy, strip_clock, with_year_month
+from almanaq.functions.scalar import prefer
 from almanaq.functions.text import admin_codes, drop_any, keep_any, to_int
 from almanaq.operators import geo
 from almanaq.operators.aggregate import levels, monthly
@@ -46,7 +47,7 @@ def colombia_cells(
     spark: SparkSession, rainfall: Sequence[str], incidents: str, temperature: str, geo_lookup: str,
 ) -> dict[str, Cells]:
     """Cells of the country (``national``), the departments (``COD_DEPTO``) and the municipalities (``COD_MUNI``)."""
-    rain = read_named(spark, rainfall, {"date": DATE, "ADM2_PCODE": TEXT, "rfh": DOUBLE})
+    rain = read_named(spark, rainfall, {"date": DATE, "ADM2_PCODE": TEXT, "rfh": DOUBLE}, multiline=False)
     rain = admin_codes(with_year_month(rain, "date"), "ADM2_PCODE", "COD_DEPTO", "COD_MUNI")
     events = read_named(spark, [incidents], {"FECHA.HECHO": TEXT, "CANTIDAD": INT, "COD_DEPTO": INT, "COD_MUNI": INT})
     events = with_year_month(events, parse_dmy(F.col("`FECHA.HECHO`"))).withColumnRenamed("CANTIDAD", "incidents")
@@ -72,7 +73,7 @@ def _mexico_incidents(spark: SparkSession, path: str, year: str, kind: str, stat
     """(year, month, name, total) of one wide incident file, one kind only."""
     names = [m if months[0].isupper() else m.capitalize() for m in fixed.SPANISH_MONTHS]
     columns = {year: INT, state: TEXT, kind: TEXT, **{m: INT for m in names}}
-    wide = read_named(spark, [path], columns, encoding="ISO-8859-1").where(F.col(f"`{kind}`") == wanted)
+    wide = read_named(spark, [path], columns, encoding="ISO-8859-1", multiline=False).where(F.col(f"`{kind}`") == wanted)
     wide = wide.select(F.col(year).alias("year"), F.col(state).alias("name"), *names)
     return monthly(unpivot_between(wide, ["year", "name"], *months, value="total"), "total", ["year", "month", "name"], na="skip")
 
@@ -85,7 +86,7 @@ def mexico_cells(
     One state is left out of the national incident totals but stays in the state panel.
     """
     rain = read_named(spark, rainfall, {
-        "X.date": DATE, "X.adm.level.level": TEXT, "X.adm.code": TEXT, "X.indicator.rfh.num": DOUBLE})
+        "X.date": DATE, "X.adm.level.level": TEXT, "X.adm.code": TEXT, "X.indicator.rfh.num": DOUBLE}, multiline=False)
     rain = rain.toDF("date", "level", "code", "rfh").where(F.col("level") == fixed.STATE_LEVEL)
     rain = levels(with_year_month(rain, "date").withColumn("country", F.lit(True)), "rfh", "code", "country")
     old = _mexico_incidents(
@@ -120,7 +121,7 @@ def mexico_cells(
 def city_cells(spark: SparkSession, rainfall: str, incidents: str, temperature: str) -> dict[str, Cells]:
     """Cells of the city (``national``): incident text is filtered, dated, counted and put on the full grid."""
     complete = F.col("year") != fixed.PARTIAL_YEAR
-    rain = read_named(spark, [rainfall], {"date": TEXT, "value": DOUBLE})
+    rain = read_named(spark, [rainfall], {"date": TEXT, "value": DOUBLE}, multiline=False)
     rain = with_year_month(rain, parse_dmy("date")).where(complete).select(*MONTH_KEYS, F.col("value").alias("rfh"))
     events = read_named(spark, [incidents], {"Incident.Type": TEXT, "Report.Date": TEXT}).toDF("kind", "reported")
     events = keep_any(events, "kind", fixed.SERIOUS_VIOLENCE_TERMS)
@@ -189,5 +190,5 @@ def colombia_parent_map(profile: DataFrame, polygons: DataFrame) -> DataFrame:
 def mexico_map(states: DataFrame, slopes: DataFrame) -> DataFrame:
     """One row per state polygon ``(ADM1_ES, ADM1_REF)`` with its coefficient; the plain name wins where given."""
     known = lookup(states.sparkSession, fixed.STATE_BY_POLYGON_NAME, ["polygon", "ENTIDAD"])
-    named = states.select(F.coalesce("ADM1_REF", "ADM1_ES").alias("ADM1_ES"))
+    named = states.select(prefer("ADM1_REF", "ADM1_ES").alias("ADM1_ES"))
     return geo.map_table(lookup_join(named, known, "ADM1_ES", "polygon"), interaction_table(slopes, "ENTIDAD"), "ENTIDAD", ["ADM1_ES"])

@@ -50,7 +50,7 @@ def unit_panel(
     warm = deviation(temperature, "temperature", ["month", unit], out="temperature_deviation")
     panel = merge(
         anomaly_panel(rainfall, incidents, unit, skeleton_from),
-        warm.select(*keys, "temperature", "temperature_deviation"), keys, "left",
+        warm.select(*keys, "temperature", "mean_temperature", "temperature_deviation"), keys, "left",
     )
     # Three passes follow (ranks, scale, rows); the joins above run once.
     return zscore(period_index(materialise(panel)), DEVIATIONS, by=[])

@@ -114,9 +114,12 @@ def read_named(
 
 
 def read_wide_series(
-    spark: SparkSession, path: str, ids: Sequence[str], value: str = "value", encoding: str = "UTF-8",
+    spark: SparkSession, path: str, ids: Sequence[str], value: str = "value", encoding: str = "UTF-8", multiline: bool = False,
 ) -> DataFrame:
-    """A table with one ``YYYY-MM`` column per month as rows ``(ids, year, month, value)``."""
+    """A table with one ``YYYY-MM`` column per month as rows ``(ids, year, month, value)``.
+
+    Such tables are numbers, so files are split; pass ``multiline=True`` where an id holds a line break.
+    """
     header = read_header(spark, path, encoding)
     schema = T.StructType([T.StructField(c, T.StringType() if c in ids else T.DoubleType()) for c in header])
-    return unpivot_matching(make_names(read_csv(spark, path, schema, encoding)), ids, value=value)
+    return unpivot_matching(make_names(read_csv(spark, path, schema, encoding, multiline)), ids, value=value)

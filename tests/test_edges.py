@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanaq.operators.absorb import absorb_ols
-from almanaq.operators.anomaly import deviation, few_groups, period_index, zscore
+from almanaq.operators.anomaly import deviation, period_index, zscore
 from almanaq.operators.density import weighted_kde
 from almanaq.operators.slopes import unit_slopes
 from almanaq.operators.trend import trend_lm
@@ -43,7 +43,12 @@ def test_perfect_fit(one_unit):
     assert row["estimate"] == pytest.approx(2.0) and row["std_error"] == pytest.approx(0.0, abs=1e-7)
 
 
-def test_only_calendar_numbers_and_period_labels_count_as_few(spark, one_unit):
-    assert few_groups(one_unit, ["year", "month"]) and few_groups(one_unit, [])
-    assert not few_groups(one_unit, ["unit"]) and not few_groups(one_unit, ["month", "unit"])
-    assert not few_groups(one_unit.withColumn("year", F.col("unit")), ["year"])
+def test_plans_do_not_depend_on_the_names_of_keys(spark, one_unit):
+    import re
+
+    plans = set()
+    for key in ("month", "mesmo"):
+        done = deviation(one_unit.withColumnRenamed("month", key), one_unit.columns[-1], [key])
+        plan = done._jdf.queryExecution().sparkPlan().treeString().replace(key, "month")
+        plans.add(re.sub(r"#\d+L?|plan_id=\d+|Batched: \w+|Location: .*", "", plan))
+    assert len(plans) == 1 and "Window" not in plans.pop()

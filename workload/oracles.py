@@ -21,8 +21,7 @@ ship AS (
   FROM ship_rows GROUP BY year, month),
 ship_nation AS (
   SELECT s_nationkey AS nation, year, month, sum(l_quantity) AS rfh,
-         CAST(sum(cents) FILTER (WHERE l_returnflag = 'R' AND l_linenumber <= 2) AS DOUBLE)
-           / nullif(count(cents) FILTER (WHERE l_returnflag = 'R' AND l_linenumber <= 2), 0) / 99991 AS temperature
+         CAST(sum(cents) AS DOUBLE) / count(cents) / 99991 AS temperature
   FROM ship_rows LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"""
 
 ORD = """
@@ -99,7 +98,7 @@ inc_dev AS (
 
 UNIT = f"""{SHIP}, {ORD}, {unit_anomalies('nation', 'ship_nation', 'ord_nation')},
 temp_dev AS (
-  SELECT nation, year, month, temperature,
+  SELECT nation, year, month, temperature, avg(temperature) OVER (PARTITION BY nation, month) AS mean_temperature,
          temperature - avg(temperature) OVER (PARTITION BY nation, month) AS temperature_deviation
   FROM ship_nation),
 merged AS (
@@ -243,8 +242,7 @@ _codes = ", ".join(f"('{a}', '{b}')" for a, b in PRIORITIES)
 ORACLES["inline_lookup"] = f"""WITH {ORD}, codes(priority, code) AS (VALUES {_codes})
 SELECT code, year, month, count(*) AS total FROM order_rows LEFT JOIN codes ON o_orderpriority = priority GROUP BY ALL"""
 ORACLES["table_lookup"] = f"""WITH {ORD}
-SELECT o.nation, year, month, incidents, n_name, n_regionkey FROM ord_nation o
-LEFT JOIN (SELECT * FROM nation WHERE n_name <> 'NATION_7') n ON o.nation = n_nationkey"""
+SELECT o_orderkey, year, count(*) AS orders, c_name FROM order_rows LEFT JOIN customer ON o_orderkey = c_custkey GROUP BY o_orderkey, year, c_name"""
 ORACLES["folded_lookup"] = """WITH c AS (SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY ALL)
 SELECT 'Nationé' || c_nationkey AS key, customers, n_regionkey FROM c LEFT JOIN nation ON n_name = 'NATION_' || c_nationkey"""
 ORACLES["lookup_fan_out"] = f"""WITH {SHIP}
@@ -511,13 +509,18 @@ FROM c GROUP BY parent"""
 ORACLES["dissolved_centroids"] = f"""WITH {PARCELS}, s AS (SELECT parent, {PLANAR} FROM edges GROUP BY parent),
 t AS (SELECT parent, mx / (3 * a) - 75 AS lon, my / (3 * a) + 4 AS lat, abs(a) / 2 AS area FROM s)
 SELECT parent, {r('lon', 'lat', 'area')} FROM t"""
-ORACLES["profile_on_map"] = f"""WITH {SHIP}, p AS (
-  SELECT nation, month, avg(rfh) AS mean_rfh, avg(temperature) AS mean_temperature
-  FROM ship_nation WHERE year >= 1999 AND year < 2001 AND nation <> 3 GROUP BY ALL),
-t AS (
-  SELECT coalesce(p.nation, n_nationkey) AS nation, month, mean_rfh, mean_temperature, n_name
-  FROM p FULL JOIN (SELECT * FROM nation WHERE n_name <> 'NATION_7') q ON p.nation = n_nationkey)
-SELECT nation, month, n_name, {r('mean_rfh', 'mean_temperature')} FROM t"""
+_supplier_map = f"""WITH {SHIP}, cells AS (SELECT l_suppkey, year, month, sum(l_quantity) AS rfh FROM ship_rows GROUP BY ALL),
+p AS (SELECT l_suppkey AS unit, month, avg(rfh) AS mean_rfh FROM cells WHERE year >= 1999 AND year < 2001 GROUP BY ALL),
+t AS (SELECT coalesce(p.unit, p_partkey) AS unit, month, mean_rfh, p_name FROM p FULL JOIN part ON p.unit = p_partkey)
+SELECT unit, month, p_name, {r('mean_rfh')} FROM t"""
+ORACLES["profile_on_map"] = _supplier_map
+ORACLES["profile_with_months"] = f"{_supplier_map} WHERE month IS NOT NULL"
+ORACLES["preferred_names"] = """SELECT c_custkey, coalesce(latest, c_name) AS shown FROM customer LEFT JOIN (
+  SELECT o_custkey, arg_max(o_orderpriority, {'a': o_orderdate, 'b': o_orderkey}) AS latest FROM orders GROUP BY ALL) ON c_custkey = o_custkey"""
+ORACLES["sorted_figure_rows"] = f"""WITH {ORD}, z AS (SELECT year, month, {z('incidents', 'year')} AS s FROM ord),
+d AS (SELECT year, month, s - avg(s) OVER (PARTITION BY month) AS incident_deviation FROM z),
+t AS (SELECT *, lag(incident_deviation) OVER (ORDER BY year, month) AS before FROM d)
+SELECT year, month, {r('incident_deviation', 'before')} FROM t"""
 
 DEVIATION_COLUMNS = ["rainfall_deviation", "incident_deviation", "temperature_deviation", *SCALED]
 ORACLES["national_panel"] = f"WITH {national('month')} SELECT year, month, {r(*DEVIATION_COLUMNS)} FROM panel"
@@ -531,7 +534,7 @@ ORACLES["city_panel"] = f"""WITH {national('', 'counted', _city)}
 SELECT year, month, {r(*DEVIATION_COLUMNS)} FROM panel"""
 ORACLES["unit_panel"] = f"""WITH {UNIT}
 SELECT nation, year, month, date, time, rfh,
-       {r('mean_rfh', 'standardized_incidents', 'mean_standardized_incidents', 'temperature', *DEVIATION_COLUMNS)} FROM panel"""
+       {r('mean_rfh', 'standardized_incidents', 'mean_standardized_incidents', 'temperature', 'mean_temperature', *DEVIATION_COLUMNS)} FROM panel"""
 ORACLES["region_panel"] = f"""WITH {SHIP}, {ORD},
 region_ship AS (
   SELECT n_regionkey AS region, year, month, sum(rfh) AS rfh FROM ship_nation s JOIN nation ON s.nation = n_nationkey GROUP BY ALL),

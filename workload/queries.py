@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from almanaq.fixed import SPANISH_MONTHS
 from almanaq.functions.calendar import month_name, parse_dmy, parse_mdy, strip_clock, with_year_month
+from almanaq.functions.scalar import prefer
 from almanaq.functions.text import admin_codes, decode_codepage, drop_any, fold_key, keep_any
 from almanaq.operators import geo
 from almanaq.operators.absorb import absorb_ols
@@ -105,12 +106,10 @@ def national_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(nation, year, month, rfh, temperature); the temperature rests on few shipments, so some cells have none."""
-    some = F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") <= 2), F.col("price_cents"))
-    facts = shipments(spark, sf_dir).withColumn("some_cents", some)
+    """(nation, year, month, rfh, temperature) of all shipments."""
     cells = monthly_through_lookup(
-        facts, table(spark, sf_dir, "supplier"), "l_suppkey", "s_suppkey", "s_nationkey",
-        {"rfh": ("strict", "l_quantity"), "temperature": ("mean", "some_cents")})
+        shipments(spark, sf_dir), table(spark, sf_dir, "supplier"), "l_suppkey", "s_suppkey", "s_nationkey",
+        {"rfh": ("strict", "l_quantity"), "temperature": ("mean", "price_cents")})
     return in_thousands(cells).withColumnRenamed("s_nationkey", "nation")
 
 
@@ -266,8 +265,10 @@ def inline_lookup(spark, sf_dir):
 
 @query
 def table_lookup(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").where(F.col("n_name") != "NATION_7")
-    return lookup_join(nation_orders(spark, sf_dir), nations, "nation", "n_nationkey")
+    """Customers without an order and orders of all customers: the lookup holds more than the facts, and the reverse."""
+    counted = monthly(orders(spark, sf_dir), None, ["o_orderkey", "year"], na="count", out="orders")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return lookup_join(counted, customers, "o_orderkey", "c_custkey")
 
 
 @query
@@ -566,12 +567,41 @@ def slope_map(spark, sf_dir):
     return geo.map_table(nations, coefs, "nation", ["n_name"])
 
 
+def _supplier_profile(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    cells = monthly(shipments(spark, sf_dir), "l_quantity", ["l_suppkey", "year", "month"], na="strict", out="rfh").withColumnRenamed("l_suppkey", "unit")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit"), "p_name")
+    return recent_profile(cells, "unit", (1999, 2001), {"mean_rfh": "rfh"}), parts
+
+
 @query
 def profile_on_map(spark, sf_dir):
-    polygons = table(spark, sf_dir, "nation").where(F.col("n_name") != "NATION_7").select(F.col("n_nationkey").alias("nation"), "n_name")
-    means = {"mean_rfh": "rfh", "mean_temperature": "temperature"}
-    recent = recent_profile(nation_shipments(spark, sf_dir), "nation", (1999, 2001), means)
-    return geo.profile_map(recent.where(F.col("nation") != 3), polygons, "nation", keep_missing=True)
+    """Suppliers' profile beside the parts' names under the same numbers: some parts have no profile."""
+    return geo.profile_map(*_supplier_profile(spark, sf_dir), "unit", keep_missing=True)
+
+
+@query
+def profile_with_months(spark, sf_dir):
+    return geo.profile_map(*_supplier_profile(spark, sf_dir), "unit")
+
+
+@query
+def preferred_names(spark, sf_dir):
+    """A customer's latest clerk wins where there is one; customers without orders keep their own name."""
+    latest = orders(spark, sf_dir).groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
+    named = merge(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), latest, ["c_custkey"], "left")
+    return named.select("c_custkey", prefer("latest", "c_name").alias("shown"))
+
+
+@query
+def sorted_figure_rows(spark, sf_dir):
+    """Months in order, each with the cell before it in the sorted table."""
+    saved = national.incident_anomaly(national_orders(spark, sf_dir)).orderBy("year", "month")
+    path = scratch(spark)
+    write_table(saved.coalesce(1), path)
+    placed = read_table(spark, path).withColumn("_at", F.monotonically_increasing_id())
+    before = placed.select((F.col("_at") + 1).alias("_at"), F.col("incident_deviation").alias("before"))
+    return placed.join(before, "_at", "left").select("year", "month", "incident_deviation", "before")
 
 
 # --- composed analyses ----------------------------------------------------------------------------------------------
