@@ -3,14 +3,19 @@
 A window of words is removed when the same words also stand in a document with a smaller id. Only windows that can
 repeat are looked at: every window is named by its minimizer (the smallest hash among its shorter word grams), which
 depends on its words alone, and a minimizer that occurs in one document only can't repeat. Runs of windows with one
-minimizer are cut out as passages and routed by it to shards. A shard's task streams its passages, smallest id first,
-through the suffix automaton of the passages before: the matching statistics tell which windows stand in it and who
-was first; a passage with a new window is added. Shards are routed to, not broadcast, because the reference is the
-corpus itself and has no size bound.
+minimizer are cut out as passages of at most ``PIECE`` windows and routed by it to a shard's task, which streams them,
+smallest id first, through the suffix automaton of the passages before: the matching statistics tell which windows stand
+in it and who was first; a passage with a new window is added. Shards are routed to, not broadcast, because the
+reference is the corpus itself and has no size bound.
+
+Minimizers that several documents have are told to the tasks as a bit map of a fixed size. A false hit, or a full map at
+a large scale, costs the routing of passages that needn't be; it changes nothing else. Minimizers of many passages don't
+go to one task: their windows are grouped one by one, by the SHA-256 of their words, with sums before the shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +29,10 @@ from .wordgrid import U, Words, chunks
 
 WINDOW = 13
 GRAM = 4
-#: Passages whose minimizer more documents than this share are cut into single windows and routed by the window.
+#: Minimizers of more runs than this are routed window by window.
 COMMON = 4096
-PASSAGES_PER_SHARD = 6000
+PIECE = 64  # windows of a passage; a longer run (one word over and over) is several passages
+MAP_BITS = 1 << 26  # of each bit map of minimizers: 8 MB at any size of the corpus
 
 
 class SuffixAutomaton:
@@ -133,21 +139,88 @@ def _with_one_text(rows: DataFrame) -> DataFrame:
     repeated = materialise(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
     if repeated.isEmpty():
         return rows
-    code = F.xxhash64(F.coalesce("text", F.lit("")))
+    code = F.sha2(F.coalesce("text", F.lit("")), 256)
     several = rows.join(repeated, "id", "left_semi").groupBy("id").agg(F.min(code).alias("a"), F.max(code).alias("b")).where("a <> b")
     return rows.join(materialise(several.select("id")), "id", "left_anti")
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one seed (the first column, sorted) at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        seeds = np.array(b.column(0))
+        cuts = np.flatnonzero(seeds[1:] != seeds[:-1]) + 1
+        if held and len(seeds) and held[-1].column(0)[0].as_py() != int(seeds[0]):
+            yield pa.concat_batches(held)
+            held = []
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(seeds)]):
+            if lo and held:
+                yield pa.concat_batches(held)
+                held = []
+            if hi > lo:
+                held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def repeated_starts(ids: list[int], at: list[int], words: list[str], window: int) -> Iterator[tuple[int, list[int]]]:
+    """Of the passages ``words`` of one seed, each at word ``at`` of document ``ids``: starts of windows owned by a smaller id."""
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    if ids[order[0]] == ids[order[-1]]:
+        return
+    first: dict[str, int] = {}
+    for i in order:
+        first.setdefault(words[i], ids[i])
+    owners = dict(zip(first, first_owners([(owner, w.split(" ")) for w, owner in first.items()], window)))
+    for i in order:
+        starts = [at[i] + j for j, owner in enumerate(owners[words[i]]) if owner < ids[i]]
+        if starts:
+            yield ids[i], starts
+
+
+def _seeds_of_several(runs: DataFrame, common: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bit maps of the seeds that several ids have, and of those with more than ``common`` runs."""
+    # two documents at least share a seed when its smallest and largest id differ
+    many = runs.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    place = F.col("seed").bitwiseAND(MAP_BITS - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    found = many.select((F.shiftright(place, 6)).alias("slot"), bit.alias("bit"), (F.col("n") > common).alias("common")).groupBy("slot").agg(
+        F.bit_or("bit").alias("many"), F.bit_or(F.when(F.col("common"), F.col("bit"))).alias("common")).toArrow()
+    maps = []
+    for name in ("many", "common"):
+        bits = np.zeros(MAP_BITS // 64, U)
+        bits[np.array(found.column("slot"))] = np.array(found.column(name).fill_null(0)).view(U)
+        maps.append(bits)
+    return maps[0], maps[1]
+
+
+def _in_map(bits: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    place = (seeds & U(MAP_BITS - 1)).astype(np.int64)
+    return (bits[place >> 6] >> (place & 63).astype(U)) & U(1) == U(1)
+
+
+def _pieces(w: Words, at: np.ndarray, n: np.ndarray, size: int, window: int, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Seed, first word and words of the runs' passages of at most ``size`` windows. A passage's words are joined by a space."""
+    parts = -(-n // size)
+    run = np.repeat(np.arange(len(at)), parts)
+    nth = np.arange(len(run)) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = at[run] + nth * size
+    last = start + np.minimum(n[run] - nth * size, size) + window - 2
+    body, lo, hi = w.data.tobytes(), w.start[start].tolist(), w.end[last].tolist()
+    return seeds[run], start, [b" ".join(body[a:b].split()) for a, b in zip(lo, hi)]
+
+
 def substring_dedup(
-        docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, common: int = COMMON,
-        passages_per_shard: int = PASSAGES_PER_SHARD) -> DataFrame:
+        docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, common: int = COMMON, piece: int = PIECE) -> DataFrame:
     """``doc_id, n_words, n_removed, clean_text`` per row of ``docs``; the kept words joined by one space.
 
     Words are ``[^\\x20\\x09-\\x0D]+``; null text has none. Rows whose id is null, or names several
     texts, have no place in the order: they lose nothing and nothing is lost because of them. Rows equal in id and text
-    come out alike. Other columns are not read; an empty table gives an empty result.
+    come out alike. Other columns are not read; an empty table gives an empty result. A very long text is read in
+    memory in proportion to its length and routed in passages of at most ``piece`` windows.
     """
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = _with_one_text(source.where("id is not null"))
 
@@ -155,17 +228,58 @@ def substring_dedup(
         for b in batches:
             for lo, hi, texts in chunks(b.column(1)):
                 w = Words(texts)
-                least, at, n = minimizer_runs(w, window, GRAM)
+                least, at, _ = minimizer_runs(w, window, GRAM)
                 ids = b.column(0).slice(lo, hi - lo).take(pa.array(w.doc[at]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(least.view(np.int64)), ids, pa.array((at - w.first[w.doc[at]]).astype(np.int32)), pa.array(n.astype(np.int32))], ["seed", "id", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(least.view(np.int64)), ids], ["seed", "id"])
 
-    runs = ordered.mapInArrow(seeds, "seed long, id long, at int, n int")
-    # two documents at least share a seed when its smallest and largest id differ
-    many = materialise(
-        runs.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n_docs")).where("lo < hi")
-        .select("seed", (F.col("n_docs") > common).alias("common")))
-    spans = runs.join(many, "seed").groupBy("id").agg(F.collect_list(F.struct("seed", "at", "n", "common")).alias("runs"))
+    maps = _seeds_of_several(ordered.mapInArrow(seeds, "seed long, id long"), common)
+    several, hot = (spark.sparkContext.broadcast(m) for m in maps)
+
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, texts in chunks(b.column(1)):
+                w = Words(texts)
+                least, at, n = minimizer_runs(w, window, GRAM)
+                keep = _in_map(several.value, least) & ~_in_map(hot.value, least)
+                seed, start, words = _pieces(w, at[keep], n[keep], piece, window, least[keep])
+                doc = w.doc[start] if len(start) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seed.view(np.int64)), b.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array((start - w.first[doc]).astype(np.int32)),
+                     pa.array([x.decode("utf-8", "surrogatepass") for x in words], pa.string())], ["seed", "id", "at", "words"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        starts: list[list[int]] = []
+        for group in _groups(batches):
+            if len(group) > 1:
+                for id_, found in repeated_starts(*(group.column(i).to_pylist() for i in (1, 2, 3)), window):
+                    ids.append(id_)
+                    starts.append(found)
+            if len(ids) >= 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.list_(pa.int32()))], ["id", "starts"])
+                ids, starts = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.list_(pa.int32()))], ["id", "starts"])
+
+    routed = ordered.mapInArrow(passages, "seed long, id long, at int, words string").repartition("seed").sortWithinPartitions("seed")
+    hits = routed.mapInArrow(stream, "id long, starts array<int>")
+    if maps[1].any():
+
+        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo, hi, texts in chunks(b.column(1)):
+                    w = Words(texts)
+                    least, at, n = minimizer_runs(w, window, GRAM)
+                    keep = _in_map(hot.value, least)
+                    _, start, words = _pieces(w, at[keep], n[keep], 1, window, least[keep])
+                    doc = w.doc[start] if len(start) else np.zeros(0, np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([hashlib.sha256(x).digest() for x in words], pa.binary()), b.column(0).slice(lo, hi - lo).take(pa.array(doc)),
+                         pa.array((start - w.first[doc]).astype(np.int32))], ["key", "id", "at"])
+
+        single = ordered.mapInArrow(windows, "key binary, id long, at int")
+        first = single.groupBy("key").agg(F.min("id").alias("owner"), F.max("id").alias("hi")).where("owner < hi").drop("hi")
+        hits = hits.union(single.join(first, "key").where("owner < id").select("id", F.array("at").alias("starts")))
+    hits = hits.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -173,41 +287,6 @@ def substring_dedup(
             packed = [None if t is None else squeeze.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
 
-    packed = ordered.mapInArrow(pack, "id long, packed binary")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loosen = zstandard.ZstdDecompressor()
-        for b in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
-            for id_, blob, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                words = loosen.decompress(blob).split()
-                for r in found:
-                    pieces = [(r["at"], r["n"])] if not r["common"] else [(r["at"] + j, 1) for j in range(r["n"])]
-                    for at, n in pieces:
-                        rows[0].append(None if r["common"] else r["seed"])
-                        rows[1].append(id_)
-                        rows[2].append(at)
-                        rows[3].append(_joined(words[at:at + n + window - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.string())], ["seed", "id", "at", "words"])
-
-    passages = materialise(
-        packed.join(spans, "id").select("id", "packed", "runs").mapInArrow(cut, "seed long, id long, at int, words string")
-        .withColumn("seed", F.coalesce("seed", F.xxhash64("words"))).withColumn("key", F.xxhash64("words")))
-    distinct = materialise(passages.groupBy("seed", "key", "words").agg(F.min("id").alias("id"), F.max("id").alias("hi")))
-    n_shards = max(distinct.count() // passages_per_shard, 1)
-
-    def stream(table: pa.Table) -> pa.Table:
-        words = [w.split(" ") for w in table.column("words").to_pylist()]
-        owners = first_owners(list(zip(table.column("id").to_pylist(), words)), window)
-        return pa.table({"seed": table.column("seed"), "key": table.column("key"), "owners": pa.array(owners, pa.list_(pa.int64()))})
-
-    shards = distinct.select(F.pmod(F.xxhash64("seed"), F.lit(n_shards)).alias("shard"), "seed", "key", "words", "id")
-    owners = materialise(shards.groupBy("shard").applyInArrow(stream, "seed long, key long, owners array<long>"))
-    removed = F.filter(F.transform("owners", lambda o, j: F.when(o < F.col("id"), F.col("at") + j)), lambda x: x.isNotNull())
-    hits = (
-        passages.select("seed", "key", "id", "at").join(owners, ["seed", "key"]).select("id", removed.alias("starts"))
-        .where(F.size("starts") > 0).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts")))
-
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loosen = zstandard.ZstdDecompressor()
         for b in batches:

@@ -33,8 +33,24 @@ def test_op1(corpus):
     assert table(found, "n_words", "n_removed", "sha") == brute.op1(rows)
 
 
-def test_op1_common_seeds_and_many_shards(edge_docs, edge_rows):
-    found = substring_dedup.substring_dedup(edge_docs, common=2, passages_per_shard=20).withColumn("sha", F.sha2("clean_text", 256))
+def test_op1_common_seeds_and_short_passages(edge_docs, edge_rows):
+    found = substring_dedup.substring_dedup(edge_docs, common=2, piece=3).withColumn("sha", F.sha2("clean_text", 256))
+    assert table(found, "n_words", "n_removed", "sha") == brute.op1(edge_rows)
+
+
+def test_op1_one_word_texts_of_100000_words(spark):
+    rows = [(i, " ".join(["w"] * (100_000 + i % 2) + [f"end{i // 3}"])) for i in range(6)] + [(9, "w " * 12), (10, "w " * 13), (11, "v " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for common in (4096, 1):
+        found = substring_dedup.substring_dedup(docs, common=common).withColumn("sha", F.sha2("clean_text", 256))
+        assert table(found, "n_words", "n_removed", "sha") == brute.op1(rows)
+
+
+def test_op1_full_bit_maps(edge_docs, edge_rows, monkeypatch):
+    """As at a scale where every bit is set."""
+    real = substring_dedup._seeds_of_several
+    monkeypatch.setattr(substring_dedup, "_seeds_of_several", lambda runs, common: (real(runs, common)[0] | ~substring_dedup.U(0), real(runs, common)[1]))
+    found = substring_dedup.substring_dedup(edge_docs).withColumn("sha", F.sha2("clean_text", 256))
     assert table(found, "n_words", "n_removed", "sha") == brute.op1(edge_rows)
 
 
