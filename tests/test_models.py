@@ -339,3 +339,27 @@ def test_query_with_two_large_factors(spark):
     got = QUERIES["absorb_supplier_customer"](spark, sf).toPandas().set_index("term")
     np.testing.assert_allclose(got.loc[["l_quantity", "l_discount"], "estimate"], beta[:2], rtol=1e-6)
     assert set(got.df_resid) == {len(pdf) - rank}
+
+
+def test_qr_keeps_digits_that_normal_equations_lose(spark):
+    from almanaq.operators.qr import lm_qr
+
+    rng = np.random.default_rng(6)
+    n = 3000
+    pdf = pd.DataFrame({"year": rng.integers(2000, 2006, n), "month": rng.integers(1, 13, n), "x": rng.normal(size=n) + 5})
+    pdf["z"] = pdf.x + 1e-5 * rng.normal(size=n)
+    pdf["y"] = 2 * pdf.x - 3 * pdf.z + pdf.year % 2 + rng.normal(size=n)
+    design = np.hstack([pdf[["x", "z"]].to_numpy(), pd.get_dummies(pdf.year).to_numpy(float), pd.get_dummies(pdf.month, drop_first=True).to_numpy(float)])
+    q, r = np.linalg.qr(design)
+    beta = np.linalg.solve(r, q.T @ pdf.y.to_numpy())
+    rss = ((pdf.y - design @ beta) ** 2).sum()
+    se = np.sqrt(rss / (n - design.shape[1]) * (np.linalg.inv(r) ** 2).sum(1))
+    df = spark.createDataFrame(pdf)
+    got = lm_qr(df.repartition(40), "y", ["x", "z"], ["year", "month"]).toPandas()  # a tree of two levels
+    np.testing.assert_allclose(got.estimate, beta[:2], rtol=1e-8)
+    np.testing.assert_allclose(got.std_error, se[:2], rtol=1e-8)
+    assert got.df_resid[0] == n - design.shape[1]
+    one = lm_qr(df.withColumn("w", F.col("x") * 2 + 1).limit(50), "y", ["x", "w"]).toPandas()
+    assert one.estimate.isna().tolist() == [False, True]
+    with pytest.raises(ValueError, match="no complete rows"):
+        lm_qr(df.where("x is null"), "y", ["x"], ["year"])

@@ -278,6 +278,19 @@ ORACLES["absorb_unit_year_rounds"] = ORACLES["absorb_unit_year"]
 ORACLES["absorb_unit_year_month_rounds"] = coefficient_query(UNIT, ("nation", "month", "year"))
 ORACLES["absorb_unit_year_month"] = coefficient_query(UNIT, ("nation", "year", "month"))
 
+ORACLES["lm_year_month"] = ORACLES["absorb_year_month"]
+# With near = x1 + x2 / 10000 the fit on x1 and x2 is the same; its coefficients are taken back to x1 and near.
+ORACLES["lm_nearly_collinear"] = f"""WITH RECURSIVE {UNIT}, {MODEL}, {solved(dummies('year', 'month'))},
+v AS (
+  SELECT a.b AS b1, z.b AS b2, a.inv AS v1, z.inv AS v2, a.line[a.n + 1 + z.k] AS v12, rss / df AS s2, df, n_obs
+  FROM beta a, beta z, fit WHERE a.c = 'x1' AND z.c = 'x2'),
+e AS (
+  SELECT 'scaled_rainfall_deviation' AS term, b1 - 10000 * b2 AS estimate, sqrt(s2 * (v1 + 1e8 * v2 - 20000 * v12)) AS std_error, df, n_obs FROM v
+  UNION ALL SELECT 'near', 10000 * b2, sqrt(s2 * 1e8 * v2), df, n_obs FROM v),
+t AS (SELECT term, df AS df_resid, n_obs, estimate / 100 AS estimate, std_error / 100 AS std_error, estimate / std_error AS t_value FROM e),
+tp AS (SELECT *, {p_value('t_value', 'df_resid')} AS p_value FROM t)
+SELECT term, df_resid, n_obs, {r('estimate', 'std_error', 't_value', 'p_value')} FROM tp"""
+
 SLOPES = f"""{UNIT}, {MODEL}, {solved('''
 SELECT i, 'x1:' || nation AS c, x1 AS v FROM m UNION ALL SELECT i, 'x2', x2 FROM m
 UNION ALL SELECT i, 'nation:' || nation, 1.0::DOUBLE FROM m

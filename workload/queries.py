@@ -27,6 +27,7 @@ from almanaq.operators.gls import gls_ar, gls_ar_profile
 from almanaq.operators.panel import (
     lookup_join, merge, period_profile, recent_profile, skeleton_fill, splice, unmatched_keys,
 )
+from almanaq.operators.qr import lm_qr
 from almanaq.operators.reshape import complete_grid, unpivot_between, unpivot_matching
 from almanaq.operators.slopes import interaction_table, unit_slopes
 from almanaq.operators.trend import trend_lines, trend_lm
@@ -419,6 +420,23 @@ def absorb_supplier_customer(spark, sf_dir):
     return readable(absorb_ols(lines, "l_extendedprice", ["l_quantity", "l_discount"], ["l_suppkey", "o_custkey"], dense_levels=8))
 
 
+@query
+def lm_year_month(spark, sf_dir):
+    """Year and month absorbed, by orthogonal factorisation of the dummy design."""
+    rows = materialise(complete_years(scaled_national_panel(spark, sf_dir, scale_by=())))
+    return readable(lm_qr(rows, national.OUTCOME, national.COVARIATES, ["year", "month"]))
+
+
+@query
+def lm_nearly_collinear(spark, sf_dir):
+    """The second covariate is the first one and a ten-thousandth of another: normal equations lose half the digits."""
+    rows = complete_years(scaled_unit_panel(spark, sf_dir))
+    x, z = national.COVARIATES
+    rows = materialise(rows.withColumn("near", F.col(x) + F.col(z) / 10000))
+    fitted = readable(lm_qr(rows, national.OUTCOME, [x, "near"], ["year", "month"]))
+    return fitted.select("term", "df_resid", "n_obs", *[(F.col(c) / 100).alias(c) for c in ("estimate", "std_error")], "t_value", "p_value")
+
+
 def nation_slopes(spark, sf_dir) -> DataFrame:
     rows = materialise(complete_years(scaled_unit_panel(spark, sf_dir)))
     return unit_slopes(rows, national.OUTCOME, national.COVARIATES[0], national.COVARIATES[1:], "nation", "year")
