@@ -270,6 +270,18 @@ SELECT o_orderkey, date_dmy, date_mdy, CAST(year(date_dmy) AS INT) AS year, CAST
 ORACLES["administrative_codes"] = """SELECT s_suppkey, 'CO' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || lpad(CAST(s_suppkey AS VARCHAR), 7, '0') AS code,
   s_nationkey AS parent_code, CAST(s_nationkey * 10000000 + s_suppkey AS INT) AS unit_code FROM supplier"""
 
+ORACLES["range_profile"] = """WITH spans AS (
+  SELECT o_orderkey, CAST(o_orderdate AS DATE) AS lo, CAST(o_orderdate AS DATE) + CAST(o_custkey % 10 AS INT) AS hi FROM orders)
+SELECT o_orderkey, count(*) AS shipments, sum(l_quantity) AS rfh FROM spans JOIN lineitem ON CAST(l_shipdate AS DATE) BETWEEN lo AND hi GROUP BY o_orderkey"""
+ORACLES["range_profile_by_supplier"] = f"""WITH {SHIP}, cells AS (SELECT l_suppkey, year * 12 + month AS mo, sum(l_quantity) AS rfh FROM ship_rows GROUP BY ALL),
+spans AS (SELECT l_suppkey, mo AS lo, mo + l_suppkey % 14 - 1 AS hi FROM cells),
+t AS (SELECT s.l_suppkey, lo, avg(rfh) AS mean_rfh, count(*) AS months FROM spans s JOIN cells c ON s.l_suppkey = c.l_suppkey AND mo BETWEEN lo AND hi GROUP BY ALL)
+SELECT l_suppkey, lo, months, {r('mean_rfh')} FROM t"""
+ORACLES["skewed_lookup"] = """WITH lines AS (
+  SELECT l_orderkey, CASE WHEN l_returnflag <> 'N' THEN l_returnflag || (CASE WHEN l_returnflag = 'A' THEN l_suppkey ELSE 0 END) END AS key FROM lineitem),
+dim AS (SELECT 'A' || s_suppkey AS name, s_nationkey FROM supplier UNION ALL SELECT CASE WHEN n_regionkey = 0 THEN 'R0' END, n_nationkey FROM nation)
+SELECT key, s_nationkey, count(*) AS rows, CAST(sum(l_orderkey) AS BIGINT) AS sum_orderkey FROM lines LEFT JOIN dim ON key IS NOT DISTINCT FROM name GROUP BY ALL"""
+
 ORACLES["fe_within_national"] = coefficient_query(national("month"), ("year",), "r_squared")
 ORACLES["fe_within_units"] = coefficient_query(UNIT, ("year",), "r_squared")
 ORACLES["absorb_year_month"] = coefficient_query(national(""), ("year", "month"))

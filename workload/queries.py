@@ -28,6 +28,7 @@ from almanaq.operators.panel import (
     lookup_join, merge, period_profile, recent_profile, skeleton_fill, splice, unmatched_keys,
 )
 from almanaq.operators.qr import lm_qr
+from almanaq.operators.ranges import range_join, skewed_lookup_join
 from almanaq.operators.reshape import complete_grid, unpivot_between, unpivot_matching
 from almanaq.operators.slopes import interaction_table, unit_slopes
 from almanaq.operators.trend import trend_lines, trend_lm
@@ -338,6 +339,36 @@ def administrative_codes(spark, sf_dir):
     return admin_codes(suppliers, "code", "parent_code", "unit_code")
 
 
+@query
+def range_profile(spark, sf_dir):
+    """As many overlapping ranges as orders, each of 0 to 9 days from the order on: the shipments of its days."""
+    day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
+    spans = table(spark, sf_dir, "orders").select("o_orderkey", day("o_orderdate").alias("lo"), (day("o_orderdate") + F.col("o_custkey") % 10).alias("hi"))
+    lines = table(spark, sf_dir, "lineitem").select(day("l_shipdate").alias("day"), "l_quantity")
+    return range_join(lines, spans, "day", "lo", "hi").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("shipments"), F.sum("l_quantity").alias("rfh"))
+
+
+@query
+def range_profile_by_supplier(spark, sf_dir):
+    """Overlapping ranges of each supplier's own: months of its shipments, spread by as many months as its number says."""
+    month = (F.col("year") * 12 + F.col("month")).cast("long")
+    cells = monthly(shipments(spark, sf_dir), "l_quantity", ["l_suppkey", "year", "month"], na="strict", out="rfh").select("l_suppkey", month.alias("at"), "rfh")
+    spans = cells.select("l_suppkey", F.col("at").alias("lo"), (F.col("at") + F.col("l_suppkey") % 14 - 1).alias("hi"))
+    joined = range_join(cells, spans, "at", "lo", "hi", on=["l_suppkey"])
+    return joined.groupBy("l_suppkey", "lo").agg(F.avg("rfh").alias("mean_rfh"), F.count(F.lit(1)).alias("months"))
+
+
+@query
+def skewed_lookup(spark, sf_dir):
+    """Most shipments share a few return flags and many keys are NULL; the lookup has a NULL row of its own."""
+    lines = shipments(spark, sf_dir).select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "N", F.lit(None)).otherwise(
+        F.concat(F.col("l_returnflag"), (F.col("l_suppkey") * F.when(F.col("l_returnflag") == "A", 1).otherwise(0)).cast("string"))).alias("key"))
+    dim = table(spark, sf_dir, "supplier").select(F.concat(F.lit("A"), F.col("s_suppkey").cast("string")).alias("name"), "s_nationkey").union(
+        table(spark, sf_dir, "nation").select(F.when(F.col("n_regionkey") > 0, F.lit(None).cast("string")).otherwise(F.lit("R0")).alias("name"), "n_nationkey"))
+    joined = skewed_lookup_join(lines, dim, "key", "name")
+    return joined.groupBy("key", "s_nationkey").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_orderkey").alias("sum_orderkey"))
+
+
 # --- models ---------------------------------------------------------------------------------------------------------
 
 def national_cells(spark, sf_dir) -> list[DataFrame]:
