@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,35 +84,67 @@ def read_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list
     return ["" if name is None else name for name in row] if row else []
 
 
-def part_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """The files that paths, folders and globs name; one listing, no content is read."""
-    return sorted(row["path"] for row in spark.read.format("binaryFile").load(list(paths)).select("path").collect())
+def file_headers(spark: SparkSession, paths: Sequence[str], encoding: str = "UTF-8") -> dict[str, list[str]]:
+    """Column names of every file that paths, folders and globs name; files without a line are left out.
 
+    One job over all files, however many: lines are not parsed, each task keeps the first line of the files that begin
+    in it. A row per file reaches the driver, which needs their names for the scans anyway.
+    """
+    lines = spark.read.schema("line string").option("sep", "\x01").option("quote", "").option("encoding", encoding).csv(list(paths))
+    found = lines.select("line", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    first = found.where("start = 0").groupBy("path").agg(F.min_by("line", "at").alias("line"))
+    return {unquote(row["path"]): next(csv.reader([row["line"].removeprefix("\ufeff")])) for row in first.orderBy("path").collect()}
 
-def read_named(
-    spark: SparkSession, paths: Sequence[str], types: Mapping[str, T.DataType], encoding: str = "UTF-8", multiline: bool = True,
-) -> DataFrame:
-    """The named columns of CSV files, folders or globs, with given types and legal names; other columns are not parsed.
 
-    Every file's own header counts, also inside a folder: files with the same header are one scan, files whose columns
-    are in another order are stacked by name. Headers are read by concurrent jobs of one line each.
-    """
-    files = part_files(spark, paths)
-    with ThreadPoolExecutor(8) as pool:
-        headers = list(pool.map(inheritable_thread_target(spark)(lambda f: read_header(spark, f, encoding)), files))
+def _scans(
+    spark: SparkSession, paths: Sequence[str], types: Mapping[str, T.DataType], encoding: str, multiline: bool, *extra: str,
+) -> DataFrame:
+    """The named columns of all files, stacked by name; a scan per distinct header."""
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path, header in zip(files, headers):
-        if header:
-            by_header.setdefault(tuple(header), []).append(path)
+    for path, header in file_headers(spark, paths, encoding).items():
+        by_header.setdefault(tuple(header), []).append(path)
     parts = []
     for header, same in by_header.items():
         schema = T.StructType([T.StructField(n, types.get(n, T.StringType())) for n in unique_names(header)])
-        parts.append(read_parts(spark, same, schema, encoding, multiline).select(*[F.col(f"`{c}`") for c in types]))
+        parts.append(read_parts(spark, same, schema, encoding, multiline).select(*[F.col(f"`{c}`") for c in types], *extra))
     if not parts:
         raise ValueError(f"no CSV file with a header in {list(paths)}")
     return reduce(DataFrame.unionByName, parts)
 
 
+def read_named(
+    spark: SparkSession, paths: Sequence[str], types: Mapping[str, T.DataType], encoding: str = "UTF-8", multiline: bool = True,
+) -> DataFrame:
+    """The named columns of CSV files, folders or globs, with given types and legal names; other columns are not parsed.
+
+    Every file's own header counts, also inside a folder: files with the same header are one scan, files whose columns
+    are in another order are stacked by name. Cells that are not of their type become NULL; ``bad_cells`` counts them.
+    """
+    return _scans(spark, paths, types, encoding, multiline)
+
+
+def bad_cells(
+    spark: SparkSession, paths: Sequence[str], types: Mapping[str, T.DataType], encoding: str = "UTF-8", multiline: bool = True,
+) -> DataFrame:
+    """``file, column, cells, bad, example``: of every file (its address) and typed column, how many cells are given, and how many of
+    these ``read_named`` turns into NULL because they are not of the column's type, with the smallest one of them.
+
+    A cell counts as bad when the CSV parser itself, given that cell alone, finds no value. Under a strict sum one such
+    cell blanks its whole group.
+    """
+    typed = {c: t for c, t in types.items() if not isinstance(t, T.StringType)}
+    raw = _scans(spark, paths, {c: T.StringType() for c in typed}, encoding, multiline, "_metadata.file_path")
+    options = {"escape": '"', "nullValue": "NA", "mode": "PERMISSIVE"}
+    cells = []
+    for c, kind in typed.items():
+        alone = F.to_csv(F.struct(F.col(f"`{c}`").alias("cell")), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+        value = F.from_csv(alone, f"cell {kind.simpleString()}", options)["cell"]
+        cells.append(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("raw"), (F.col(f"`{c}`").isNotNull() & value.isNull()).alias("bad")))
+    flat = raw.select(F.col("file_path").alias("file"), F.explode(F.array(*cells)).alias("_c"))
+    return flat.groupBy("file", F.col("_c.column").alias("column")).agg(
+        F.count("_c.raw").alias("cells"), F.count_if(F.col("_c.bad")).alias("bad"), F.min(F.when(F.col("_c.bad"), F.col("_c.raw"))).alias("example"))
+
+
 def read_wide_series(
     spark: SparkSession, path: str, ids: Sequence[str], value: str = "value", encoding: str = "UTF-8", multiline: bool = False,
 ) -> DataFrame:

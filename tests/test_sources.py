@@ -94,3 +94,31 @@ def test_folder_with_mixed_headers(spark, tmp_path):
 
 def test_names_that_are_taken_already():
     assert files.unique_names(["a", "a", "a.1"]) == ["a", "a.2", "a.1"]
+
+
+def test_headers_of_many_small_files_are_one_job(spark, tmp_path):
+    folder = tmp_path / "many parts"
+    folder.mkdir()
+    for i in range(300):
+        (folder / f"p{i:03}.csv").write_text(f"a,b\n{i},1\n" if i % 2 else f'b,"a"\n1,{i}\n')
+    (folder / "empty.csv").write_text("")
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    headers = files.file_headers(spark, [str(folder)])
+    jobs = set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before)
+    assert len(headers) == 300 and {tuple(h) for h in headers.values()} == {("a", "b"), ("b", "a")} and len(jobs) <= 4
+    got = files.read_named(spark, [str(folder)], {"a": T.IntegerType(), "b": T.IntegerType()})
+    assert got.agg(F.sum("a"), F.sum("b")).first()[:] == (sum(range(300)), 300)
+
+
+def test_bad_cells_by_file_and_column(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('n,d,s\n1,2020-01-01,a\n"1,5",2020-13-01,b\nNA,,c\n 7,NA,d\n"x ""y""",2020-02-30,e\n')
+    (tmp_path / "y.csv").write_text("s,d,n\nq,2020-01-05,12\n")
+    types = {"n": T.IntegerType(), "d": T.DateType(), "s": T.StringType()}
+    got = {(r["file"].rsplit("/", 1)[1], r["column"]): (r["cells"], r["bad"], r["example"]) for r in files.bad_cells(spark, [str(tmp_path)], types).collect()}
+    read = files.read_named(spark, [str(tmp_path)], types)
+    empty = {c: read.where(F.col(c).isNull()).count() for c in ("n", "d")}
+    assert got[("y.csv", "n")] == (1, 0, None) and got[("y.csv", "d")] == (1, 0, None)
+    for c in ("n", "d"):  # what the reader turned into NULL is what was given and counted as bad, besides what was not given
+        given, bad, _ = got[("x.csv", c)]
+        assert empty[c] == bad + 5 - given
+    assert got[("x.csv", "n")][2] in ("1,5", 'x "y"', " 7") and got[("x.csv", "n")][1] >= 2 and got[("x.csv", "d")][1] == 2

@@ -583,6 +583,10 @@ ORACLES["csv_texts"] = "SELECT doc_id, sha256(text) AS text_sha256 FROM document
 ORACLES["csv_wide_series"] = ORACLES["unpivot_matching_columns"]
 ORACLES["csv_legacy_text"] = ORACLES["legacy_text"]
 ORACLES["csv_lookup"] = f"WITH {ORD} SELECT n_name, year, month, incidents FROM ord_nation JOIN nation ON nation = n_nationkey"
+ORACLES["csv_bad_cells"] = """
+SELECT 'o_orderkey' AS column, count(*) AS cells, 0::BIGINT AS bad, NULL::VARCHAR AS example FROM orders
+UNION ALL SELECT 'day', count(*) FILTER (WHERE o_orderpriority <> '2-HIGH'), count(*) FILTER (WHERE o_orderpriority = '5-LOW'), '?5-LOW' FROM orders
+UNION ALL SELECT 'price', count(*), count(*) FILTER (WHERE o_orderpriority = '1-URGENT'), '1-URGENT' FROM orders"""
 ORACLES["saved_coefficients"] = f"SELECT * FROM ({ORACLES['fe_within_national']}) WHERE term LIKE '%rainfall%'"
 ORACLES["saved_polygons"] = ORACLES["dissolved_edges"]
 ORACLES["saved_figure_rows"] = ORACLES["standardised_month_deviation"]

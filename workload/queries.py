@@ -34,7 +34,7 @@ from almanaq.operators.slopes import interaction_table, unit_slopes
 from almanaq.operators.trend import trend_lines, trend_lm
 from almanaq.operators.within import fe_within
 from almanaq.plans import national, units
-from almanaq.sources.files import make_names, read_csv, read_named, read_wide_series
+from almanaq.sources.files import bad_cells, make_names, read_csv, read_named, read_wide_series
 from almanaq.sources.lookups import lookup
 from almanaq.sources.tables import materialise, materialise_all, read_polygons, read_table, shared_dir, write_results, write_table
 
@@ -720,6 +720,21 @@ def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> str:
     return path
 
 
+@query
+def csv_bad_cells(spark, sf_dir):
+    """Orders in folders whose columns come in another order; urgent ones have text where the price belongs, and low ones
+    no date. What doesn't parse is counted by column."""
+    priority, folder = F.col("o_orderpriority"), scratch(spark)
+    price = F.when(priority == "1-URGENT", priority).otherwise(F.col("o_totalprice").cast("string"))
+    day = F.when(priority == "5-LOW", F.concat(F.lit("?"), priority)).when(priority != "2-HIGH", F.substring(F.col("o_orderdate").cast("string"), 1, 10))
+    facts = table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"), price.alias("price"))
+    even = F.col("o_orderkey") % 2 == 0
+    paths = [write_csv(facts.where(even), f"{folder}/even"), write_csv(facts.where(~even).select("price", "o_orderkey", "day"), f"{folder}/odd")]
+    types = {"o_orderkey": T.LongType(), "day": T.DateType(), "price": T.DoubleType()}
+    counted = bad_cells(spark, paths, types, multiline=False)
+    return counted.groupBy("column").agg(F.sum("cells").alias("cells"), F.sum("bad").alias("bad"), F.min("example").alias("example"))
+
+
 @query
 def csv_parts(spark, sf_dir):
     """Orders in two folders of CSV files whose columns come in another order, read as one table."""
