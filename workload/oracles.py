@@ -534,6 +534,40 @@ FROM c GROUP BY parent"""
 ORACLES["dissolved_centroids"] = f"""WITH {PARCELS}, s AS (SELECT parent, {PLANAR} FROM edges GROUP BY parent),
 t AS (SELECT parent, mx / (3 * a) - 75 AS lon, my / (3 * a) + 4 AS lat, abs(a) / 2 AS area FROM s)
 SELECT parent, {r('lon', 'lat', 'area')} FROM t"""
+# Rings: the next edge is the one turning least from the reversed edge; each ring is walked from its smallest edge.
+ORACLES["outline_rings"] = f"""WITH RECURSIVE {PARCELS}, {OUTLINE},
+e AS (SELECT *, row_number() OVER (ORDER BY parent, x0, y0, x1, y1) AS id FROM outline),
+turns AS (
+  SELECT a.id, b.id AS nxt, atan2(a.y0 - a.y1, a.x0 - a.x1) - atan2(b.y1 - b.y0, b.x1 - b.x0) AS turn
+  FROM e a JOIN e b ON a.parent = b.parent AND a.x1 = b.x0 AND a.y1 = b.y0),
+follow AS (SELECT id, arg_min(nxt, CASE WHEN turn < 1e-12 THEN turn + 2 * pi() ELSE turn END) AS nxt FROM turns GROUP BY id),
+walk AS (
+  SELECT id AS head, id, 1::BIGINT AS seq FROM e
+  UNION ALL SELECT w.head, f.nxt, w.seq + 1 FROM walk w JOIN follow f USING (id) WHERE f.nxt > w.head),
+heads AS (SELECT DISTINCT head FROM walk JOIN follow USING (id) WHERE nxt = head),
+placed AS (SELECT e.*, head, seq FROM walk JOIN heads USING (head) JOIN e USING (id)),
+areas AS (SELECT parent, head, sum((x0+75)*(y1-4) - (x1+75)*(y0-4)) AS a FROM placed GROUP BY ALL),
+named AS (
+  SELECT head, row_number() OVER (PARTITION BY parent ORDER BY head) AS ring, sign(a) * sign(sum(a) OVER (PARTITION BY parent)) < 0 AS hole FROM areas),
+t AS (SELECT parent, CAST(ring AS INT) AS ring, seq, x0 AS lon, y0 AS lat, hole FROM placed JOIN named USING (head))
+SELECT parent, ring, seq, hole, {r('lon', 'lat')} FROM t"""
+ORACLES["saved_rings"] = ORACLES["dissolved_centroids"]
+ORACLES["touching_outline"] = """WITH corners(seq, dx, top) AS (VALUES (0, 0.0, 0), (1, 1.0, 0), (2, 1.0, 1), (3, 0.0, 1), (4, 0.0, 0)),
+parts(odd, part, lo, hi) AS (VALUES (0, 0, 0.0, 1.0), (1, 0, 0.0, 0.5), (1, 1, 0.5, 1.0)),
+vertices AS (
+  SELECT c_custkey * 2 + part AS unit, c_mktsegment AS parent, seq, -75.0::DOUBLE + (c_custkey % 200 + dx::DOUBLE) / 61 AS lon,
+         4.0::DOUBLE + (c_custkey // 200 + (CASE top WHEN 0 THEN lo ELSE hi END)::DOUBLE) / 61 AS lat
+  FROM customer JOIN parts ON odd = c_custkey % 200 % 2 CROSS JOIN corners),
+ends AS (SELECT unit, parent, seq, lon AS x0, lat AS y0, lead(lon) OVER w AS x1, lead(lat) OVER w AS y1 FROM vertices WINDOW w AS (PARTITION BY unit ORDER BY seq)),
+whole AS (SELECT * FROM ends WHERE x1 IS NOT NULL),
+points AS (SELECT DISTINCT parent, lon, lat FROM vertices),
+cuts AS (
+  SELECT unit, e.parent, seq, lon AS x, lat AS y, abs(lon - x0) + abs(lat - y0) AS far
+  FROM whole e JOIN points p ON e.parent = p.parent AND lon BETWEEN least(x0, x1) AND greatest(x0, x1) AND lat BETWEEN least(y0, y1) AND greatest(y0, y1)),
+pieces AS (SELECT parent, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM cuts WINDOW w AS (PARTITION BY unit, seq ORDER BY far)),
+keyed AS (SELECT *, CASE WHEN (x0, y0) < (x1, y1) THEN (x0, y0, x1, y1) ELSE (x1, y1, x0, y0) END AS k FROM pieces WHERE x1 IS NOT NULL),
+outline AS (SELECT parent, any_value(x0) AS x0, any_value(y0) AS y0, any_value(x1) AS x1, any_value(y1) AS y1 FROM keyed GROUP BY parent, k HAVING count(*) = 1)
+SELECT parent, """ + r('x0', 'y0', 'x1', 'y1') + " FROM outline"
 _supplier_map = f"""WITH {SHIP}, cells AS (SELECT l_suppkey, year, month, sum(l_quantity) AS rfh FROM ship_rows GROUP BY ALL),
 p AS (SELECT l_suppkey AS unit, month, avg(rfh) AS mean_rfh FROM cells WHERE year >= 1999 AND year < 2001 GROUP BY ALL),
 t AS (SELECT coalesce(p.unit, p_partkey) AS unit, month, mean_rfh, p_name FROM p FULL JOIN part ON p.unit = p_partkey)

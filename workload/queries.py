@@ -17,7 +17,7 @@ from almanaq.fixed import SPANISH_MONTHS
 from almanaq.functions.calendar import month_name, parse_dmy, parse_mdy, strip_clock, with_year_month
 from almanaq.functions.scalar import prefer
 from almanaq.functions.text import admin_codes, decode_codepage, drop_any, fold_key, keep_any
-from almanaq.operators import geo
+from almanaq.operators import geo, rings
 from almanaq.operators.absorb import absorb_ols
 from almanaq.operators.aggregate import levels, monthly, monthly_through_lookup
 from almanaq.operators.anomaly import deviation, period_index, standardised_deviation, zscore
@@ -609,6 +609,30 @@ def dissolved_centroids(spark, sf_dir):
     return geo.outline_centroids(geo.dissolve_edges(parcels(spark, sf_dir), "unit", "parent"), "parent")
 
 
+@query
+def outline_rings(spark, sf_dir):
+    """The dissolved segments as polygons: rings with their holes."""
+    return rings.outline_rings(geo.dissolve_edges(parcels(spark, sf_dir), "unit", "parent"), "parent")
+
+
+def split_parcels(spark, sf_dir) -> DataFrame:
+    """Parcels of every second column are two low ones, so their neighbours' long borders touch vertices they don't have."""
+    plots = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    column, row = F.col("c_custkey") % 200, F.floor(F.col("c_custkey") / 200)
+    parts = F.when(column % 2 == 0, F.array(F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))).otherwise(
+        F.array(F.struct(F.lit(0.0).alias("lo"), F.lit(0.5).alias("hi")), F.struct(F.lit(0.5).alias("lo"), F.lit(1.0).alias("hi"))))
+    plots = plots.select("*", column.alias("column"), row.alias("row"), F.posexplode(parts).alias("part", "span"))
+    corners = F.array(*[F.struct(F.lit(dx).alias("dx"), F.col(f"span.{end}").alias("dy")) for dx, end in ((0.0, "lo"), (1.0, "lo"), (1.0, "hi"), (0.0, "hi"))])
+    return plots.select("*", F.posexplode(corners).alias("seq", "corner")).select(
+        (F.col("c_custkey") * 2 + F.col("part")).alias("unit"), F.col("c_mktsegment").alias("parent"), F.lit(1).alias("ring"), "seq",
+        (F.lit(-75.0) + (F.col("column") + F.col("corner.dx")) / 61.0).alias("lon"), (F.lit(4.0) + (F.col("row") + F.col("corner.dy")) / 61.0).alias("lat"))
+
+
+@query
+def touching_outline(spark, sf_dir):
+    return rings.dissolve_touching(split_parcels(spark, sf_dir), "unit", "parent")
+
+
 @query
 def slope_map(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), "n_name")
@@ -792,6 +816,14 @@ def saved_coefficients(spark, sf_dir):
     return terms_matching(read_table(spark, path), "rainfall")
 
 
+@query
+def saved_rings(spark, sf_dir):
+    """Outlines saved as polygons and read back as vertices of their centroids."""
+    path = scratch(spark)
+    write_table(rings.outline_rings(geo.dissolve_edges(parcels(spark, sf_dir), "unit", "parent"), "parent"), path)
+    return geo.centroids(read_polygons(spark, path), "parent")
+
+
 @query
 def saved_polygons(spark, sf_dir):
     """Vertices saved and read, dissolved, and the outlines saved and read."""
