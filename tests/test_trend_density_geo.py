@@ -115,3 +115,51 @@ def test_profile_map_keeps_or_drops_empty_polygons(spark):
     kept = geo.profile_map(profile, polygons, "unit", keep_missing=True)
     assert sorted((r["unit"], r["month"], r["name"]) for r in kept.where("month is not null").collect()) == [("a", 1, "A"), ("x", 1, None)]
     assert kept.count() == 3 and geo.profile_map(profile, polygons, "unit").count() == 2
+
+
+def exact_density(values, weights, grid, adjust=1.0):
+    import numpy as np
+
+    x, w = np.array(values, float), np.array(weights, float)
+    q = np.percentile(x, [25, 75])
+    bw = 0.9 * min(x.std(ddof=1), (q[1] - q[0]) / 1.34) * len(x) ** -0.2 * adjust
+    z = (grid[:, None] - x[None, :]) / bw
+    return (np.exp(-0.5 * z * z) / (bw * np.sqrt(2 * np.pi)) * (w / w.sum())[None, :]).sum(1)
+
+
+@pytest.mark.parametrize("held", [100_000, 10])
+def test_density_of_continuous_values(spark, monkeypatch, held):
+    """Binned with moments, and quartiles by counting, against the exact sum."""
+    import numpy as np
+
+    from almanaq.operators import density
+
+    monkeypatch.setattr(density, "HELD_VALUES", held)
+    rng = np.random.default_rng(2)
+    rows = [(g, float(x), float(w)) for g, scale in (("a", 1.0), ("b", 0.01), (None, 3.0)) for x, w in zip(6 + scale * rng.normal(size=700), rng.random(700) + 0.1)]
+    df = spark.createDataFrame(rows, "g string, x double, w double").repartition(5)
+    grid = np.linspace(1, 12, 512)
+    got = {}
+    for r in density.weighted_kde(df, "x", "w", ["g"]).orderBy("x").collect():
+        got.setdefault(r["g"], []).append(r["density"])
+    for g in ("a", "b", None):
+        want = exact_density([x for h, x, _ in rows if h == g], [w for h, _, w in rows if h == g], grid)
+        np.testing.assert_allclose(got[g], want, atol=1e-9 * want.max(), rtol=0)
+    whole = [r["density"] for r in density.weighted_kde(df, "x", "w", []).orderBy("x").collect()]
+    np.testing.assert_allclose(whole, exact_density([x for _, x, _ in rows], [w for *_, w in rows], grid), atol=1e-9, rtol=0)
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from almanaq.operators.quantile import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=3001), "b": np.repeat([1.0, 2.0, 1e6, -1e6], 5), "c": np.array([4.0]), None: 10.0 ** rng.uniform(-4, 4, 500)}
+    rows = [(g, float(x), int(c)) for g, xs in groups.items() for x, c in zip(xs, rng.integers(1, 4, len(xs)))]
+    got = {r["g"]: r["q"] for r in exact_quantiles(spark.createDataFrame(rows, "g string, x double, c long"), "x", "c", ["g"], (0.25, 0.5, 1.0)).collect()}
+    for g in groups:
+        x = np.sort(np.repeat([x for h, x, _ in rows if h == g], [c for h, _, c in rows if h == g]))
+        at = np.array([0.25, 0.5, 1.0]) * (len(x) - 1)
+        lo, hi, rest = x[np.floor(at).astype(int)], x[np.ceil(at).astype(int)], at - np.floor(at)
+        assert got[g] == [float(a) if t == 0 else float((1 - t) * a + t * b) for a, b, t in zip(lo, hi, rest)]
