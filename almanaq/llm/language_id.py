@@ -7,7 +7,7 @@ prediction is the prototype with the largest cosine.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -138,31 +138,42 @@ def predict_language(
     learned. Equal cosines: the first language by name. Null ids pass through; rows are judged one by one.
     """
     ship_package(docs.sparkSession)
-    learned = sorted((r["lang"], r["vector"]) for r in prototypes.collect())  # a row per language
-    names = [lang for lang, _ in learned]
-    matrix = np.array([v for _, v in learned], np.float64).reshape(len(names), dimension)
-    matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    told = _teller(prototypes, dimension)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = strings(b.column(1)).to_pylist()
-            langs, scores = [], []
-            for lo, hi in _groups(texts):
-                vectors, known = document_vectors(texts[lo:hi], dimension)
-                if not names:
-                    langs += [UNKNOWN] * (hi - lo)
-                    scores += [0.0] * (hi - lo)
-                    continue
-                cosine = vectors @ matrix.T
-                best = cosine.argmax(1)
-                langs += [names[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist())]
-                scores += np.where(known, np.clip(cosine.max(1), 0, 1), 0).astype(np.float64).round(6).tolist()
+            langs, scores = told(strings(b.column(1)).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(id_col, text_col).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
 
 
+def _teller(prototypes: DataFrame, dimension: int) -> Callable[[list[str]], tuple[list[str], list[float]]]:
+    """A function from texts to their languages and scores."""
+    learned = sorted((r["lang"], r["vector"]) for r in prototypes.collect())  # a row per language
+    names = [lang for lang, _ in learned]
+    matrix = np.array([v for _, v in learned], np.float64).reshape(len(names), dimension)
+    matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+    def tell(texts: list[str]) -> tuple[list[str], list[float]]:
+        langs: list[str] = []
+        scores: list[float] = []
+        for lo, hi in _groups(texts):
+            if not names:
+                langs += [UNKNOWN] * (hi - lo)
+                scores += [0.0] * (hi - lo)
+                continue
+            vectors, known = document_vectors(texts[lo:hi], dimension)
+            cosine = vectors @ matrix.T
+            best = cosine.argmax(1)
+            langs += [names[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist())]
+            scores += np.where(known, np.clip(cosine.max(1), 0, 1), 0).astype(np.float64).round(6).tolist()
+        return langs, scores
+
+    return tell
+
+
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learns from the rows that are not held out, predicts all: ``doc_id, held_out, lang_pred, score``."""
     prototypes = materialise(train_prototypes(docs.where(~held_out(F.col(id_col))), lang_col, text_col))
@@ -173,9 +184,15 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` whose language could be told, with all columns: not ``und``, and a cosine of ``min_score``.
     Beyond ``und`` that rejects little: cosines of unrelated vectors have a standard deviation of ``1 / sqrt(dimension)``
     and the score is the largest of all languages, so texts of an unlearned script may pass. A higher bound would reject
-    very short texts, whose cosines are low too. Rows that repeat an id stay when one of them does.
+    very short texts, whose cosines are low too. Every row is judged by its own text, in the task that reads it: nothing
+    is shuffled.
     """
-    told = identify_languages(docs, id_col, text_col, lang_col)
-    gone = told.groupBy("doc_id").agg(F.max(F.when(F.col("lang_pred") == UNKNOWN, 0.0).otherwise(F.col("score"))).alias("score"))
-    gone = gone.where(F.col("score") < min_score).select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    prototypes = materialise(train_prototypes(docs.where(~held_out(F.col(id_col))), lang_col, text_col))
+    told, at = _teller(prototypes, DIMENSION), docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, scores = told(strings(b.column(at)).to_pylist())
+            yield b.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in zip(langs, scores)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

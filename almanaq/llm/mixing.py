@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanaq.sources.tables import discard
+
 from .common import materialise
 
 DIMS = ("source", "lang", "topic")
@@ -42,34 +44,43 @@ def total_tokens(cells: DataFrame) -> int:
     return cells.agg(F.sum("tokens")).first()[0] or 0
 
 
-def rake(
-        cells: DataFrame, targets: Mapping[str, DataFrame], max_rounds: int = 100, tolerance: float = 1e-6,
-        patience: int = 10) -> tuple[DataFrame, float]:
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float = 1e-6) -> tuple[DataFrame, bool]:
     """Iterative proportional fitting: ``cells`` with ``weight`` fitted to the marginal ``target`` of every dimension, and
-    the largest relative error of a marginal in the last round.
+    whether it has them.
 
     ``targets[d]`` has ``d, target``; targets of one dimension sum to 1, a value that is not listed has target 0. One
-    round fits every dimension once; rounds end when no marginal is off by more than ``tolerance``, when the error has
-    dropped by less than a tenth in ``patience`` rounds (the targets contradict each other, or all but do), or after
-    ``max_rounds``. A value without tokens keeps weight 0. The caller has to look at the error.
+    round fits every dimension once. Rounds go on, however many, until no marginal is off by more than ``tolerance``, or
+    until it is proved that no weights of these cells can have the targets: the logarithms ``u`` of a round's factors,
+    added up per cell, are all smaller than their mean under the targets, where under any weights that have the targets
+    the two means are the same and a mean can't exceed the largest. A value without tokens keeps weight 0.
     """
     cells = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(total_tokens(cells), 1))))
-    errors: list[float] = []
-    while len(errors) < max_rounds:
-        worst = []
+    last = None
+    while True:
+        worst, toward, ahead = [], F.lit(0.0), F.lit(0.0)
         for d, target in targets.items():
             wanted = F.coalesce(F.col("target"), F.lit(0.0))
             sums = cells.groupBy(d).agg(F.sum("weight").alias("__sum")).join(target, d, "left")
             factor = sums.select(d, F.when(F.col("__sum") > 0, wanted / F.col("__sum")).otherwise(F.lit(1.0)).alias(f"__f_{d}"))
             cells = cells.join(factor, d).withColumn("weight", F.col("weight") * F.col(f"__f_{d}"))
+            cells = cells.withColumn(f"__w_{d}", F.col("weight"))  # now the marginals of d are its targets
+            log = F.when(F.col(f"__f_{d}") > 0, F.log(f"__f_{d}"))
             worst.append(F.max(F.abs(F.col(f"__f_{d}") - 1)))
+            toward = toward + F.coalesce(F.col(f"__w_{d}") * log, F.lit(0.0))
+            ahead = ahead + log
         fitted = materialise(cells)
-        off = fitted.agg(F.greatest(*worst) if len(worst) > 1 else worst[0]).first()[0]
-        cells = fitted.drop(*[f"__f_{d}" for d in targets])
-        errors.append(off or 0.0)
-        if errors[-1] <= tolerance or len(errors) > patience and errors[-1] > 0.9 * errors[-1 - patience]:
-            break
-    return cells, errors[-1]
+        row = fitted.agg(
+            (F.greatest(*worst) if len(worst) > 1 else worst[0]).alias("off"), F.sum(toward).alias("mean"),
+            F.max(F.when(F.col("tokens") > 0, ahead)).alias("most"), F.sum("weight").alias("whole")).first()
+        cells = fitted.drop(*[f"__{c}_{d}" for c in "fw" for d in targets])
+        if last is not None:
+            discard(last)
+        last = fitted
+        off, mean, most = row["off"] or 0.0, row["mean"] or 0.0, row["most"]
+        if off <= tolerance or not row["whole"]:
+            return cells, off <= tolerance
+        if most is None or mean > most + 1e-12 * max(1.0, abs(most)):
+            return cells, False
 
 
 def reached(cells: DataFrame, targets: Mapping[str, DataFrame]) -> DataFrame:
@@ -139,39 +150,55 @@ def mix_weights(
 
     The probability of a cell is its raked weight per token, to six digits, scaled so that the best wanted cell has 1:
     then the expected mix has the target marginals. The column ``targets`` tells which: ``given`` ones; else
-    ``tempered``, the tempered share of every value, when raking reaches them; else ``joint``, the marginals of
-    ``tempered_cells``, which always belong to a mix. Given targets that raking doesn't reach raise ``ArithmeticError``
+    ``tempered``, the tempered share of every value, unless it is proved that no mix of these cells has them (sources of
+    one language, say); then ``joint``, the marginals of ``tempered_cells``, which always belong to a mix. Given targets that raking doesn't reach raise ``ArithmeticError``
     with the marginals asked and reached; a value they don't list gets probability 0.
 
     Null source or language is the value "(none)"; a missing column too. Documents without tokens weigh nothing and get
     their cell's probability (1 when the cell has no tokens). Rows that repeat an id are decided alike; extra columns are
     not read.
     """
-    text = F.col(text_col)
+    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), *_cell(docs, text_col), token_count(F.col(text_col)).alias("n_tokens")))
+    chance, law = _chances(rows, temper, targets)
+    return rows.join(chance, list(DIMS)).select(
+        "doc_id", *DIMS, "n_tokens", "probability", (uniform(F.col("doc_id"), seed) < F.col("probability")).alias("kept"),
+        F.lit(law).alias("targets"))
+
+
+def _cell(docs: DataFrame, text_col: str, prefix: str = "") -> list[Column]:
+    def named(c: str) -> Column:
+        return (F.coalesce(F.col(c).cast("string"), F.lit(NONE)) if c in docs.columns else F.lit(NONE)).alias(prefix + c)
+
+    return [named("source"), named("lang"), topic(F.col(text_col)).alias(f"{prefix}topic")]
 
-    def named(c):
-        return (F.coalesce(F.col(c).cast("string"), F.lit(NONE)) if c in docs.columns else F.lit(NONE)).alias(c)
 
-    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), named("source"), named("lang"), topic(text).alias("topic"), token_count(text).alias("n_tokens")))
+def _chances(rows: DataFrame, temper: Mapping[str, float], targets: Mapping[str, DataFrame] | None) -> tuple[DataFrame, str]:
+    """Probability of every cell of ``rows (source, lang, topic, n_tokens)``, and which targets the mix has."""
     cells = materialise(rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
     if targets:
         law, (fitted, _) = "given", rake(cells, targets)
         if total_tokens(cells):
             refuse_missed(fitted, targets, REACHED)
     else:
-        law, (fitted, off) = "tempered", rake(cells, tempered_targets(cells, temper))
-        if off > REACHED:
-            law, fitted = "joint", tempered_cells(cells, temper)
+        law, (fitted, has) = "tempered", rake(cells, tempered_targets(cells, temper))
+        if not has and total_tokens(cells):
+            law, fitted = "joint", tempered_cells(cells, temper)  # has its own marginals, raking would leave it as it is
     rate = materialise(fitted.select(*DIMS, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).alias("rate")))
     best = rate.agg(F.max("rate").alias("best"))
     chance = rate.crossJoin(F.broadcast(best)).select(*DIMS, F.coalesce(rounded(F.col("rate") / F.col("best")), F.lit(1.0)).alias("probability"))
-    return rows.join(chance, list(DIMS)).select(
-        "doc_id", *DIMS, "n_tokens", "probability", (uniform(F.col("doc_id"), seed) < F.col("probability")).alias("kept"),
-        F.lit(law).alias("targets"))
+    return materialise(chance), law
 
 
-def sample_mix(docs: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
-    """The sampled rows of ``docs`` with all their columns."""
-    marked = mix_weights(docs, id_col, **parameters)
-    keep = marked.where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+def sample_mix(
+        docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", temper: Mapping[str, float] = TEMPER, seed: int = 17,
+        targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``mix_weights`` keeps, with all their columns.
+
+    The cells' probabilities, a row per cell, are joined to the documents; while they are few Spark sends them to the
+    documents, which then aren't shuffled.
+    """
+    chance, _ = _chances(docs.select(*_cell(docs, text_col), token_count(F.col(text_col)).alias("n_tokens")), temper, targets)
+    keyed = docs.select("*", *_cell(docs, text_col, "__"))
+    named = chance.select(*[F.col(d).alias(f"__of_{d}") for d in DIMS], F.col("probability").alias("__probability"))
+    joined = keyed.join(named, [F.col(f"__{d}") == F.col(f"__of_{d}") for d in DIMS])
+    return joined.where(uniform(F.col(id_col), seed) < F.col("__probability")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -77,18 +77,23 @@ def op3(rows, temper, seed=17):
     raised = {d: {v: n ** power for v, n in sums(tokens, d).items()} for d, power in dims}
     target = {d: {v: x / (sum(r.values()) or 1) for v, x in r.items()} for d, r in raised.items()}
     weight = {c: n / max(sum(tokens.values()), 1) for c, n in tokens.items()}
-    errors = []
-    while len(errors) < 100:
-        errors.append(0)
+    law = "tempered"
+    while any(weight.values()):
+        off, mean, ahead = 0, 0.0, Counter()
         for d, _ in dims:
             factor = {v: target[d][v] / x if x > 0 else 1 for v, x in sums(weight, d).items()}
             weight = {c: x * factor[c[d]] for c, x in weight.items()}
-            errors[-1] = max([errors[-1], *[abs(f - 1) for f in factor.values()]])
-        if errors[-1] <= 1e-6 or len(errors) > 10 and errors[-1] > 0.9 * errors[-11]:
+            off = max([off, *[abs(f - 1) for f in factor.values()]])
+            mean += sum(target[d][v] * math.log(f) for v, f in factor.items() if f > 0)
+            for c in weight:
+                ahead[c] += math.log(factor[c[d]]) if factor[c[d]] > 0 else -math.inf
+        if off <= 1e-6:
             break
-    law = "tempered"
-    if errors[-1] > 1e-5:
-        law, held = "joint", {d: sums(tokens, d) for d, _ in dims}
+        if mean > max(ahead[c] for c in weight if tokens[c]) + 1e-12:  # no table of these cells has the targets
+            law = "joint"
+            break
+    if law == "joint":
+        held = {d: sums(tokens, d) for d, _ in dims}
         weight = {c: n and n * math.prod(held[d][c[d]] ** (power - 1) for d, power in dims) for c, n in tokens.items()}
     rate = {c: weight[c] / n for c, n in tokens.items() if n}
     chance = [float(f"{rate[c] / max(rate.values()):.6g}") if c in rate else 1.0 for c in cell_of]

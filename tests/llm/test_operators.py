@@ -130,6 +130,20 @@ def test_op3_one_language_sources(spark):
             assert abs(share - want) < 1e-5 * want
 
 
+def test_op3_slow_tables_reach_their_targets(spark):
+    """Every cell is there, so the tempered marginals exist; some cells are tiny, so raking takes many rounds."""
+    rows = [(f"s{s}", lang, "w " * (4 if s == i else 1)) for s in range(4) for i, lang in enumerate("abcd") for _ in range(1 + 40 * (s == 0) * (i == 0))]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, lang string, text string").repartition(2)
+    found = mixing.mix_weights(docs).collect()
+    assert {r["targets"] for r in found} == {"tempered"}
+    for d in ("source", "lang"):
+        tokens = {}
+        for r in found:
+            tokens[r[d]] = tokens.get(r[d], 0) + r["n_tokens"]
+        raised = {k: v ** mixing.TEMPER[d] for k, v in tokens.items()}
+        assert mixed_shares(found, d) == pytest.approx({k: v / sum(raised.values()) for k, v in raised.items()}, abs=1e-5)
+
+
 def test_op3_given_targets(spark):
     docs = one_language_sources(spark)
     shares = lambda d, given: spark.createDataFrame(list(given.items()), f"{d} string, target double")

@@ -15,10 +15,8 @@ COLUMNS = ["doc_id", "text", "lang", "source"]
 
 
 def language_stage(rows):
-    best = defaultdict(float)
-    for (i, *_), (lang, score) in zip(rows, brute.op4([r[:3] for r in rows], language_id.letter_vector)):
-        best[i] = max(best[i], 0 if lang == "und" else score)
-    return [r for r in rows if best[r[0]] >= 0.05]
+    told = brute.op4([r[:3] for r in rows], language_id.letter_vector)
+    return [r for r, (lang, score) in zip(rows, told) if lang != "und" and score >= 0.05]
 
 
 def exact_stage(rows):
