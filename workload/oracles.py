@@ -617,6 +617,16 @@ ORACLES["csv_texts"] = "SELECT doc_id, sha256(text) AS text_sha256 FROM document
 ORACLES["csv_wide_series"] = ORACLES["unpivot_matching_columns"]
 ORACLES["csv_legacy_text"] = ORACLES["legacy_text"]
 ORACLES["csv_lookup"] = f"WITH {ORD} SELECT n_name, year, month, incidents FROM ord_nation JOIN nation ON nation = n_nationkey"
+_city_files = national('', 'counted', """
+events AS (
+  SELECT year, month, count(*) AS n FROM ship_rows JOIN part ON l_partkey = p_partkey
+  WHERE regexp_matches(p_name, 'widget|anvil|ring') AND year <> 2001 GROUP BY ALL),
+months AS (SELECT CAST(y AS INT) AS year, CAST(m AS INT) AS month FROM range(1987, 2001) a(y) CROSS JOIN range(1, 13) b(m)),
+counted AS (SELECT year, month, coalesce(n, 0) AS incidents FROM events FULL JOIN months USING (year, month)),""").replace(
+    "AS rainfall_deviation FROM ship)", "AS rainfall_deviation FROM ship WHERE year <> 2001)")
+_shown = "term, estimate, std_error, t_value, p_value, df_resid, n_obs, lower, upper"
+ORACLES["city_models"] = f"""SELECT 'fe' AS model, {_shown} FROM ({coefficient_query(_city_files, ('year',))})
+UNION ALL SELECT 'fe_check', {_shown} FROM ({coefficient_query(_city_files, ('year', 'month'))})"""
 ORACLES["csv_bad_cells"] = """
 SELECT 'o_orderkey' AS column, count(*) AS cells, 0::BIGINT AS bad, NULL::VARCHAR AS example FROM orders
 UNION ALL SELECT 'day', count(*) FILTER (WHERE o_orderpriority <> '2-HIGH'), count(*) FILTER (WHERE o_orderpriority = '5-LOW'), '?5-LOW' FROM orders

@@ -33,12 +33,13 @@ from almanaq.operators.reshape import complete_grid, unpivot_between, unpivot_ma
 from almanaq.operators.slopes import interaction_table, unit_slopes
 from almanaq.operators.trend import trend_lines, trend_lm
 from almanaq.operators.within import fe_within
-from almanaq.plans import national, units
+from almanaq.plans import national, places, units
 from almanaq.sources.files import bad_cells, make_names, read_csv, read_named, read_wide_series
 from almanaq.sources.lookups import lookup
 from almanaq.sources.tables import materialise, materialise_all, read_polygons, read_table, shared_dir, write_results, write_table
 
 PARTIAL_YEAR = 2001
+CITY_SHIFT = 24  # to the city's partial year
 SKELETON_FROM = 1996
 PERIODS = (("1995–1996", 1995, 1996), ("1996–1998", 1996, 1998), ("1999-2001", 1999, 2001))
 KEEP_TERMS, DROP_TERMS = ("widget", "bolt", "anvil"), ("red", "small")
@@ -759,6 +760,28 @@ def csv_bad_cells(spark, sf_dir):
     return counted.groupBy("column").agg(F.sum("cells").alias("cells"), F.sum("bad").alias("bad"), F.min("example").alias("example"))
 
 
+@query
+def city_models(spark, sf_dir):
+    """The city's whole analysis from files: incident text with clock dates, daily dates, months as columns; filtered, dated,
+    counted, put on the grid, merged, rescaled and fitted. Years are moved so that the last one is the partial one."""
+    folder, name = scratch(spark), F.col("p_name")
+    kind = (F.when(name.contains("widget"), 'Battery, simple').when(name.contains("anvil"), 'Aggravated "Assault"').when(name.contains("ring"), "Homicide")
+            .when(name.contains("bolt"), "Robbery Domestic").when(name.contains("plate"), "Fraud with Assault").otherwise(name))
+    moved = F.add_months(F.col("l_shipdate").cast("date"), 12 * CITY_SHIFT)
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    events = lines.select(kind.alias("Incident Type"), F.concat(F.date_format(moved, "MM/dd/yyyy"), F.lit(" 11:05:00 PM")).alias("Report Date"))
+    ship = materialise(national_shipments(spark, sf_dir).withColumn("year", F.col("year") + CITY_SHIFT))
+    rain = ship.select(F.date_format(F.make_date("year", "month", F.lit(1)), "dd/MM/yyyy").alias("date"), F.col("rfh").cast("double").alias("value"))
+    label = F.concat_ws("-", F.col("year").cast("string"), F.lpad(F.col("month").cast("string"), 2, "0"))
+    warm = ship.withColumn("_label", label).groupBy(F.lit("C").alias("code")).pivot("_label", _labels(ship, label)).agg(F.max("temperature"))
+    cells = places.city_cells(spark, write_csv(rain, f"{folder}/rain"), write_csv(events, f"{folder}/events"), write_csv(warm, f"{folder}/warm"))["national"]
+    rows = materialise(national.national_panel(*cells, scale_by=()))
+    fits = {"fe": fe_within(rows, national.OUTCOME, national.COVARIATES, "year"), "fe_check": absorb_ols(rows, national.OUTCOME, national.COVARIATES, ["year", "month"])}
+    shown = ["term", "estimate", "std_error", "t_value", "p_value", "df_resid", "n_obs", "lower", "upper"]
+    fe, check = (readable(fit).select(F.lit(model).alias("model"), *shown) for model, fit in fits.items())
+    return fe.unionByName(check)
+
+
 @query
 def csv_parts(spark, sf_dir):
     """Orders in two folders of CSV files whose columns come in another order, read as one table."""
