@@ -16,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, ship_package
-from .wordgrid import CHUNK, strings
+from .wordgrid import CHUNK, U, mix, strings
 
 DIMENSION = 1024
 UNKNOWN = "und"
-_SEED = 20240607
-_DOCS = 192  # documents of a dense count matrix
+_SEED = 0xD1342543DE82EF95
+_STEP = 0x9E3779B97F4A7C15
+_DOCS = 192  # documents of a group
+_BLOCK = 2048  # distinct trigrams whose vectors are held at once
 
 
 @lru_cache(1)
@@ -30,34 +32,35 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-@lru_cache(8192)
-def letter_vector(letter: int, dimension: int) -> np.ndarray:
-    """Vector of a letter (its code point; 0 is the gap between words), the same on every machine."""
-    return np.random.default_rng((_SEED, letter)).choice(np.array([-1, 1], np.int8), dimension)
+def letter_signs(letters: np.ndarray, dimension: int) -> np.ndarray:
+    """Sign bits (letters x dimension, 1 for -1) of the vectors of letters, given as code points; 0 is the gap between
+    words. They come from a mixing function, so they are the same on every machine and many are made at once."""
+    words = np.arange(-(-dimension // 64), dtype=U)
+    seeds = mix(letters.astype(U)[:, None] * U(_SEED) + words[None, :] * U(_STEP) + U(1))
+    return np.unpackbits(mix(seeds).astype("<u8").view(np.uint8), axis=1)[:, :dimension]
 
 
-@lru_cache(1 << 15)
-def trigram_vector(gram: tuple[int, int, int], dimension: int) -> np.ndarray:
-    a, b, c = (letter_vector(x, dimension) for x in gram)
-    return np.roll(a, 2) * np.roll(b, 1) * c
+def letter_vector(letter: int, dimension: int) -> np.ndarray:
+    return 1 - 2 * letter_signs(np.array([letter]), dimension)[0].astype(np.int8)
 
 
-def trigram_counts(texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray]:
-    """Counts of a few texts (texts x distinct trigrams), the trigrams, and whether a text has a letter.
+def trigram_counts(low: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every distinct trigram of lower-cased texts (its three code points), and its place and text for every letter.
 
-    Letters are lower-cased; anything else is a gap, and gaps in a row are one. Trigrams that lie in a gap don't exist:
-    every one has a letter in the middle.
+    A trigram is a letter with its two neighbours; a neighbour that isn't a letter is a gap. The first and last character
+    of a text are neighbours only.
     """
-    low = [" " + t.lower() + " " for t in texts]
     points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    doc = np.repeat(np.arange(len(low)), [len(t) for t in low])
+    size = np.array([len(t) for t in low])
     points = np.where(_letters()[points], points, 0)
-    keep = np.r_[True, (points[1:] != 0) | (points[:-1] != 0) | (doc[1:] != doc[:-1])]
-    points, doc = points[keep], doc[keep]
+    inner = points != 0
+    ends = np.cumsum(size)
+    inner[ends - 1] = inner[ends - size] = False
+    middle = np.flatnonzero(inner)
+    doc = np.searchsorted(ends, middle, "right")
     present = np.bincount(points) > 0
     alphabet, index = np.flatnonzero(present), np.cumsum(present)[points] - 1
     size = len(alphabet)
-    middle = np.flatnonzero((points[1:-1] != 0) & (doc[2:] == doc[:-2])) + 1
     code = (index[middle - 1].astype(np.int64) * size + index[middle]) * size + index[middle + 1]
     if size ** 3 <= 1 << 21:
         used = np.flatnonzero(np.bincount(code, minlength=1))
@@ -66,23 +69,47 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int, i
         at = rank[code]
     else:
         used, at = np.unique(code, return_inverse=True)
-    counts = np.bincount(doc[middle] * max(len(used), 1) + at, minlength=len(low) * max(len(used), 1)).reshape(len(low), -1)
-    grams = [(int(alphabet[u // size ** 2]), int(alphabet[u // size % size]), int(alphabet[u % size])) for u in used.tolist()]
-    return counts[:, :len(grams)].astype(np.float32), grams, np.bincount(doc[middle], minlength=len(low)) > 0
-
+    return alphabet[np.stack([used // size ** 2, used // size % size, used % size])], at, doc
 
-def gram_matrix(grams: list[tuple[int, int, int]], dimension: int) -> np.ndarray:
-    return np.stack([trigram_vector(g, dimension) for g in grams]).astype(np.float32)
 
+def _add_bundles(total: np.ndarray, low: list[str]) -> np.ndarray:
+    """Adds to each text's row the bundle of its trigrams, ``_BLOCK`` distinct trigrams at a time; their number per text.
 
-def document_vectors(texts: list[str], dimension: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bundled vectors of length 1 (zero without letters) and whether a text has a letter."""
-    counts, grams, known = trigram_counts(texts)
-    if not grams:
-        return np.zeros((len(texts), dimension), np.float32), known
-    vectors = counts @ gram_matrix(grams, dimension)
-    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return vectors / np.where(norm > 0, norm, 1), known
+    Sums are whole numbers below 2 to the 24th per block, so they are exact and don't depend on how texts are grouped.
+    """
+    grams, at, doc = trigram_counts(low)
+    n, dimension = total.shape
+    pair = at * n + doc
+    if grams.shape[1] * n <= 1 << 22:
+        dense, held, counts = np.bincount(pair, minlength=grams.shape[1] * n), None, None
+    else:
+        dense, (held, counts) = None, np.unique(pair, return_counts=True)
+    for lo in range(0, grams.shape[1], _BLOCK):
+        part = grams[:, lo:lo + _BLOCK]
+        width = part.shape[1]
+        letters, where = np.unique(part, return_inverse=True)
+        signs, where = letter_signs(letters, dimension), where.reshape(part.shape)
+        bound = np.roll(signs, 2, 1)[where[0]] ^ np.roll(signs, 1, 1)[where[1]] ^ signs[where[2]]
+        if dense is not None:
+            here = dense[lo * n:(lo + width) * n]
+        else:
+            a, z = np.searchsorted(held, (lo * n, (lo + width) * n))
+            here = np.zeros(width * n, np.int64)
+            here[held[a:z] - lo * n] = counts[a:z]
+        total += here.reshape(width, n).T.astype(np.float32) @ (1 - 2 * bound.astype(np.float32))
+    return np.bincount(doc, minlength=n)
+
+
+def document_bundles(texts: list[str], dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bundle (sum of bound trigrams) and number of letters of each text. A long text is added up in parts."""
+    low = [f" {t.lower()} " for t in texts]
+    total, n = np.zeros((len(low), dimension)), np.zeros(len(low), np.int64)
+    if len(low) == 1:  # a letter at a cut is the inner one of one part and a neighbour in the other
+        for at in range(0, len(low[0]) - 2, CHUNK):
+            n += _add_bundles(total, [low[0][at:at + CHUNK + 2]])
+    elif low:
+        n += _add_bundles(total, low)
+    return total, n
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -114,14 +141,10 @@ def train_prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
         for b in batches:
             langs, texts = b.column(0).to_pylist(), strings(b.column(1)).to_pylist()
             for lo, hi in _groups(texts):
-                counts, grams, _ = trigram_counts(texts[lo:hi])
-                if not grams:
-                    continue
-                shares = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-                here = sorted(set(langs[lo:hi]))
-                mine = np.array([[x == lang for x in langs[lo:hi]] for lang in here], np.float32)
-                for lang, bundled in zip(here, (mine @ shares) @ gram_matrix(grams, dimension)):
-                    total[lang] = total.get(lang, 0) + bundled.astype(np.float64)
+                bundles, n = document_bundles(texts[lo:hi], dimension)
+                shares = bundles / np.maximum(n, 1)[:, None]
+                for lang in sorted({x for x, k in zip(langs[lo:hi], n.tolist()) if k}):
+                    total[lang] = total.get(lang, 0) + shares[[x == lang for x in langs[lo:hi]]].sum(0)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["lang", "part"])
 
@@ -135,7 +158,9 @@ def predict_language(
     """``doc_id, lang_pred, score`` per row of ``docs``; the score is the best cosine, cut to 0..1.
 
     A text without a letter (null and empty ones too) is ``und`` with score 0, and so is every text when nothing was
-    learned. Equal cosines: the first language by name. Null ids pass through; rows are judged one by one.
+    learned. Equal cosines: the first language by name. Null ids pass through; rows are judged one by one. A very long
+    text is added up a million characters at a time, so beyond the text itself memory stays below some 300 MB whatever
+    its length and letters.
     """
     ship_package(docs.sparkSession)
     told = _teller(prototypes, dimension)
@@ -154,7 +179,7 @@ def _teller(prototypes: DataFrame, dimension: int) -> Callable[[list[str]], tupl
     learned = sorted((r["lang"], r["vector"]) for r in prototypes.collect())  # a row per language
     names = [lang for lang, _ in learned]
     matrix = np.array([v for _, v in learned], np.float64).reshape(len(names), dimension)
-    matrix = (matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
 
     def tell(texts: list[str]) -> tuple[list[str], list[float]]:
         langs: list[str] = []
@@ -164,11 +189,12 @@ def _teller(prototypes: DataFrame, dimension: int) -> Callable[[list[str]], tupl
                 langs += [UNKNOWN] * (hi - lo)
                 scores += [0.0] * (hi - lo)
                 continue
-            vectors, known = document_vectors(texts[lo:hi], dimension)
-            cosine = vectors @ matrix.T
+            bundles, n = document_bundles(texts[lo:hi], dimension)
+            known, norm = n > 0, np.linalg.norm(bundles, axis=1, keepdims=True)
+            cosine = bundles @ matrix.T / np.where(norm > 0, norm, 1)
             best = cosine.argmax(1)
             langs += [names[i] if k else UNKNOWN for i, k in zip(best.tolist(), known.tolist())]
-            scores += np.where(known, np.clip(cosine.max(1), 0, 1), 0).astype(np.float64).round(6).tolist()
+            scores += np.where(known, np.clip(cosine.max(1), 0, 1), 0).round(6).tolist()
         return langs, scores
 
     return tell
