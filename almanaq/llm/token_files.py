@@ -12,6 +12,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,16 +62,23 @@ def _open(folder: str):
 def _put(system, path: str, blobs) -> None:
     """Writes under a name of its own, then renames: a task that is run again replaces the file by an equal one."""
     own = f"{path}.{uuid.uuid4().hex}"
-    with system.open_output_stream(own) as f:
-        for blob in blobs:
-            f.write(blob)
+    try:
+        with system.open_output_stream(own) as f:
+            for blob in blobs:
+                f.write(blob)
+    except BaseException:
+        system.delete_file(own)
+        raise
     system.move(own, path)
 
 
 def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Encodes and writes all rows in ascending id order (null first, ties by text); returns ``part, n_docs, n_tokens, base``.
+    """Encodes and writes all rows in ascending id order (null first, ties by the text's hash, then the text); returns
+    ``part, n_docs, n_tokens, width, base``.
 
     ``folder`` must be shared by all executors. Null and empty texts have the end id alone. An empty table has no files.
+    Ids are written as they are made, some million characters at a time, so a task holds its longest text and 25 bytes
+    per document. Rows of one id may go to several files, so an id (or null) that many rows share is no single task.
     """
     ship_package(docs.sparkSession)
     path = path or default_path()
@@ -78,30 +86,38 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        blobs, counts, ids_of, null_of = [], [], [], []
-        for b in batches:
-            table, special, dtype = _tokenizer(path)
-            for lo, hi, texts in chunks(b.column(1)):
-                ids, n = encode_texts(texts.to_pylist(), table, True, special)
-                blobs.append(np.insert(ids, np.cumsum(n), END).astype(dtype))
-                counts.append(n + 1)
-                ids_of.append(b.column(0).slice(lo, hi - lo).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-                null_of.append(b.column(0).slice(lo, hi - lo).is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
-        if not blobs:
+        counts, ids_of, null_of = [], [], []
+
+        def blobs() -> Iterator[bytes]:
+            """Ids of a few texts at a time; what is kept of them is a few numbers per text."""
+            for b in batches:
+                for lo, hi, texts in chunks(b.column(1)):
+                    ids, n = encode_texts(texts.to_pylist(), table, True, special)
+                    counts.append(n + 1)
+                    ids_of.append(b.column(0).slice(lo, hi - lo).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                    null_of.append(b.column(0).slice(lo, hi - lo).is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
+                    yield np.insert(ids, np.cumsum(n), END).astype(dtype).tobytes()
+
+        batches = (b for b in batches if b.num_rows)
+        head = next(batches, None)
+        if head is None:
             return
+        batches = chain([head], batches)
+        table, special, dtype = _tokenizer(path)
         system, root = _open(kept)
         system.create_dir(root, recursive=True)
+        _put(system, f"{root}/part-{part:05d}.bin", blobs())
         n = np.concatenate(counts)
         offsets = np.zeros(len(n) + 1, np.uint64)
         np.cumsum(n, out=offsets[1:], dtype=np.uint64)
-        _put(system, f"{root}/part-{part:05d}.bin", (x.tobytes() for x in blobs))
         _put(system, f"{root}/part-{part:05d}.idx", (np.concatenate(ids_of).tobytes(), np.concatenate(null_of).tobytes(), offsets.tobytes()))
         yield pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([len(n)]), pa.array([int(offsets[-1])]), pa.array([dtype.itemsize], pa.int32())],
             ["part", "n_docs", "n_tokens", "width"])
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
-    files = materialise(ordered.mapInArrow(write, "part int, n_docs long, n_tokens long, width int"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    ordered = keyed.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text")
+    files = materialise(ordered.select("id", "text").mapInArrow(write, "part int, n_docs long, n_tokens long, width int"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per file
     return materialise(files.withColumn("base", F.sum("n_tokens").over(before) - F.col("n_tokens")))
 
