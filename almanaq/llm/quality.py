@@ -27,14 +27,16 @@ class Rules:
     max_repeat_percent: int = 20  # words in repeated windows, of all words
     window: int = 5
     max_symbol_share: float = 0.3  # symbols in a line, of its characters without white space
-    min_letter_share: float = 0.5  # letters in a line, of its characters without white space
+    min_letter_share: float = 0.5  # letters and their marks in a line, of its characters without white space
     min_kept_share: float = 0.5  # of the words, after the failing lines are gone
 
 
-_LETTER = regex.compile(r"\p{L}")
+_LETTER = regex.compile(r"[\p{L}\p{M}]")  # many scripts write vowels as marks
+_CUT = ("...", "…")
 _BOILER = regex.compile("|".join(map(regex.escape, BOILERPLATE)))
 _NAVIGATION = frozenset(NAVIGATION)
 _ENDS = " \t\r\x0b\x0c|>-»:/.·•"
+_AFTER = " \t\r\x0b\x0c\"')]»”’"  # may follow the end of a sentence
 
 
 def line_fails(line: str, rules: Rules) -> str | None:
@@ -44,6 +46,8 @@ def line_fails(line: str, rules: Rules) -> str | None:
         return "navigation"
     if _BOILER.search(low):
         return "boilerplate"
+    if line.rstrip(_AFTER).endswith(_CUT):
+        return "cut off"
     solid = "".join(line.split())
     marks = sum(map(solid.count, "#*$%&|<>{}~^_=\\"))
     if marks > rules.max_symbol_share * len(solid):
@@ -116,10 +120,11 @@ _TYPES = {
 def line_first_cleaning(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, the counts, ``base_failed``, ``kept`` and the cleaned text.
 
-    A line with a word fails as navigation, boilerplate, mostly marks or digits, or as a repeat of an earlier line;
-    failing lines are removed. A text is rejected when it has too few words, too many words in repeated windows, or when
+    A line with a word fails as navigation, boilerplate, cut off (it ends in an ellipsis, as teasers do), mostly
+    punctuation or digits, or as a repeat of an earlier line; failing lines are removed. A text is rejected when it has too few words, too many words in repeated windows, or when
     less than ``min_kept_share`` of its words are left. Null text counts as empty (rejected), null ids pass through, and
-    rows are judged one by one, so repeats and ties don't matter. Other columns are not read.
+    rows are judged one by one, so repeats and ties don't matter. Other columns are not read. A very long text takes time
+    and memory in proportion to its length, some 60 bytes per byte.
     """
     ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

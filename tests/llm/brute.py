@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -175,6 +176,29 @@ def op10(docs):
     return out
 
 
+def op10_kept(docs, navigation, boilerplate):
+    """Of every ``(id, text)``: the verdict, the words left, and the cleaned text."""
+    def fails(line):
+        low = line.strip(" \t\r\x0b\x0c|>-»:/.·•").lower()
+        if low in navigation or (low.count("|") > 1 and {p.strip() for p in low.split("|")} <= set(navigation)):
+            return True
+        if any(b in low for b in boilerplate) or re.search("(\\.\\.\\.|…)[ \t\r\x0b\x0c\"')\\]»”’]*$", line):
+            return True
+        solid = [c for c in line if not c.isspace()]
+        letters = sum(unicodedata.category(c)[0] in "LM" for c in solid)
+        return 10 * sum(c in "#*$%&|<>{}~^_=\\" for c in solid) > 3 * len(solid) or 2 * letters < len(solid)
+
+    base, out = op10(docs), {}
+    for i, t in docs:
+        lines, left = (t or "").split("\n"), []
+        for p, line in enumerate(lines):
+            if not WORD.search(line) or not (line in lines[:p] or fails(line)):
+                left.append(line)
+        n = len(WORD.findall("\n".join(left)))
+        out[i] = (not base[i][5] and 2 * n >= base[i][0], n, "\n".join(left))
+    return out
+
+
 def op13(docs, items, k=10):
     term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
     held = [(i, Counter(term.findall(lower_az(t or "")))) for i, t in docs]

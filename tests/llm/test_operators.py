@@ -2,8 +2,12 @@
 
 import math
 import random
+import subprocess
+import sys
+import uuid
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +179,33 @@ def test_op4_edges(edge_docs, edge_rows):
         assert (told[i][0] == "und") == (not any(c.isalpha() for c in t or ""))
 
 
+def test_op4_long_texts_are_added_up_in_parts(monkeypatch):
+    rng = random.Random(6)
+    many = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) if rng.random() < 0.9 else rng.choice(" İΣ,ß1") for _ in range(20_000))
+    texts = [many, "", "12 3", "Δέκα Σοφοί ΣΑΣ", "eine Zeile Text " * 500]
+    bundles, n = language_id.document_bundles(texts, 128)
+    assert n.tolist() == [sum(map(str.isalpha, t.lower())) for t in texts] and (bundles == bundles.round()).all()
+    monkeypatch.setattr(language_id, "CHUNK", 777)
+    for i, t in enumerate(texts):
+        alone, m = language_id.document_bundles([t], 128)
+        assert (alone[0] == bundles[i]).all() and m[0] == n[i]
+    total = np.zeros(128)
+    for a, b, c in ("\0ab", "ab\0", "\0c\0"):
+        total = total + np.roll(language_id.letter_vector(ord(a), 128), 2).astype(int) * np.roll(language_id.letter_vector(ord(b), 128), 1) * language_id.letter_vector(ord(c), 128)
+    assert (language_id.document_bundles(["Ab-c"], 128)[0][0] == total).all()
+
+
+def test_op4_a_million_different_trigrams_in_bounded_memory():
+    """In a process of its own, whose peak is its own."""
+    code = (
+        "import random, resource; from almanaq.llm import language_id as L; L.document_bundles(['warm'], 1024)\n"
+        "rng = random.Random(1); t = ''.join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(1_000_000))\n"
+        "peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024\n"
+        "before = peak(); L.document_bundles([t], 1024); print(peak() - before)")
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True)
+    assert float(done.stdout) < 400  # MB
+
+
 def test_op5(corpus):
     from tokenizers import Tokenizer
 
@@ -264,11 +295,43 @@ def test_op9(corpus):
     assert table(token_files.token_files(docs), "start", "n_tokens", "ids_crc32") == brute.op9(rows, t)
 
 
+def test_op9_one_id_of_many_rows(spark):
+    """Rows of one id are no single file, and the files follow one another without a gap."""
+    from tokenizers import Tokenizer
+
+    docs = spark.createDataFrame([(None if i % 3 else 5, f"text {i} of many") for i in range(4000)], "doc_id long, text string").repartition(4)
+    folder = f"{token_files.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with more rows than one task should take
+    try:
+        files = token_files.write_tokens(docs, folder)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() > 2
+    found = sorted(token_files.read_tokens(files, folder).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in found] == [None] * 2666 + [5] * 1334
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(found, found[1:]))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sums = lambda keep: sorted(zlib.crc32(b"".join(x.to_bytes(4, "little") for x in [*t.encode(f"text {i} of many").ids, 0])) for i in range(4000) if keep(i))
+    assert sorted(r["ids_crc32"] for r in found if r["doc_id"] == 5) == sums(lambda i: i % 3 == 0)
+    assert sorted(r["ids_crc32"] for r in found if r["doc_id"] is None) == sums(lambda i: i % 3)
+
+
+def test_op9_failed_write_leaves_no_file(tmp_path):
+    def blobs():
+        yield b"12"
+        raise ValueError("lost")
+
+    system, root = token_files._open(str(tmp_path))
+    with pytest.raises(ValueError):
+        token_files._put(system, f"{root}/x.bin", blobs())
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_op10(corpus):
     docs, rows = corpus
     found = quality.line_first_cleaning(docs)
     assert table(found, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == brute.op10(rows)
-    assert not [r for r in found.collect() if r["kept"] and r["base_failed"]]
+    assert table(found, "kept", "n_words_left", "clean_text") == brute.op10_kept(rows, quality.NAVIGATION, quality.BOILERPLATE)
 
 
 def test_op10_line_rules():
@@ -276,7 +339,10 @@ def test_op10_line_rules():
     assert quality.line_fails("Home | Menu | Search", rules) == "navigation" and quality.line_fails("Read more »", rules) == "navigation"
     assert quality.line_fails("Copyright 2024. All Rights Reserved.", rules) == "boilerplate"
     assert quality.line_fails("### *** ||| $$$ a", rules) == "punctuation" and quality.line_fails("1234 5678 90 x", rules) == "punctuation"
-    assert quality.line_fails("An ordinary sentence, without a home.", rules) is None
+    assert quality.line_fails("The ten best places to (click and …)", rules) == "cut off" and quality.line_fails('He said "and then..."', rules) == "cut off"
+    assert quality.line_fails("An ordinary sentence... without a home.", rules) is None
+    for line in ("မြန်မာနိုင်ငံသည် အရှေ့တောင်အာရှတွင် တည်ရှိသည်။", "བོད་ཡིག་ནི་བོད་པའི་ཡི་གེ་ཡིན།", "हिन्दी में लिखा हुआ एक वाक्य।", "ภาษาไทยที่นี่"):
+        assert quality.line_fails(line, rules) is None
 
 
 OPERATORS = [
