@@ -97,21 +97,21 @@ def _absorb_by_rounds(data: DataFrame, y: str, xs: Sequence[str], unit: str, lar
     m = len(columns)
     rows = materialise(data.select(F.col(unit).alias("u"), F.col(large).alias("l"), *columns))
     cells = materialise(rows.groupBy("u", "l").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"v_{i}").alias(f"t_{i}") for i in range(m)]))
-    by_level, by_unit = two_way_effects(cells, "u", "l", "n", [f"t_{i}" for i in range(m)])
+    squares = rows.agg(*[F.sum(F.col(f"v_{i}") * F.col(f"v_{i}")) for i in range(m)]).first()
+    by_level, by_unit = two_way_effects(cells, "u", "l", "n", [f"t_{i}" for i in range(m)], [x or 0.0 for x in squares])
     a = by_level.select("l", *[F.col(f"e_{i}").alias(f"a_{i}") for i in range(m)])
     b = by_unit.select("u", *[F.col(f"e_{i}").alias(f"b_{i}") for i in range(m)])
     wide = rows.join(a, "l").join(b, "u").select(
-        *[(F.col(f"v_{i}") - F.col(f"a_{i}") - F.col(f"b_{i}")).alias(f"w_{i}") for i in range(m)], *[f"v_{i}" for i in range(m)])
+        *[(F.col(f"v_{i}") - F.col(f"a_{i}") - F.col(f"b_{i}")).alias(f"w_{i}") for i in range(m)])
     pairs = pairs_of(range(m))
     total, units, level_n, parts = at_once(
         data,
-        lambda: wide.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"w_{i}") * F.col(f"w_{j}")).alias(f"s_{i}_{j}") for i, j in pairs],
-                         *[F.sum(F.col(f"v_{i}") * F.col(f"v_{i}")).alias(f"raw_{i}") for i in range(m)]).first(),
+        lambda: wide.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"w_{i}") * F.col(f"w_{j}")).alias(f"s_{i}_{j}") for i, j in pairs]).first(),
         lambda: by_unit.count(), lambda: by_level.count(), lambda: components_of(cells, "u", "l"))
     w = np.zeros((m, m))
     for i, j in pairs:
         w[i, j] = w[j, i] = total[f"s_{i}_{j}"]
-    raw = np.array([total[f"raw_{i}"] for i in range(m)])
+    raw = np.array([x or 0.0 for x in squares])
     discard(rows, cells)
     # The other factors' levels first, then the covariates in what they leave.
     d, own = list(range(k + 1, m)), list(range(k + 1))

@@ -3,7 +3,7 @@
 The effects of the second factor solve a system in which the first one (the unit) is already eliminated. Its matrix is
 never formed: a product with it is a join of the (unit, level) cells with the levels' numbers, sums per unit, a join
 back, and sums per level. All variables are solved side by side. Rounds go on until every residual is small against its
-start.
+variable's size: a variable without an effect starts with rounding errors, which no round makes smaller.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from almanaq.operators.graph import connected
 from almanaq.sources.tables import discard, materialise
 
-TOLERANCE = 1e-13  # residual against its start, both weighted by the levels' rows
+TOLERANCE = 1e-13  # residual, weighted by the levels' rows, against the root of the variable's sum of squares
 _PATIENCE = 500  # rounds without a smaller residual mean that it can't get smaller
 
 
@@ -32,10 +32,12 @@ def _sums(of: Sequence[str]) -> list[Column]:
     return [F.sum(c).alias(c) for c in of]
 
 
-def two_way_effects(cells: DataFrame, unit: str, level: str, count: str, variables: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def two_way_effects(
+        cells: DataFrame, unit: str, level: str, count: str, variables: Sequence[str], squares: Sequence[float]) -> tuple[DataFrame, DataFrame]:
     """Effects ``(level, e_i)`` and ``(unit, e_i)`` of the sums ``variables`` in ``cells (unit, level, count)``.
 
-    What is left of a row's variable i after its level's and its unit's effect is orthogonal to both factors.
+    What is left of a row's variable i after its level's and its unit's effect is orthogonal to both factors. ``squares``
+    are the sums of squares of the rows' variables; a residual can't be larger.
     """
     k = range(len(variables))
     per_unit = materialise(cells.groupBy(unit).agg(F.sum(count).alias("_nu"), *[(F.sum(v) / F.sum(count)).alias(f"_mean_{i}") for i, v in enumerate(variables)]))
@@ -44,7 +46,7 @@ def two_way_effects(cells: DataFrame, unit: str, level: str, count: str, variabl
     start = wide.groupBy(level).agg(
         F.sum(count).cast("double").alias("n"), *[F.sum(F.col(v) - F.col(count) * F.col(f"_mean_{i}")).alias(f"r_{i}") for i, v in enumerate(variables)])
     state = materialise(start.select(level, "n", *[F.lit(0.0).alias(f"x_{i}") for i in k], *[f"r_{i}" for i in k], *[(F.col(f"r_{i}") / F.col("n")).alias(f"p_{i}") for i in k]))
-    first, best, waited = None, np.inf, 0
+    size, best, waited = np.array(squares, float), np.inf, 0
     while True:
         moved = held.join(state.select(level, *[f"p_{i}" for i in k]), level)
         mean = moved.groupBy(unit).agg(*[F.sum(F.col("_share") * F.col(f"p_{i}")).alias(f"q_{i}") for i in k])
@@ -54,8 +56,7 @@ def two_way_effects(cells: DataFrame, unit: str, level: str, count: str, variabl
         row = step.agg(*[F.sum(F.col(f"{a}_{i}") * F.col(f"{b}_{i}") / (F.col("n") if (a, b) != ("p", "s") else F.lit(1.0))).alias(f"{a}{b}_{i}")
                          for a, b in ("rr", "ps", "rs", "ss") for i in k]).first()
         rr, ps, rs, ss = (np.array([row[f"{ab}_{i}"] or 0.0 for i in k]) for ab in ("rr", "ps", "rs", "ss"))
-        first = rr if first is None else first
-        ratio = float(np.sqrt(np.max(np.divide(rr, first, out=np.zeros(len(rr)), where=first > 0), initial=0.0)))
+        ratio = float(np.sqrt(np.max(np.divide(rr, size, out=np.zeros(len(rr)), where=size > 0), initial=0.0)))
         discard(state)
         state = step
         if ratio <= TOLERANCE:

@@ -314,6 +314,20 @@ def test_plans_do_not_grow_with_levels(spark):
     assert sizes[1] < 1.2 * sizes[0]
 
 
+def test_variables_without_effects_end_the_rounds(spark, monkeypatch):
+    """Cells whose sums are rounding errors: no round makes such a residual smaller."""
+    from almanaq.operators import demean
+
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame([(u, l, i) for u in range(25) for l in range(7) for i in range(12)], columns=["u", "l", "i"])
+    pdf["x"], pdf["y"] = rng.normal(size=(2, len(pdf))) * 1e3
+    pdf["y"] -= pdf.groupby(["u", "l"]).y.transform("mean")
+    df = spark.createDataFrame(pdf)
+    monkeypatch.setattr(demean, "_PATIENCE", 6)
+    rounds, dense = (absorb_ols(df, "y", ["x"], ["u", "l"], dense_levels=n).toPandas() for n in (0, 2500))
+    np.testing.assert_allclose(rounds[["estimate", "std_error"]], dense[["estimate", "std_error"]], rtol=1e-9)
+
+
 def test_components(spark):
     from almanaq.operators.graph import connected
 
