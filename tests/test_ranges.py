@@ -28,6 +28,22 @@ def test_many_ranges_are_no_nested_loop(spark):
     assert joined.count() == ranges.select(F.sum(F.least(F.col("hi"), F.lit(4999)) - F.col("lo") + 1)).first()[0]
 
 
+def test_facts_of_one_day_meet_ranges_once(spark, tmp_path, monkeypatch):
+    """4,000 shipments on two days and 300 ranges: pairs are counted by days, not by shipments."""
+    from workload import queries
+
+    day = lambda d: F.date_add(F.lit("1995-01-01").cast("date"), d).cast("timestamp")
+    spark.range(300).select(F.col("id").alias("o_orderkey"), day(F.lit(1)).alias("o_orderdate"), F.col("id").alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(4000).select(day((F.col("id") % 2).cast("int") + 1).alias("l_shipdate"), F.when(F.col("id") != 5, (F.col("id") % 9).cast("double")).alias("l_quantity")).write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    pairs = []
+    monkeypatch.setattr(queries, "range_join", lambda *a: pairs.append(range_join(*a)) or pairs[-1])
+    got = {r["o_orderkey"]: (r["shipments"], r["rfh"]) for r in queries.QUERIES["range_profile"](spark, str(tmp_path)).collect()}
+    q = [[float(i % 9) for i in range(start, 4000, 2) if i != 5] for start in (0, 1)]
+    assert got == {k: (2000, sum(q[0])) if k % 10 == 0 else (4000, sum(q[0]) + sum(q[1])) for k in range(300)}
+    assert pairs[0].count() == 300 * 2 - 30
+
+
 def test_skewed_lookup_is_the_plain_lookup(spark):
     rng = random.Random(2)
     facts = spark.createDataFrame([(i, rng.choice([None, None, "hot", "hot", "hot", *map(str, range(40))])) for i in range(2000)], "i int, k string")

@@ -346,7 +346,9 @@ def range_profile(spark, sf_dir):
     day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01").cast("date"))
     spans = table(spark, sf_dir, "orders").select("o_orderkey", day("o_orderdate").alias("lo"), (day("o_orderdate") + F.col("o_custkey") % 10).alias("hi"))
     lines = table(spark, sf_dir, "lineitem").select(day("l_shipdate").alias("day"), "l_quantity")
-    return range_join(lines, spans, "day", "lo", "hi").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("shipments"), F.sum("l_quantity").alias("rfh"))
+    # Shipments of one day lie in the same ranges: they meet them as one row.
+    daily = lines.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+    return range_join(daily, spans, "day", "lo", "hi").groupBy("o_orderkey").agg(F.sum("n").alias("shipments"), F.sum("quantity").alias("rfh"))
 
 
 @query
