@@ -15,36 +15,40 @@ from pyspark.sql import functions as F
 from almanaq.functions.scalar import signed_sqrt
 from almanaq.operators.panel import merge
 
+#: Vertices of a task that pairs them to edges, about; both halves are some 100 MB there.
+VERTICES = 1 << 18
+
 
 def edges(vertices: DataFrame, unit: str, ring: str = "ring", seq: str = "seq") -> DataFrame:
     """Directed edges ``(unit, ring, seq, x0, y0, x1, y1)``, with the closing edge of each ring.
 
     Every vertex is sent out twice, as the start of its edge and as the end of the one before; the two halves meet in
-    an aggregate. The two halves left over per ring are its closing edge.
+    an aggregate. The two halves left over per ring are its closing edge. Halves are dealt out before they meet, to as
+    many tasks as the counted vertices need: neither a task that reads many of them nor one that pairs them holds more
+    than ``VERTICES`` with a larger table.
     """
-    point = F.struct("lon", "lat")
-    halves = vertices.select(unit, ring, F.explode(F.array(
-        F.struct(F.col(seq).cast("long").alias("seq"), point.alias("start"), F.lit(None).cast("struct<lon:double,lat:double>").alias("end")),
-        F.struct((F.col(seq).cast("long") - 1).alias("seq"), F.lit(None).cast("struct<lon:double,lat:double>").alias("start"), point.alias("end")),
-    )).alias("_half"))
-    paired = halves.groupBy(unit, ring, F.col("_half.seq").alias("seq")).agg(
-        F.max("_half.start").alias("start"), F.max("_half.end").alias("end"),
-        F.count("_half.start").alias("_starts"), F.count("_half.end").alias("_ends"))
+    parts = vertices.count() // VERTICES + 1
+    number = F.col(seq).cast("long")
+    halves = vertices.select(unit, ring, "lon", "lat", F.explode(F.array(
+        F.struct(number.alias("seq"), F.lit(True).alias("starts")), F.struct((number - 1).alias("seq"), F.lit(False).alias("starts")))).alias("_half"))
+    halves = halves.select(unit, ring, F.col("_half.seq").alias("seq"), F.col("_half.starts").alias("_is_start"), "lon", "lat")
+    # Numbers, not structs, so that Spark aggregates by hash; there is one half of each kind.
+    of = lambda c, starts: F.max(F.when(F.col("_is_start") == F.lit(starts), F.col(c)))
+    paired = halves.repartition(parts, unit, ring, "seq").groupBy(unit, ring, "seq").agg(
+        of("lon", True).alias("x0"), of("lat", True).alias("y0"), of("lon", False).alias("x1"), of("lat", False).alias("y1"),
+        F.count_if(F.col("_is_start")).alias("_starts"), F.count_if(~F.col("_is_start")).alias("_ends"))
     # A number that a ring uses twice would lose a vertex.
     once = (F.col("_starts") <= 1) & (F.col("_ends") <= 1)
-    paired = paired.select(unit, ring, F.when(once, F.col("seq")).otherwise(
-        F.raise_error(F.lit("a ring uses a vertex number twice"))).alias("seq"), "start", "end")
-    whole = F.col("start").isNotNull() & F.col("end").isNotNull()
+    paired = paired.withColumn("seq", F.when(once, F.col("seq")).otherwise(F.raise_error(F.lit("a ring uses a vertex number twice"))))
+    whole = (F.col("_starts") > 0) & (F.col("_ends") > 0)
     # Two halves per ring, so this group is as large as the number of gaps in the numbering plus one.
     closing = paired.where(~whole).groupBy(unit, ring).agg(
-        F.max(F.when(F.col("end").isNull(), F.col("seq"))).alias("seq"), F.max("start").alias("start"), F.max("end").alias("end"),
+        F.max(F.when(F.col("_ends") == 0, F.col("seq"))).alias("seq"), *[F.max(c).alias(c) for c in ("x0", "y0", "x1", "y1")],
         F.count(F.lit(1)).alias("_halves"))
-    closing = closing.withColumn("start", F.when(F.col("_halves") == 2, F.col("start")).otherwise(
+    closing = closing.withColumn("x0", F.when(F.col("_halves") == 2, F.col("x0")).otherwise(
         F.raise_error(F.lit("vertex numbers of a ring must be consecutive"))))
-    both = paired.where(whole).unionByName(closing.drop("_halves"))
-    return both.select(
-        unit, ring, "seq",
-        F.col("start.lon").alias("x0"), F.col("start.lat").alias("y0"), F.col("end.lon").alias("x1"), F.col("end.lat").alias("y1"))
+    columns = [unit, ring, "seq", "x0", "y0", "x1", "y1"]
+    return paired.where(whole).select(*columns).unionByName(closing.select(*columns))
 
 
 def _planar(by: Sequence[str], directed: DataFrame) -> DataFrame:

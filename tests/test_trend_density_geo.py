@@ -163,3 +163,20 @@ def test_exact_quantiles(spark):
         at = np.array([0.25, 0.5, 1.0]) * (len(x) - 1)
         lo, hi, rest = x[np.floor(at).astype(int)], x[np.ceil(at).astype(int)], at - np.floor(at)
         assert got[g] == [float(a) if t == 0 else float((1 - t) * a + t * b) for a, b, t in zip(lo, hi, rest)]
+
+
+def test_pairing_of_edges_sorts_nothing_where_it_reads(spark, tmp_path, monkeypatch):
+    """One file is one task's: halves of edges leave it before they are added up, by hash, to more tasks for more vertices."""
+    from workload.queries import QUERIES
+
+    spark.range(1000).select(F.col("id").alias("c_custkey"), F.lit(0).alias("c_nationkey"), F.lit("BUILDING").alias("c_mktsegment")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(geo, "VERTICES", 100, raising=False)
+    for name in ("planar_centroids", "dissolved_edges"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "Aggregate" not in plan[plan.rindex(", 81), REPARTITION_BY_NUM"):], name
+
+
+def test_edges_with_missing_coordinates_stay(spark):
+    rows = [("u", 1, i, x, y) for i, (x, y) in enumerate([(0.0, 0.0), (1.0, None), (1.0, 1.0)])]
+    got = geo.edges(spark.createDataFrame(rows, "u string, ring int, seq int, lon double, lat double"), "u")
+    assert sorted(tuple(r)[2:] for r in got.collect()) == [(0, 0.0, 0.0, 1.0, None), (1, 1.0, None, 1.0, 1.0), (2, 1.0, 1.0, 0.0, 0.0)]

@@ -571,7 +571,8 @@ def weighted_density(spark, sf_dir):
 
 def parcels(spark, sf_dir) -> DataFrame:
     """Vertices of one square parcel per customer on a grid of 200 columns; the BUILDING parcels have a hole."""
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    # Dealt out before they are unfolded: a small file is one task's.
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").repartition("c_custkey")
 
     def corner(ring: int, seq: int, dx: float, dy: float) -> Column:
         return F.struct(
@@ -620,7 +621,7 @@ def outline_rings(spark, sf_dir):
 
 def split_parcels(spark, sf_dir) -> DataFrame:
     """Parcels of every second column are two low ones, so their neighbours' long borders touch vertices they don't have."""
-    plots = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    plots = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment").repartition("c_custkey")
     column, row = F.col("c_custkey") % 200, F.floor(F.col("c_custkey") / 200)
     parts = F.when(column % 2 == 0, F.array(F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")))).otherwise(
         F.array(F.struct(F.lit(0.0).alias("lo"), F.lit(0.5).alias("hi")), F.struct(F.lit(0.5).alias("lo"), F.lit(1.0).alias("hi"))))
