@@ -10,13 +10,14 @@ reference is the corpus itself and has no size bound.
 
 Minimizers that several documents have are told to the tasks as a bit map of a fixed size. A false hit, or a full map at
 a large scale, costs the routing of passages that needn't be; it changes nothing else. Minimizers of many passages don't
-go to one task: their windows are grouped one by one, by the SHA-256 of their words, with sums before the shuffle.
+go to one task: their equal passages are one, by the SHA-256 of their words, and the windows of different passages are
+grouped one by one the same way, with sums before the shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -178,6 +179,37 @@ def repeated_starts(ids: list[int], at: list[int], words: list[str], window: int
             yield ids[i], starts
 
 
+def distinct_windows(passages: DataFrame, window: int) -> DataFrame:
+    """``key, passage, nth, owner, hi``: the windows of the different passages among ``passages (passage, id, at, words)``.
+
+    Equal passages are listed once, with their smallest and largest id.
+    """
+    different = passages.groupBy("passage").agg(F.min("id").alias("owner"), F.max("id").alias("hi"), F.first("words").alias("words"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = [w.encode("utf-8", "surrogatepass").split(b" ") for w in b.column(3).to_pylist()]
+            of = [(i, j) for i, words in enumerate(lines) for j in range(len(words) - window + 1)]
+            rows = b.select([0, 1, 2]).take(pa.array([i for i, _ in of], pa.int64()))
+            keys = [hashlib.sha256(b" ".join(lines[i][j:j + window])).digest() for i, j in of]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), rows.column(0), pa.array([j for _, j in of], pa.int32()), rows.column(1), rows.column(2)],
+                ["key", "passage", "nth", "owner", "hi"])
+
+    return different.mapInArrow(windows, "key binary, passage binary, nth int, owner long, hi long")
+
+
+def repeated_in_common(passages: DataFrame, window: int) -> DataFrame:
+    """``id, starts`` of the windows of ``passages`` that a smaller id owns, for passages of any number."""
+    single = distinct_windows(passages, window)
+    first = single.groupBy("key").agg(F.min("owner").alias("first"), F.max("hi").alias("last")).where("first < last").drop("last")
+    # At most as many entries as a passage has windows.
+    owned = single.join(first, "key").where("first < hi").groupBy("passage").agg(F.collect_list(F.struct("nth", "first")).alias("_owned"))
+    mine = F.filter("_owned", lambda w: w["first"] < F.col("id"))
+    return passages.select("passage", "id", "at").join(owned, "passage").select(
+        "id", F.transform(mine, lambda w: w["nth"] + F.col("at")).alias("starts")).where(F.size("starts") > 0)
+
+
 def _seeds_of_several(runs: DataFrame, common: int) -> tuple[np.ndarray, np.ndarray]:
     """Bit maps of the seeds that several ids have, and of those with more than ``common`` runs."""
     # two documents at least share a seed when its smallest and largest id differ
@@ -235,17 +267,20 @@ def substring_dedup(
     maps = _seeds_of_several(ordered.mapInArrow(seeds, "seed long, id long"), common)
     several, hot = (spark.sparkContext.broadcast(m) for m in maps)
 
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi, texts in chunks(b.column(1)):
-                w = Words(texts)
-                least, at, n = minimizer_runs(w, window, GRAM)
-                keep = _in_map(several.value, least) & ~_in_map(hot.value, least)
-                seed, start, words = _pieces(w, at[keep], n[keep], piece, window, least[keep])
-                doc = w.doc[start] if len(start) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seed.view(np.int64)), b.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array((start - w.first[doc]).astype(np.int32)),
-                     pa.array([x.decode("utf-8", "surrogatepass") for x in words], pa.string())], ["seed", "id", "at", "words"])
+    def passages(common_ones: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo, hi, texts in chunks(b.column(1)):
+                    w = Words(texts)
+                    least, at, n = minimizer_runs(w, window, GRAM)
+                    keep = _in_map(hot.value, least) if common_ones else _in_map(several.value, least) & ~_in_map(hot.value, least)
+                    seed, start, words = _pieces(w, at[keep], n[keep], piece, window, least[keep])
+                    doc = w.doc[start] if len(start) else np.zeros(0, np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(seed.view(np.int64)), b.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array((start - w.first[doc]).astype(np.int32)),
+                         pa.array([x.decode("utf-8", "surrogatepass") for x in words], pa.string())], ["seed", "id", "at", "words"])
+
+        return cut
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -260,25 +295,12 @@ def substring_dedup(
                 ids, starts = [], []
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.list_(pa.int32()))], ["id", "starts"])
 
-    routed = ordered.mapInArrow(passages, "seed long, id long, at int, words string").repartition("seed").sortWithinPartitions("seed")
+    shape = "seed long, id long, at int, words string"
+    routed = ordered.mapInArrow(passages(False), shape).repartition("seed").sortWithinPartitions("seed")
     hits = routed.mapInArrow(stream, "id long, starts array<int>")
     if maps[1].any():
-
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo, hi, texts in chunks(b.column(1)):
-                    w = Words(texts)
-                    least, at, n = minimizer_runs(w, window, GRAM)
-                    keep = _in_map(hot.value, least)
-                    _, start, words = _pieces(w, at[keep], n[keep], 1, window, least[keep])
-                    doc = w.doc[start] if len(start) else np.zeros(0, np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([hashlib.sha256(x).digest() for x in words], pa.binary()), b.column(0).slice(lo, hi - lo).take(pa.array(doc)),
-                         pa.array((start - w.first[doc]).astype(np.int32))], ["key", "id", "at"])
-
-        single = ordered.mapInArrow(windows, "key binary, id long, at int")
-        first = single.groupBy("key").agg(F.min("id").alias("owner"), F.max("id").alias("hi")).where("owner < hi").drop("hi")
-        hits = hits.union(single.join(first, "key").where("owner < id").select("id", F.array("at").alias("starts")))
+        many = ordered.mapInArrow(passages(True), shape).select(F.unhex(F.sha2("words", 256)).alias("passage"), "id", "at", "words")
+        hits = hits.union(repeated_in_common(many, window))
     hits = hits.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,6 +50,16 @@ def test_op1_one_word_texts_of_100000_words(spark):
         assert table(found, "n_words", "n_removed", "sha") == brute.op1(rows)
 
 
+def test_copies_of_common_passages_are_one(spark):
+    """300 copies of a passage and one that holds its end: windows of two passages, not of 301."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, 3, " ".join(words)) for i in range(1, 301)] + [(0, 5, " ".join(["x", *words[20:]]))]
+    passages = spark.createDataFrame(rows, "id long, at int, words string").repartition(7).withColumn("passage", F.unhex(F.sha2("words", 256)))
+    assert substring_dedup.distinct_windows(passages, 13).count() == 28 + 9
+    found = {r["id"]: sorted(r["starts"]) for r in substring_dedup.repeated_in_common(passages, 13).collect()}
+    assert found == {1: list(range(23, 31)), **{i: list(range(3, 31)) for i in range(2, 301)}}
+
+
 def test_op1_full_bit_maps(edge_docs, edge_rows, monkeypatch):
     """As at a scale where every bit is set."""
     real = substring_dedup._seeds_of_several
