@@ -22,10 +22,16 @@ _PATIENCE = 500  # rounds without a smaller residual mean that it can't get smal
 
 
 def components_of(cells: DataFrame, unit: str, level: str) -> int:
-    """Connected components of the graph in which a cell joins its unit and its level."""
-    node = lambda side, c: F.concat(F.lit(side), F.col(c).cast("string"))
-    edges = cells.select(node("u", unit).alias("a"), node("v", level).alias("b"))
-    return connected(edges).select("component").distinct().count()
+    """Connected components of the graph in which a cell joins its unit and its level.
+
+    A level links its units, so the units' graph has as many: each unit with the smallest one of each of its levels. It
+    has an edge per different pair, far fewer than cells where levels share their smallest units.
+    """
+    least = cells.groupBy(level).agg(F.min(unit).alias("b"))
+    edges = materialise(cells.select(F.col(unit).alias("a"), level).join(least, level).select("a", "b").distinct())
+    found = connected(edges).select("component").distinct().count()
+    discard(edges)
+    return found
 
 
 def _sums(of: Sequence[str]) -> list[Column]:
@@ -42,14 +48,16 @@ def two_way_effects(
     k = range(len(variables))
     per_unit = materialise(cells.groupBy(unit).agg(F.sum(count).alias("_nu"), *[(F.sum(v) / F.sum(count)).alias(f"_mean_{i}") for i, v in enumerate(variables)]))
     wide = cells.join(per_unit, unit)
-    held = materialise(wide.select(unit, level, F.col(count).cast("double").alias("_n"), (F.col(count) / F.col("_nu")).alias("_share")))
+    held = cells.select(unit, level, F.col(count).alias("_n"))
+    in_unit = per_unit.select(unit, "_nu")
     start = wide.groupBy(level).agg(
         F.sum(count).cast("double").alias("n"), *[F.sum(F.col(v) - F.col(count) * F.col(f"_mean_{i}")).alias(f"r_{i}") for i, v in enumerate(variables)])
     state = materialise(start.select(level, "n", *[F.lit(0.0).alias(f"x_{i}") for i in k], *[f"r_{i}" for i in k], *[(F.col(f"r_{i}") / F.col("n")).alias(f"p_{i}") for i in k]))
     size, best, waited = np.array(squares, float), np.inf, 0
     while True:
         moved = held.join(state.select(level, *[f"p_{i}" for i in k]), level)
-        mean = moved.groupBy(unit).agg(*[F.sum(F.col("_share") * F.col(f"p_{i}")).alias(f"q_{i}") for i in k])
+        sums = moved.groupBy(unit).agg(*[F.sum(F.col("_n") * F.col(f"p_{i}")).alias(f"q_{i}") for i in k])
+        mean = sums.join(in_unit, unit).select(unit, *[(F.col(f"q_{i}") / F.col("_nu")).alias(f"q_{i}") for i in k])
         back = held.join(mean, unit).groupBy(level).agg(*[F.sum(F.col("_n") * F.col(f"q_{i}")).alias(f"q_{i}") for i in k])
         step = materialise(state.join(back, level).select(
             level, "n", *[f"{c}_{i}" for c in "xrp" for i in k], *[(F.col("n") * F.col(f"p_{i}") - F.col(f"q_{i}")).alias(f"s_{i}") for i in k]))
@@ -74,8 +82,8 @@ def two_way_effects(
             *[rest[i].alias(f"r_{i}") for i in k], *[(rest[i] / F.col("n") + F.lit(float(beta[i])) * F.col(f"p_{i}")).alias(f"p_{i}") for i in k]))
         discard(step)
     effects = state.select(level, *[F.col(f"x_{i}").alias(f"e_{i}") for i in k])
-    mean = held.join(effects, level).groupBy(unit).agg(*[F.sum(F.col("_share") * F.col(f"e_{i}")).alias(f"_of_{i}") for i in k])
-    units = per_unit.join(mean, unit).select(unit, *[(F.col(f"_mean_{i}") - F.col(f"_of_{i}")).alias(f"e_{i}") for i in k])
+    of = held.join(effects, level).groupBy(unit).agg(*[F.sum(F.col("_n") * F.col(f"e_{i}")).alias(f"_of_{i}") for i in k])
+    units = per_unit.join(of, unit).select(unit, *[(F.col(f"_mean_{i}") - F.col(f"_of_{i}") / F.col("_nu")).alias(f"e_{i}") for i in k])
     units = materialise(units)
-    discard(held, per_unit)
+    discard(per_unit)
     return effects, units

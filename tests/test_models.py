@@ -328,6 +328,18 @@ def test_variables_without_effects_end_the_rounds(spark, monkeypatch):
     np.testing.assert_allclose(rounds[["estimate", "std_error"]], dense[["estimate", "std_error"]], rtol=1e-9)
 
 
+def test_components_are_looked_for_among_units(spark, monkeypatch):
+    """30 units with 200 levels and 5 with 40 others: 6,200 cells, an edge per unit."""
+    from almanaq.operators import demean
+
+    cells = [(u, l) for u in range(30) for l in range(200)] + [(u, l) for u in range(40, 45) for l in range(300, 340)] + [(60, 400)]
+    edges = []
+    connected = demean.connected
+    monkeypatch.setattr(demean, "connected", lambda e: edges.append(e.count()) or connected(e))
+    assert demean.components_of(spark.createDataFrame(cells, "u long, l long"), "u", "l") == 3
+    assert edges == [36]
+
+
 def test_components(spark):
     from almanaq.operators.graph import connected
 

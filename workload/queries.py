@@ -451,6 +451,7 @@ def absorb_unit_year_month_rounds(spark, sf_dir):
 def absorb_supplier_customer(spark, sf_dir):
     """Two factors with many levels: price on quantity and discount, without the supplier's and the customer's effect."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    lines = materialise(lines.select("l_suppkey", "o_custkey", "l_extendedprice", "l_quantity", "l_discount"))  # several passes, one join
     return readable(absorb_ols(lines, "l_extendedprice", ["l_quantity", "l_discount"], ["l_suppkey", "o_custkey"], dense_levels=8))
 
 
