@@ -87,13 +87,16 @@ def read_header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list
 def file_headers(spark: SparkSession, paths: Sequence[str], encoding: str = "UTF-8") -> dict[str, list[str]]:
     """Column names of every file that paths, folders and globs name; files without a line are left out.
 
-    One job over all files, however many: lines are not parsed, each task keeps the first line of the files that begin
-    in it. A row per file reaches the driver, which needs their names for the scans anyway.
+    One query over all files, however many: lines are not parsed. Their numbers are scanned for the first one of every
+    file, then the lines for those of that number. An aggregate that carried lines would sort all of a task's first.
+    A row per file reaches the driver, which needs their names for the scans anyway.
     """
-    lines = spark.read.schema("line string").option("sep", "\x01").option("quote", "").option("encoding", encoding).csv(list(paths))
-    found = lines.select("line", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    first = found.where("start = 0").groupBy("path").agg(F.min_by("line", "at").alias("line"))
-    return {unquote(row["path"]): next(csv.reader([row["line"].removeprefix("\ufeff")])) for row in first.orderBy("path").collect()}
+    lines = spark.read.text(list(paths)).where(F.col("value").rlike("[^\\x00-\\x20]"))
+    found = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    first = found.where("start = 0").groupBy(F.col("path").alias("file")).agg(F.min("at").alias("first"))
+    headers = found.join(F.broadcast(first), (F.col("at") == F.col("first")) & (F.col("path") == F.col("file")))
+    rows = headers.select("path", F.col("value").cast("binary").alias("line")).collect()
+    return {unquote(row["path"]): next(csv.reader([row["line"].decode(encoding, "replace").removeprefix("\ufeff")])) for row in sorted(rows, key=lambda row: row["path"])}
 
 
 def _scans(

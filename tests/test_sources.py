@@ -122,3 +122,36 @@ def test_bad_cells_by_file_and_column(spark, tmp_path):
         given, bad, _ = got[("x.csv", c)]
         assert empty[c] == bad + 5 - given
     assert got[("x.csv", "n")][2] in ("1,5", 'x "y"', " 7") and got[("x.csv", "n")][1] >= 2 and got[("x.csv", "d")][1] == 2
+
+
+def test_headers_are_found_without_sorting_lines(spark, tmp_path, monkeypatch):
+    """One long file: its lines pass by, the aggregate holds a number a file; blank lines and odd bytes as the scans see them."""
+    (tmp_path / "long.csv").write_bytes(b"\n \t\na\xf1o,b\n" + b"1,2\n" * 20_000)
+    (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbfc,d\r\n3,4\r\n")
+    plans, collect = [], type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), collect(df))[1])
+    assert list(files.file_headers(spark, [str(tmp_path / "long.csv")], "ISO-8859-1").values()) == [["año", "b"]]
+    assert list(files.file_headers(spark, [str(tmp_path / "bom.csv")]).values()) == [["c", "d"]]
+    assert plans and not any("SortAggregate" in plan for plan in plans)
+
+
+def test_city_events_are_written_without_sorting_shipments(spark, monkeypatch):
+    """The lines meet their parts by hash: no task sorts its share of them."""
+    from workload import queries
+
+    class Seen(Exception):
+        pass
+
+    def see(df, path, encoding="UTF-8"):
+        if "Incident Type" in df.columns:
+            raise Seen(df._jdf.queryExecution().executedPlan().toString())
+        return path
+
+    monkeypatch.setattr(queries, "write_csv", see)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with pytest.raises(Seen) as seen:
+            queries.QUERIES["city_models"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in str(seen.value) and "SortMergeJoin" not in str(seen.value)

@@ -772,7 +772,9 @@ def city_models(spark, sf_dir):
     kind = (F.when(name.contains("widget"), 'Battery, simple').when(name.contains("anvil"), 'Aggravated "Assault"').when(name.contains("ring"), "Homicide")
             .when(name.contains("bolt"), "Robbery Domestic").when(name.contains("plate"), "Fraud with Assault").otherwise(name))
     moved = F.add_months(F.col("l_shipdate").cast("date"), 12 * CITY_SHIFT)
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    # Parts are hashed, so that the many lines need not be sorted.
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name").hint("shuffle_hash")
+    lines = table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     events = lines.select(kind.alias("Incident Type"), F.concat(F.date_format(moved, "MM/dd/yyyy"), F.lit(" 11:05:00 PM")).alias("Report Date"))
     ship = materialise(national_shipments(spark, sf_dir).withColumn("year", F.col("year") + CITY_SHIFT))
     rain = ship.select(F.date_format(F.make_date("year", "month", F.lit(1)), "dd/MM/yyyy").alias("date"), F.col("rfh").cast("double").alias("value"))
