@@ -3,7 +3,8 @@
 ``split_edges`` cuts every edge where another vertex of its parent lies on it, so that borders that only touch cancel.
 ``outline_rings`` strings the edges of outlines together: which edge follows is decided at each vertex, then pointer
 jumping finds every ring's first edge and every edge's place, in as many rounds as the longest ring's length has binary
-digits. No ring is ever gathered in one task.
+digits. No ring is ever gathered in one task, and edges are dealt to as many tasks as the counted ones need before they
+are joined by their ids.
 """
 
 from __future__ import annotations
@@ -19,12 +20,19 @@ from almanaq.sources.tables import discard, materialise
 
 ENDS = ("x0", "y0", "x1", "y1")
 TWO_PI = 6.283185307179586
+#: Edges of a task that joins them by id, about; both sorted sides are some 100 MB there.
+EDGES = 1 << 18
 
 
 def _angle(dx: Column, dy: Column) -> Column:
     return F.atan2(dy, dx)
 
 
+def _joined(left: DataFrame, right: DataFrame, key: str, parts: int, how: str = "inner") -> DataFrame:
+    """Join by an edge's id, which at most a few rows share on either side, in ``parts`` tasks."""
+    return left.repartition(parts, key).join(right.repartition(parts, key), key, how)
+
+
 def following(outline: DataFrame, parent: str) -> DataFrame:
     """``id, parent, x0 .. y1, next``: each edge with the one that follows it on its ring.
 
@@ -40,7 +48,7 @@ def following(outline: DataFrame, parent: str) -> DataFrame:
     turn = F.pmod(back - ahead, F.lit(TWO_PI))
     turn = F.when(turn < 1e-12, turn + TWO_PI).otherwise(turn)  # straight back is the last choice
     chosen = near.withColumn("_turn", turn).groupBy("id").agg(F.min_by("_next", F.struct("_turn", "_next")).alias("next"))
-    linked = materialise(numbered.join(chosen, "id"))
+    linked = materialise(_joined(numbered, chosen, "id", numbered.count() // EDGES + 1))
     followed = linked.groupBy("next").agg(F.count(F.lit(1)).alias("n")).where("next is null or n > 1")
     broken = not followed.isEmpty()
     discard(numbered)
@@ -58,12 +66,13 @@ def outline_rings(outline: DataFrame, parent: str) -> DataFrame:
     first edges, vertices from 1, the first one isn't repeated. A hole runs against the parent's outer rings.
     """
     linked = following(outline, parent)
+    parts = linked.count() // EDGES + 1
     # The smallest edge ahead: windows of 1, 2, 4, ... edges, until doubling changes nothing.
     own = F.struct(*ENDS, "id")
     ahead = materialise(linked.select("id", F.col("next").alias("to"), own.alias("least")))
     while True:
         hop = ahead.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"))
-        wider = materialise(ahead.join(hop, "to").select(
+        wider = materialise(_joined(ahead, hop, "to", parts).select(
             "id", F.col("_to").alias("to"), F.least("least", "_least").alias("least"), (F.col("_least") < F.col("least")).alias("_moved")))
         done = wider.where("_moved").isEmpty()
         discard(ahead)
@@ -72,18 +81,20 @@ def outline_rings(outline: DataFrame, parent: str) -> DataFrame:
         if done:
             break
     # Places: from every edge back to the ring's first one, twice as far with every round.
-    heads = materialise(linked.join(ahead.select("id", F.col("least.id").alias("head")), "id"))
+    heads = materialise(_joined(linked, ahead.select("id", F.col("least.id").alias("head")), "id", parts))
     before = heads.select(F.col("next").alias("id"), F.col("id").alias("prev"))
     first = F.col("id") == F.col("head")
-    place = materialise(heads.select("id", "head").join(before, "id").select(
+    place = materialise(_joined(heads.select("id", "head"), before, "id", parts).select(
         "id", F.when(~first, F.col("prev")).alias("to"), F.when(first, 0).otherwise(1).cast("long").alias("steps")))
     while not place.where("to is not null").isEmpty():
         hop = place.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"))
-        further = materialise(place.join(hop, "to", "left").select(
-            "id", F.col("_to").alias("to"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps")))
+        # Edges that are placed wait aside: their keys are NULL and would all meet in one task.
+        moved = _joined(place.where("to is not null"), hop, "to", parts, "left").select(
+            "id", F.col("_to").alias("to"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"))
+        further = materialise(moved.unionByName(place.where("to is null")))
         discard(place)
         place = further
-    placed = heads.join(place.select("id", "steps"), "id")
+    placed = _joined(heads, place.select("id", "steps"), "id", parts)
     cross = F.col("x0") * (F.col("y1") - F.col("y0")) - F.col("y0") * (F.col("x1") - F.col("x0"))
     rings = placed.groupBy(parent, "head").agg(F.sum(cross).alias("_area"), F.min_by(F.struct(*ENDS), "steps").alias("_start"))
     # One row per ring in these windows, not one per edge.

@@ -94,3 +94,17 @@ def test_split_against_all_pairs(spark):
         want += [(p, *a, *b) for a, b in zip(path, path[1:])]
     got = rings.split_edges(spark.createDataFrame(data, EDGES), "parent")
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_edges_are_joined_in_counted_tasks(spark, monkeypatch):
+    """More edges, more tasks, however many shuffle partitions there are; placed edges, whose keys are NULL, are in none of the joins."""
+    plans, materialise = [], rings.materialise
+    monkeypatch.setattr(rings, "EDGES", 10, raising=False)
+    monkeypatch.setattr(rings, "materialise", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), materialise(df))[1])
+    squares = [[(i, 0), (i + 1, 0), (i + 1, 1), (i, 1)] for i in range(0, 40, 2)]
+    long = [(i, 5) for i in range(60)] + [(i, 6) for i in reversed(range(60))]
+    got, seqs = found(spark, rows("p", *squares, long))
+    assert sorted(got.values()) == sorted([*squares, long]) and all(s == list(range(1, len(s) + 1)) for s in seqs.values())
+    assert sum(", 21), REPARTITION_BY_NUM" in p for p in plans) >= 8  # 200 edges
+    placing = [p for p in plans if "LeftOuter" in p and "steps" in p]
+    assert placing and all("isnotnull(to#" in p for p in placing)
